@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def seeded(n: int, seed: int) -> np.ndarray:
     """n pseudo-random uint64 values that depend on nothing but the seed."""
-    return mix(np.arange(1, n + 1, dtype=U) * U(BASE) + U(seed * 2 + 1) * U(0xC2B2AE3D27D4EB4F))
+    return mix(np.arange(1, n + 1, dtype=U) * U(BASE) + U((seed * 2 + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
 
 
 _powers: dict[int, np.ndarray] = {}

@@ -27,5 +27,40 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM c
 FROM keyed GROUP BY rid, doc_id
 """
 
-QUERIES = {"op7_line_dedup": op7_line_dedup}
-ORACLES = {"op7_line_dedup": OP7_SQL}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.license_scan import label_documents
+
+    return label_documents(documents(spark, sf_dir))
+
+
+def _op3_sql() -> str:
+    from ledgerlark.llm.license_scan import BASE, DRIFT, GRAM, MIN_SHARE, NOTICES
+
+    both = [(t, x, "true") for t, x in BASE.items()] + [(t, x, "false") for t, x in NOTICES.items()]
+    rows = ", ".join(f"({i}, '{t}', '{x}', {e})" for i, (t, x, e) in enumerate(both))
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(GRAM))
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+templates(tid, txt, label, exact) AS (VALUES {rows}),
+tw AS (SELECT tid, label, exact, string_split(txt, ' ') AS w FROM templates),
+tg AS (SELECT tid, label, exact, len(w) AS tlen, i - 1 AS tpos, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM tw)),
+dg AS (SELECT uid, i - 1 AS pos, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM docs)),
+votes AS (SELECT uid, tid, pos - tpos AS diagonal, count(*) AS votes, min(tpos) AS tlo, max(tpos) AS thi, max(tlen) AS tlen, max(label) AS label, bool_or(exact) AS exact
+    FROM dg JOIN tg USING (g) GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN exact OR lag(thi) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {DRIFT} OR tlo <= lag(thi) OVER o THEN 1 ELSE 0 END AS new
+    FROM votes WINDOW o AS (PARTITION BY uid, tid ORDER BY diagonal)),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY uid, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+spans AS (SELECT uid, tid, span, min(diagonal) AS diagonal, max(label) AS label, bool_or(exact) AS exact, least(1.0, sum(votes) / (max(tlen) - {GRAM - 1})::DOUBLE) AS share
+    FROM grouped GROUP BY uid, tid, span),
+kept AS (SELECT *, exact AND share = 1.0 AS place FROM spans WHERE (exact AND share = 1.0) OR (NOT exact AND share >= {MIN_SHARE})),
+per AS (SELECT uid, count(*) FILTER (WHERE place) AS n_base, min(diagonal) FILTER (WHERE place) AS f, max(diagonal) FILTER (WHERE place) AS l,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS ls, max(share) AS score FROM kept GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
+    coalesce(bl, '') AS base_labels, coalesce(ls, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN per USING (uid)
+"""
+
+
+QUERIES = {"op3_license_scan": op3_license_scan, "op7_line_dedup": op7_line_dedup}
+ORACLES = {"op3_license_scan": _op3_sql(), "op7_line_dedup": OP7_SQL}
