@@ -62,5 +62,29 @@ FROM docs LEFT JOIN per USING (uid)
 """
 
 
-QUERIES = {"op3_license_scan": op3_license_scan, "op7_line_dedup": op7_line_dedup}
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.pii import pseudonyms
+
+    return pseudonyms(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_values", "kinds", "text")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.spm import encode
+
+    return encode(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.media import media_columns
+
+    return media_columns(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
+    "op3_license_scan": op3_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_media_columns": op9_media_columns,
+}
 ORACLES = {"op3_license_scan": _op3_sql(), "op7_line_dedup": OP7_SQL}
