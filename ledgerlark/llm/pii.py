@@ -98,9 +98,9 @@ def only_digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
-def by_class(text: str, permute: Callable[[int, int, bytes], int], tweak: bytes) -> str:
-    """Digits, small and capital ASCII letters permuted as one mixed-radix number; hexadecimal text stays so."""
-    hexa = all(c in "0123456789abcdef" for c in text.lower()) and any(c.isdigit() for c in text)
+def by_class(text: str, permute: Callable[[int, int, bytes], int], tweak: bytes, hexa: bool = False) -> str:
+    """Digits, small and capital ASCII letters permuted as one mixed-radix number; with ``hexa``, hexadecimal text stays so."""
+    hexa = hexa and all(c in "0123456789abcdef" for c in text.lower()) and any(c.isdigit() for c in text)
     classes = []
     for c in text:
         if hexa and c in "0123456789abcdefABCDEF":
@@ -212,7 +212,7 @@ def email(s: str, permute) -> str:
 def secret(s: str, permute) -> str | None:
     if s.startswith(("AKIA", "ASIA")):
         return s[:4] + by_class(s[4:], permute, b"aws")
-    return by_class(s, permute, b"secret") if any(c.isdigit() for c in s) else None
+    return by_class(s, permute, b"secret", hexa=True) if any(c.isdigit() for c in s) else None
 
 
 KINDS: dict[str, Callable] = {"email": email, "secret": secret, "iban": iban, "ip": address, "date": calendar, "ssn": ssn, "card": card, "phone": phone}

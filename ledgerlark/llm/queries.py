@@ -80,10 +80,26 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.decontaminate import leaks
+
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.langid import held_out, learn, predict
+
+    docs = documents(spark, sf_dir)
+    slim = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text")
+    return predict(slim, learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
+    "op2_decontaminate": op2_decontaminate,
     "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language_id": op5_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op9_media_columns": op9_media_columns,
 }
