@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ledgerlark.llm.shared import shared_folder
+
 WIDTH = 64
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
@@ -211,19 +213,6 @@ class ArchiveSource(DataSource):
         return ArchiveReader(paths, sizes, int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one that is set here if there is none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or "")
-    if not folder:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def write_archives(docs: DataFrame, text: str, doc_id: str, folder: str) -> list[tuple[str, int]]:
     """Stores each row's payload; (path, bytes) of the archives. Member names: running number, id and length."""
 

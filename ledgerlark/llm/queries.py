@@ -94,6 +94,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(slim, learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_decontaminate": op2_decontaminate,
@@ -102,5 +108,6 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op9_media_columns": op9_media_columns,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {"op3_license_scan": _op3_sql(), "op7_line_dedup": OP7_SQL}
