@@ -100,6 +100,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(documents(spark, sf_dir), digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP8_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)),
+first AS (SELECT h, min(doc_id) AS f FROM wins GROUP BY h),
+hit AS (SELECT DISTINCT rid, i + k AS p FROM (SELECT rid, i FROM wins JOIN first USING (h) WHERE doc_id > f), range(50) AS r(k)),
+words AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN hit USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_decontaminate": op2_decontaminate,
@@ -107,7 +125,8 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op7_line_dedup": op7_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_near_dedup": op10_near_dedup,
 }
-ORACLES = {"op3_license_scan": _op3_sql(), "op7_line_dedup": OP7_SQL}
+ORACLES = {"op3_license_scan": _op3_sql(), "op7_line_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL}
