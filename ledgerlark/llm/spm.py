@@ -25,7 +25,9 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -117,12 +119,12 @@ class SpmModel:
 
 def build(model: SpmModel):
     """A ``tokenizers.Tokenizer`` with the behaviour of the parsed model."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
     ids = {piece: i for i, (piece, _, _) in enumerate(model.pieces)}
     unk = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
     if model.kind == BPE:
-        core = models.BPE(vocab=ids, merges=model.merges(), unk_token=model.pieces[unk][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=100_000)
+        core = models.BPE(vocab=ids, merges=model.merges(), unk_token=model.pieces[unk][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     else:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=unk, byte_fallback=model.byte_fallback)
     tok = Tokenizer(core)
@@ -141,87 +143,150 @@ def build(model: SpmModel):
         # No piece runs on over a marker, so merging never crosses one: cut the
         # text before each run of markers and let the word cache do the rest.
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-    tail = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if model.add_dummy_prefix:
-        tail.append(decoders.Strip(content=" ", left=1, right=0))
-    tok.decoder = decoders.Sequence(tail)
+    tok.decoder = _tail(model.add_dummy_prefix)
     return tok
 
 
-CACHE_WORDS = 250_000
+def _tail(strip: bool):
+    """Markers to spaces, byte pieces to characters; ``strip`` takes the leading space away."""
+    from tokenizers import decoders
+
+    steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    if strip:
+        steps.append(decoders.Strip(content=" ", left=1, right=0))
+    return decoders.Sequence(steps)
+
+
+CACHE_WORDS = 400_000
+LINE_WORDS = 256
+#: Stands for a byte piece in the table of decoded pieces.
+RAW = "\ufffe"
+
+
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches flat[start:start + size], one after another."""
+    to = np.cumsum(size)
+    return flat[np.repeat(start - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+
+
+class Growing:
+    """Stretches of one flat array that grows."""
+
+    def __init__(self, kind):
+        self.flat, self.start, self.size = np.zeros(1 << 20, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start = np.append(self.start, self.used + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.used += len(flat)
 
 
 class Codec:
     """Encodes and decodes batches; words already seen come from a bounded cache.
 
-    Merging never crosses a marker (see :func:`build`), so a text's ids are the
-    ids of its marker-delimited words in turn.  Words not in the cache are
-    encoded in one multithreaded ``encode_batch`` call.  Models whose pieces do
-    cross markers are encoded text by text instead.
+    Merging never crosses a marker (see :func:`build`), nor a line feed if no
+    piece has one, so a text's ids are the ids of its words in turn.  Words not
+    in the cache are encoded together, in lines of words between line feeds,
+    by one multithreaded ``encode_batch`` call.  Models whose pieces do cross
+    markers are encoded text by text instead.  The cache starts anew beyond
+    ``CACHE_WORDS`` words.
     """
 
     def __init__(self, path: str, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, "rb") as f:
             blob = f.read()
         self.model = SpmModel.parse(blob)
         self.tok = build(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=blob)
-        self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        self.words = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
         # The normaliser adds nothing but the marker: words can be cut here.
         plain = self.tok.pre_tokenizer is not None and self.model.escape and self.model.kind == BPE
-        self.by_word = plain and not self.model.charsmap and not self.model.remove_extra
-        self.bare = None
+        plain = plain and not self.model.charsmap and not self.model.remove_extra
+        self.feed = self.tok.encode_batch_fast(["\n"], add_special_tokens=False)[0].ids[-1]
+        self.by_word = plain and self.model.byte_fallback and self.model.pieces[self.feed][2] == BYTE and all("\n" not in p for p, _, _ in self.model.pieces)
         if self.by_word:
-            from tokenizers import Tokenizer
-
             self.bare = Tokenizer(self.tok.model)
-        self.cache: dict[str, tuple[list[int], str]] = {}
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids, and the text that the ids decode to, for each text."""
+            self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "isolated")
+            self.bare.decoder = _tail(False)
+            single = self.bare.decode_batch([[i] for i in range(len(self.model.pieces))], skip_special_tokens=False)
+            self.table = [RAW if kind == BYTE else d for d, (_, _, kind) in zip(single, self.model.pieces, strict=True)]
+            self.table[self.feed] = "\n"
+            self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {"\n": 0}
+        self.word_ids, self.word_text = Growing(np.int32), Growing(np.uint8)
+        self.word_ids.add(np.array([self.feed], np.int32), np.array([1]))
+        self.word_text.add(np.array([10], np.uint8), np.array([1]))
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+        """Ids (int32), and the bytes of the text that the ids decode to, for each text."""
         if not self.by_word:
             found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            return found, self.decode(found)
+            return [np.array(i, np.int32) for i in found], [d.encode() for d in self.decode(found)]
         lead = MARK if self.model.add_dummy_prefix else ""
         cut = [self.words(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for words in cut for w in words if w not in cache})
-        ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
-        for w, i, d in zip(new, ids, self.bare_decode(ids), strict=True):
-            cache[w] = (i, d)
-        out, back = [], []
-        for words in cut:
-            got = [cache[w] for w in words]
-            out.append([i for g in got for i in g[0]])
-            text = "".join([g[1] for g in got])
-            back.append(text[1:] if lead and text.startswith(" ") else text)
-        return out, back
-
-    def bare_decode(self, ids: list[list[int]]) -> list[str]:
-        """Decoded words, the leading space kept."""
-        if self.bare.decoder is None:
-            from tokenizers import decoders
-
-            self.bare.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        return self.bare.decode_batch(ids, skip_special_tokens=False)
+        if len(self.index) > CACHE_WORDS:
+            self.clear()
+        flat = list(chain.from_iterable(cut))
+        which = list(map(self.index.get, flat))
+        if None in which:
+            self.learn(list({w for w, i in zip(flat, which, strict=True) if i is None}))
+            which = list(map(self.index.__getitem__, flat))
+        pick = np.array(which, np.int64)
+        edge = np.cumsum([0, *map(len, cut)])
+
+        def stretches(words: Growing) -> list[np.ndarray]:
+            size = words.size[pick]
+            to = np.append(0, np.cumsum(size))[edge]
+            all_ = ragged(words.flat, words.start[pick], size)
+            return [all_[a:b] for a, b in zip(to, to[1:], strict=False)]
+
+        back = [t.tobytes() for t in stretches(self.word_text)]
+        return stretches(self.word_ids), [t[1:] if lead and t[:1] == b" " else t for t in back]
+
+    def learn(self, words: list[str]) -> None:
+        """Puts the ids and decoded texts of new words (without line feeds) into the cache."""
+        lines = [words[i : i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+        text: list[bytes] = []
+        ids, sizes = [], []
+        for line, found in zip(lines, self.bare.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
+            own = found.ids
+            array = np.array(own, np.int32)
+            cuts = np.flatnonzero(array == self.feed)
+            sizes.append(np.diff(cuts, prepend=-1, append=len(array)) - 1)
+            ids.append(array[array != self.feed])
+            joined = "".join(map(self.table.__getitem__, own))
+            got = joined.split("\n")
+            if RAW in joined:
+                to = [0, *(cuts + 1).tolist(), len(own) + 1]
+                got = [self.bare.decode(own[to[k] : to[k + 1] - 1], skip_special_tokens=False) if RAW in g else g for k, g in enumerate(got)]
+            text += [g.encode() for g in got]
+        for w in words:
+            self.index[w] = len(self.index)
+        self.word_ids.add(np.concatenate(ids), np.concatenate(sizes))
+        self.word_text.add(np.frombuffer(b"".join(text), np.uint8), np.array(list(map(len, text)), np.int64))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
-    def checked(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[bool]]:
+    def checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes], list[bool]]:
         """Ids, decoded texts and parity; the ids of sentencepiece where they differ."""
         ids, back = self.encode(texts)
         want = self.reference.encode(texts, num_threads=1)
-        same = [a == b for a, b in zip(ids, want, strict=True)]
+        same = [len(a) == len(b) and bool((a == np.array(b, np.int32)).all()) for a, b in zip(ids, want, strict=True)]
         for k, ok in enumerate(same):
             if not ok:
-                ids[k], back[k] = want[k], self.reference.decode(want[k])
+                ids[k], back[k] = np.array(want[k], np.int32), self.reference.decode(want[k]).encode()
         return ids, back, same
 
 
@@ -266,16 +331,15 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL, threads: int
                 ids, back, same = code.checked([t or "" for t in texts])
                 new = [pa.array([len(i) for i in ids], pa.int64())]
                 if digest:
-                    # array('i') packs a list of ints in native little-endian order.
-                    from array import array
-
                     new += [
-                        pa.array([None if n else hashlib.sha256(array("i", i).tobytes()).hexdigest() for n, i in zip(null, ids, strict=True)], pa.string()),
-                        pa.array([None if n else hashlib.sha256(d.encode()).hexdigest() for n, d in zip(null, back, strict=True)], pa.string()),
-                        pa.array([n or d == t for n, d, t in zip(null, back, texts, strict=True)], pa.bool_()),
+                        pa.array([None if n else hashlib.sha256(i.astype("<i4", copy=False).tobytes()).hexdigest() for n, i in zip(null, ids, strict=True)], pa.string()),
+                        pa.array([None if n else hashlib.sha256(d).hexdigest() for n, d in zip(null, back, strict=True)], pa.string()),
+                        pa.array([n or d == t.encode() for n, d, t in zip(null, back, texts, strict=True)], pa.bool_()),
                     ]
                 else:
-                    new = [pa.array([None if n else i for n, i in zip(null, ids, strict=True)], pa.list_(pa.int32())), *new, pa.array([None if n else d for n, d in zip(null, back, strict=True)], pa.string())]
+                    at_ = pa.array(np.append(0, np.cumsum([len(i) for i in ids])), pa.int32())
+                    lists = pa.ListArray.from_arrays(at_, pa.array(np.concatenate(ids)), mask=pa.array(null))
+                    new = [lists, *new, pa.array([None if n else d.decode() for n, d in zip(null, back, strict=True)], pa.string())]
                 new.append(pa.array(same, pa.bool_()))
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + new, names=schema.names)
