@@ -159,11 +159,11 @@ def fragments(unit: np.ndarray, offsets: np.ndarray, window: int, k: int, seed:
     its k-grams with the least hash, so equal windows have equal anchors at
     equal offsets.  A run is a fragment: row, first window (token position in
     the row), number of windows, hash of the anchor, and hash of the tokens
-    with the anchor's place.  Equal windows either lie in equal fragments at
+    with the anchor's offset.  Equal windows either lie in equal fragments at
     equal places or in different fragments of one anchor.
     """
     n = len(unit) - window + 1
-    none = {x: np.zeros(0, np.int64) for x in ("row", "start", "count", "anchor", "content")}
+    none = {x: np.zeros(0, np.int64) for x in ("row", "start", "count", "anchor", "content", "offset")}
     if n <= 0:
         return none
     if len(unit) >= 1 << POSITION_BITS:
@@ -188,7 +188,7 @@ def fragments(unit: np.ndarray, offsets: np.ndarray, window: int, k: int, seed:
     where = row[start]
     content = spans_hash(sums, start, start + count + window - 1)
     content = mix(content ^ (place[start] - start).astype(U) * U(0xA24BAED4963EE407))
-    return {"row": where, "start": start - offsets[where], "count": count, "anchor": gram[place[start]].view(np.int64), "content": content.view(np.int64)}
+    return {"row": where, "start": start - offsets[where], "count": count, "anchor": gram[place[start]].view(np.int64), "content": content.view(np.int64), "offset": place[start] - start}
 
 
 def _long_fragments(unit, offsets, window, k, seed):
