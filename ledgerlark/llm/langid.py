@@ -14,7 +14,8 @@ their bytes.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 rows with a null language or id are not learnt from; a null id counts as not
-held out; repeated rows get equal results.
+held out; repeated rows get equal results; where nothing can be learnt every
+row is ``und``.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = 5) -> Network:
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
     if not langs:
-        raise ValueError("no labelled text to learn from")
+        none = np.zeros((0, 0), np.float32)
+        return Network([], none, {}, none, none, none)
     windows, target = [], []
     for text, lang in zip(texts, labels, strict=True):
         for _ in range(WINDOWS):
@@ -171,7 +173,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     rows = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull() & docs[doc_id].isNotNull() & ~held_out(docs[doc_id]))
     counts = {r[0]: r[1] for r in rows.groupBy(rows[lang].alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGS).collect()}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        return train([], [])
     draw = F.pmod(F.xxhash64(rows[doc_id], F.lit("langid")), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, int(min(1.0, (per_lang * 1.2 + 20) / n) * (1 << 30)))])
     got = rows.filter(draw < F.element_at(share, rows[lang])).select(rows[lang].alias("l"), draw.alias("d"), rows[text].alias("t")).collect()
@@ -186,16 +188,19 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 _predictors: dict[bytes, Predictor] = {}
 
 
-def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, net: Network, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its probability, under the names ``out``."""
     import pickle
 
     from pyspark.sql import types as T
 
     blob = pickle.dumps(net)
-    carry = [c for c in docs.columns if c not in ("lang_pred", "score", "__letter")]
+    carry = [c for c in docs.columns if c not in (*out, "__letter")]
     source = docs.select(*carry, F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
+
+    if not net.langs:
+        return source.select(*carry, F.lit("und").alias(out[0]), F.lit(0.0).alias(out[1]))
 
     def run(batches):
         if blob not in _predictors:

@@ -17,7 +17,8 @@ Defined results: null or empty text is one empty line; a key of less than
 ``min_chars`` code points is never dropped; every row is a document of its own
 (repeated rows count repeatedly and get equal results under "common"; under
 "repeat" rows of equal id and text are treated as one); null ids sort last;
-extra columns pass through.
+extra columns pass through (names that
+begin with two underscores are kept for this module).
 """
 
 from __future__ import annotations
@@ -100,12 +101,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     A null text stays null, with one line and none dropped.
     """
     base = keyed(docs, text, doc_id)
-    bits = dropped_bitmaps(base, min_chars, min_docs, rule).withColumnRenamed("__id", "__i").withColumnRenamed("__rid", "__r")
+    bits = dropped_bitmaps(base, min_chars, min_docs, rule).toDF("__i", "__r", "__bits")
     body = F.coalesce(F.col(text), F.lit(""))
     number = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     full = docs.withColumns({"__k": number, "__h": F.xxhash64(number, body)})
     joined = full.join(bits, (F.col("__k") == F.col("__i")) & (F.col("__h") == F.col("__r")), "left")
-    kept = F.when(F.col("bits").isNull(), F.col(text)).otherwise(F.array_join(kept_lines(body, F.col("bits")), "\n"))
-    lost = F.coalesce(F.aggregate(F.map_values("bits"), F.lit(0), lambda a, b: a + F.bit_count(b).cast("int")), F.lit(0))
+    kept = F.when(F.col("__bits").isNull(), F.col(text)).otherwise(F.array_join(kept_lines(body, F.col("__bits")), "\n"))
+    lost = F.coalesce(F.aggregate(F.map_values("__bits"), F.lit(0), lambda a, b: a + F.bit_count(b).cast("int")), F.lit(0))
     n = F.char_length(body) - F.char_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
     return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns], n.cast("long").alias("__n_lines"), lost.cast("long").alias("__n_dropped"))

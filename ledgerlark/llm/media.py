@@ -239,6 +239,8 @@ def write_archives(docs: DataFrame, text: str, doc_id: str, folder: str) -> list
 
 
 def read_archives(spark: SparkSession, archives: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    if not archives:
+        return spark.createDataFrame([], "name string, archive string, offset long, content binary, error string")
     spark.dataSource.register(ArchiveSource)
     reader = spark.read.format("media_archive").option("range_bytes", str(range_bytes))
     return reader.option("paths", "\n".join(p for p, _ in archives)).option("sizes", "\n".join(str(s) for _, s in archives)).load()
