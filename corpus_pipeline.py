@@ -23,8 +23,8 @@ MIN_LINE_DOCS = 10
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters or with an undecided prediction go."""
     net = langid.learn(docs)
-    found = langid.predict(docs, net)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = langid.predict(docs, net, out=("__lang", "__score"))
+    return found.filter((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
