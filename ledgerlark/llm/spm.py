@@ -157,7 +157,7 @@ def _tail(strip: bool):
     return decoders.Sequence(steps)
 
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 LINE_WORDS = 256
 #: Stands for a byte piece in the table of decoded pieces.
 RAW = "\ufffe"
