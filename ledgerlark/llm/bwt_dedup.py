@@ -52,6 +52,8 @@ FINER = (120, 200)
 MOST = 200
 SHARDS = 4
 BATCH_BYTES = 1 << 20
+#: Bytes whose 64-bit hashes a task holds at once.
+SLICE_BYTES = 1 << 20
 SYMBOL = 8
 SEED = 6
 
@@ -205,7 +207,7 @@ def fragments(source: DataFrame, window: int, anchor: int, wanted: np.ndarray |
         bits = None if held is None else np.unpackbits(held.value).view(bool)
         for batch in batches:
             column = batch.column("__text")
-            for i, j in K.slices(column):
+            for i, j in K.slices(column, SLICE_BYTES):
                 data, offsets = K.columns_bytes(column.slice(i, j - i))
                 got = K.fragments(table[data], offsets, window, anchor)
                 if bits is not None:
@@ -335,21 +337,22 @@ def dedup_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", win
     joined = part(True).join(per, (F.col("__id") == F.col("i")) & (F.col("__rid") == F.col("r")), "left").select("__id", "__text", "runs")
 
     def cut(batches):
-        for batch in batches:
-            rows = []
-            for body, runs in zip(batch.column("__text"), batch.column("runs"), strict=True):
-                data = np.frombuffer(body.as_buffer(), np.uint8)
-                if runs.as_py() is None:
+        for whole in batches:
+            for i, j in K.slices(whole.column("__text")):
+                batch = whole.slice(i, j - i)
+                rows = []
+                for body, runs in zip(batch.column("__text"), batch.column("runs"), strict=True):
+                    data = np.frombuffer(body.as_buffer(), np.uint8)
                     gone = np.zeros(len(data), bool)
-                else:
-                    inner = runs.values
-                    gone = K.covered(np.asarray(inner.field("a")).astype(np.int64), np.asarray(inner.field("b")).astype(np.int64) + window - 1, len(data))
-                kept = data[~gone].tobytes()
-                n_runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
-                rows.append((len(data), int(gone.sum()), n_runs, None if digest else kept, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["__id", *(c.split()[0] for c in KEPT.split(", "))])
+                    if runs.is_valid:
+                        a, b = (np.asarray(runs.values.field(f)).astype(np.int64) for f in ("a", "b"))
+                        gone = K.covered(a, b + window - 1, len(data))
+                    kept = data[~gone].tobytes()
+                    n_runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1))
+                    rows.append((len(data), int(gone.sum()), n_runs, None if digest else kept, hashlib.sha256(kept).hexdigest()))
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("__id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["__id", *(c.split()[0] for c in KEPT.split(", "))])
 
     touched = joined.mapInArrow(cut, f"__id long, {KEPT}")
     n = F.octet_length("__text").cast("long")
