@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,17 +51,27 @@ def carried(frame: DataFrame, by: list[str], order: str, value: Column, name: st
     return frame.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def latest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: list[str], strict: bool = False) -> DataFrame:
+def latest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: list[str], strict: bool = False, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the values of the newest right row not after it (null if none).
 
     Both sides are sorted once by key and time and the last right row is carried
-    along: no pair of rows is ever formed.
+    along: no pair of rows is ever formed.  With ``bucket`` (a monotone function
+    of the time, such as the day) a hot key is split: rows are sorted within key
+    and bucket, and only one row for each bucket, the newest, is carried from
+    bucket to bucket.
     """
-    time, side = "__t", "__s"
+    time, side, part = "__t", "__s", "__b"
+    of = bucket or (lambda c: F.lit(0))
     a = left.select(*[F.col(k) for k in keys], F.col(at).alias(time), F.lit(0 if strict else 1).alias(side), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(F.struct(right_at, *values).alias("r")).schema["r"].dataType).alias("__r"))
     b = right.select(*[F.col(k) for k in keys], F.col(right_at).alias(time), F.lit(1 if strict else 0).alias(side), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), F.struct(right_at, *values).alias("__r"))
-    order = Window.partitionBy(*keys).orderBy(time, side).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__r", F.last("__r", ignorenulls=True).over(order))
+    both = a.unionByName(b).withColumn(part, of(F.col(time)))
+    order = Window.partitionBy(*keys, part).orderBy(time, side).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__r", F.last("__r", ignorenulls=True).over(order))
+    if bucket:
+        newest = both.groupBy(*keys, part).agg(F.max_by("__r", F.when(F.col("__r").isNotNull(), F.struct(time, side))).alias("__n"))
+        before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        newest = newest.select(*keys, part, F.last("__n", ignorenulls=True).over(before).alias("__before"))
+        both = both.join(newest, [*keys, part]).withColumn("__r", F.coalesce("__r", "__before"))
     return both.filter("__l is not null").select("__l.*", *[F.col(f"__r.{v}").alias(v) for v in [right_at, *values]])
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,26 +74,106 @@ def tfidf(docs: DataFrame, ident: str, text: str, features: int = 50_000) -> Dat
     tf = terms(docs, ident, text)
     n = docs.select(ident).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
-    weighted = tf.join(vocabulary, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1))
+    weighted = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1))
     norm = weighted.groupBy(ident).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norm, ident).select(ident, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def sparse_top(weights: DataFrame, queries: DataFrame, ident: str, k: int) -> DataFrame:
-    """(query, ident, similarity, rank): equality join on terms, then the k best of each query."""
-    q = queries.select(F.col(ident).alias("query"), "term", F.col("weight").alias("qw"))
-    sims = weights.join(q, "term").filter(F.col(ident) != F.col("query")).groupBy("query", ident).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("similarity"))
-    return top_k_per(sims, ["query"], [F.desc("similarity"), F.col(ident)], k)
+#: Queries that meet all rows at once; a block's matrix is what is broadcast.
+BLOCK = 128
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
-    """Cosine similarity of a stated query set (broadcast) with all rows; the k best of each query."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda f: f.select(ident, vector, F.sqrt(dot(F.col(vector), F.col(vector))).alias("norm"))
-    q = unit(queries).select(F.col(ident).alias("query"), F.col(vector).alias("qv"), F.col("norm").alias("qn"))
-    sims = unit(vectors).crossJoin(F.broadcast(q)).filter(F.col(ident) != F.col("query"))
-    sims = sims.select("query", ident, F.round(F.try_divide(dot(F.col(vector), F.col("qv")), F.col("norm") * F.col("qn")), 9).alias("similarity"))
-    return top_k_per(sims, ["query"], [F.desc("similarity"), F.col(ident)], k)
+def best_of(sims: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each column of a batch: (query, id, similarity); a row is not its own neighbour."""
+    sims = np.where(ids[:, None] == queries[None, :], -np.inf, np.round(sims, 9))
+    out = []
+    for j in range(sims.shape[1]):
+        column = sims[:, j]
+        some = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k]) if len(column) > k else np.arange(len(column))
+        some = some[np.lexsort((ids[some], -column[some]))][:k]
+        some = some[column[some] > -np.inf]
+        out.append((np.repeat(queries[j], len(some)), ids[some], column[some]))
+    return tuple(np.concatenate([o[x] for o in out]) for x in range(3))
+
+
+def _blocks(queries: DataFrame, ident: str, block: int) -> Iterator[list]:
+    n = -(-queries.count() // block)
+    for b in range(n):
+        part = queries.filter(F.pmod(F.xxhash64(ident), F.lit(n)) == b)
+        yield part.orderBy(ident).collect()
+
+
+def _search(vectors: DataFrame, blocks: Iterator, ident: str, k: int, similar) -> DataFrame:
+    """Each block of queries goes over all rows; a batch gives its k best of each query, then the k best of all."""
+    spark, found = vectors.sparkSession, None
+    for ids, matrix in blocks:
+        held = spark.sparkContext.broadcast((ids, matrix))
+
+        def run(batches, held=held):
+            ids, matrix = held.value
+            for batch in batches:
+                if batch.num_rows:
+                    own = np.asarray(batch.column(ident))
+                    q, i, s = best_of(similar(batch, matrix), own, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query", ident, "similarity"])
+
+        part = vectors.mapInArrow(run, f"query long, {ident} long, similarity double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], f"query long, {ident} long, similarity double")
+    return top_k_per(found, ["query"], [F.desc("similarity"), F.col(ident)], k)
+
+
+def sparse_top(weights: DataFrame, queries: DataFrame, ident: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(query, ident, similarity, rank) of sparse vectors (ident, term, weight) with a similarity above zero.
+
+    A block's queries become a matrix over their own terms; terms that no query
+    of the block has cost nothing.
+    """
+    rows = weights.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
+
+    def matrices():
+        of = queries.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
+        for part in _blocks(of, ident, block):
+            known = np.unique(np.concatenate([np.array(r.terms, np.int64) for r in part]))
+            matrix = np.zeros((len(known), len(part)))
+            for j, r in enumerate(part):
+                matrix[np.searchsorted(known, r.terms), j] = r.weights
+            yield np.array([r[ident] for r in part]), (known, matrix)
+
+    def similar(batch, held):
+        known, matrix = held
+        lists = batch.column("terms")
+        term, weight = np.asarray(lists.flatten()), np.asarray(batch.column("weights").flatten())
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+        at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        hit = known[at] == term
+        out = np.zeros((batch.num_rows, matrix.shape[1]))
+        row, at, weight = row[hit], at[hit], weight[hit]
+        step = 1 << 15
+        for i in range(0, len(row), step):
+            np.add.at(out, row[i : i + step], matrix[at[i : i + step]] * weight[i : i + step, None])
+        return np.where(out > 0, out, -np.inf)
+
+    return _search(rows, matrices(), ident, k, similar)
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(query, ident, similarity, rank) by cosine, of a stated query set against all rows."""
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def matrices():
+        for part in _blocks(queries.select(ident, vector), ident, block):
+            yield np.array([r[ident] for r in part]), unit(np.array([r[vector] for r in part], np.float64)).T
+
+    def similar(batch, matrix):
+        own = np.asarray(batch.column(vector).flatten()).astype(np.float64).reshape(batch.num_rows, -1)
+        return unit(own) @ matrix
+
+    return _search(vectors.select(ident, vector), matrices(), ident, k, similar)
 
 
 def fuse(lists: list[DataFrame], ident: str, k: int, constant: int = 60) -> DataFrame:

@@ -23,8 +23,8 @@ def final_opinions(reviews: DataFrame) -> DataFrame:
 
     Columns: target_id, seq, reviewer, kind (proposed, confirmed, adjudicated), label.
     """
-    w = Window.partitionBy("target_id")
-    r = reviews.withColumns({"adj": F.max(F.when(F.col("kind") == "adjudicated", F.col("seq"))).over(w), "end": F.max("seq").over(w)})
+    last = reviews.groupBy("target_id").agg(F.max(F.when(F.col("kind") == "adjudicated", F.col("seq"))).alias("adj"), F.max("seq").alias("end"))
+    r = reviews.join(last, "target_id")
     settled = r.filter(F.col("adj") == F.col("end")).filter(F.col("seq") == F.col("end")).select("target_id", F.lit("adjudicated").alias("state"), "label", F.lit(1).alias("n_opinions"))
     since = r.filter(F.col("adj").isNull() | (F.col("adj") < F.col("end"))).filter(F.col("adj").isNull() | (F.col("seq") > F.col("adj")))
     last = since.groupBy("target_id", "reviewer").agg(F.max_by(F.struct("kind", "label"), "seq").alias("x")).filter("x.kind = 'confirmed'")

@@ -168,7 +168,7 @@ SELECT p.event_id, p.user_id, p.ts, v.view_ts, v.view_id FROM p ASOF LEFT JOIN v
 def asof_latest_before(spark, sf):
     e = table(spark, sf, "events")
     views = e.filter("event_type = 'view'").groupBy("user_id", F.col("ts").alias("view_ts")).agg(F.max("event_id").alias("view_id"))
-    return ordered.latest_before(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "view_ts", ["view_id"])
+    return ordered.latest_before(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "view_ts", ["view_id"], bucket=lambda t: F.date_trunc("day", t))
 
 
 @query("""WITH g AS (SELECT event_id % 2 AS side, user_id, event_type, count(*) AS n, avg(value) AS v FROM events GROUP BY ALL), b AS (SELECT * FROM g WHERE side = 0), a AS (SELECT * FROM g WHERE side = 1)

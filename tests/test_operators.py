@@ -69,6 +69,8 @@ def test_latest_before_and_first_per(spark):
     b = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (2, 3, "z")], "k int, u int, v string")
     got = {(r.k, r.t): r.v for r in ordered.latest_before(a, b, ["k"], "t", "u", ["v"]).collect()}
     assert got == {(1, 5): "x", (1, 10): "y", (2, 1): None}
+    split = ordered.latest_before(a, b, ["k"], "t", "u", ["v"], bucket=lambda t: F.floor(t / 3))
+    assert {(r.k, r.t): r.v for r in split.collect()} == got
     strict = {(r.k, r.t): r.v for r in ordered.latest_before(a, b, ["k"], "t", "u", ["v"], strict=True).collect()}
     assert strict[1, 5] is None
     assert [(r.k, r.v) for r in ordered.first_per(b, ["k"], [F.col("u")]).orderBy("k").collect()] == [(1, "x"), (2, "z")]
