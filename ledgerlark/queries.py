@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import hashing, numeric, text
 from ledgerlark.operators import aggregates, joins, ordered
-from ledgerlark.plans import paired, quality, retrieval, review, scoring
+from ledgerlark.plans import paired, quality, report, retrieval, review, scoring, workflow
 from ledgerlark.session import shared_dir, table
 from ledgerlark.streaming import spans as streaming
 
@@ -89,12 +89,35 @@ def evidence_keyword_score(spark, sf):
     return scoring.evidence_signal(entities, docs, ["source", "lang"], "text", "fallback", _STRONG).select("source", "lang", "n_strong", "n_medium", "signal")
 
 
+@query(f"""WITH e AS (SELECT DISTINCT source FROM documents), {", ".join(f"{x}_n AS (SELECT source, count(*) FILTER (WHERE s) AS a, count(*) FILTER (WHERE NOT s AND length(text) > 80) AS b, arg_min(text, doc_id) FILTER (WHERE trim(text) <> '') AS t FROM (SELECT *, {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in scoring.STRONG)} AS s FROM documents WHERE lang = '{l}') GROUP BY source)" for l, x in (("en", "team"), ("de", "market")))}
+SELECT source, {", ".join(f"CASE WHEN {x}_n.a IS NULL THEN 3 WHEN {x}_n.a >= 4 THEN 5 WHEN {x}_n.a >= 2 OR {x}_n.b >= 4 THEN 4 WHEN {x}_n.a >= 1 OR {x}_n.b >= 2 THEN 3 ELSE 2 END::INT AS {x}_signal, coalesce(sha256({x}_n.t), '') AS {x}_summary" for x in ("team", "market"))}
+FROM e LEFT JOIN team_n USING (source) LEFT JOIN market_n USING (source)""")
+def enrich_profile(spark, sf):
+    docs = table(spark, sf, "documents").select("source", F.col("lang").alias("category"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
+    entities = docs.select("source").distinct().withColumns({"team_signal": F.lit(3), "market_signal": F.lit(3), "team_summary": F.lit(None).cast("string"), "market_summary": F.lit(None).cast("string")})
+    out = workflow.enrich(entities, docs, "source", {"en": "team", "de": "market"})
+    digest = lambda c: F.coalesce(F.sha2(c, 256), F.lit("")).alias(c)
+    return out.select("source", "team_signal", digest("team_summary"), "market_signal", digest("market_summary"))
+
+
 @query("SELECT source, lang, arg_min(text, doc_id) AS text, min(doc_id) AS doc_id FROM documents WHERE trim(text) <> '' GROUP BY source, lang")
 def first_evidence_per_category(spark, sf):
     docs = table(spark, sf, "documents").select("source", "lang", "text", "doc_id").filter("trim(text) <> ''")
     return ordered.first_per(docs, ["source", "lang"], [F.col("doc_id")])
 
 
+@query(_ENTITY + "SELECT s_suppkey::VARCHAR AS company, CASE WHEN s_suppkey % 10 = 3 THEN 'fail' ELSE 'pass' END AS result FROM graded")
+def report_table_check(spark, sf):
+    """Every supplier's ranking row in a Markdown report of its nation, a tenth of them altered, read back and checked."""
+    ranked = scoring.rank(scoring.score(suppliers(spark, sf)), "s_suppkey").join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+    shown = F.col("final_score") + F.when(F.col("s_suppkey") % 10 == 3, 1).otherwise(0)
+    line = report.row_line([F.col("rank"), F.col("s_suppkey"), F.col("stage"), shown, F.col("grade")])
+    head = "| " + " | ".join(report.HEADER) + " |\n|" + " --- |" * len(report.HEADER) + "\n"
+    lines = ranked.select("s_nationkey", F.struct("rank", line.alias("line")).alias("x")).groupBy("s_nationkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    reports = lines.select("s_nationkey", F.concat(F.lit("# Report\n\n" + head), F.array_join(F.transform("xs", lambda x: x["line"]), "\n")).alias("text"))
+    return report.check_tables(reports, "s_nationkey", "text", ranked, "s_suppkey").select("company", "result")
+
+
 # --- references and sources ---------------------------------------------------
 
 _HOST = "replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'www.', '')"
@@ -225,6 +248,16 @@ def lineage_recursive(spark, sf):
     return joins.ancestors(edges, "c", "p").groupBy("node").agg(F.count(F.lit(1)).alias("n_ancestors"), F.max("depth").alias("depth"))
 
 
+@query("""WITH RECURSIVE up(c, t, a) AS (SELECT conv_id, turn, turn FROM conversations UNION ALL SELECT c, t, a - 1 FROM up WHERE a > 0),
+r AS (SELECT u.c, u.t, u.a, CASE WHEN x.turn % 5 = 4 THEN '' WHEN x.turn % 3 = 0 THEN 'planner' END AS role FROM up u JOIN conversations x ON x.conv_id = u.c AND x.turn = u.a)
+SELECT concat(c, '/', t) AS node, nullif(arg_max(role, a) FILTER (WHERE role IS NOT NULL), '') AS role FROM r GROUP BY c, t""")
+def nearest_role(spark, sf):
+    node = lambda t: F.concat_ws("/", F.col("conv_id").cast("string"), t.cast("string"))
+    operation = F.when(F.col("turn") % 5 == 4, "stop.x").when(F.col("turn") % 3 == 0, "plan.start").otherwise("other.y")
+    calls = table(spark, sf, "conversations").select(node(F.col("turn")).alias("node"), F.when(F.col("turn") > 0, node(F.col("turn") - 1)).alias("parent_id"), operation.alias("operation"))
+    return workflow.nearest_role(calls.withColumnRenamed("node", "invocation_id"), {"plan": "planner", "stop": None}).withColumnRenamed("invocation_id", "node")
+
+
 @query("""SELECT l_suppkey, l_returnflag, n_left, n_right, least(n_left, n_right) AS n_common, greatest(n_left - n_right, 0) AS n_missing, greatest(n_right - n_left, 0) AS n_extra FROM
     (SELECT l_suppkey, l_returnflag, count(*) FILTER (WHERE l_linestatus = 'O') AS n_left, count(*) FILTER (WHERE l_linestatus = 'F') AS n_right FROM lineitem GROUP BY ALL) WHERE n_left + n_right > 0""")
 def multiset_compare(spark, sf):
