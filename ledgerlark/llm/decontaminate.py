@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlark.llm.batches import bounded
 from ledgerlark.llm import kernels as K
 
 BUDGET = 0.2
@@ -176,7 +177,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     kind = benchmark.schema[item_id].dataType
     match = T.StructType([T.StructField("item_id", kind), T.StructField("distance", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("n_item_words", T.IntegerType())])
     carry = [c for c in docs.columns if c != "__leaks"]
-    out = docs.select(*carry)
+    out = bounded(docs).select(*carry)
     for number, block in enumerate(blocks(benchmark, item_text, item_id, budget, block_bytes)):
         name = f"__leaks{number}"
         held = spark.sparkContext.broadcast(block)

@@ -96,7 +96,7 @@ def columns_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes (a longer text alone)."""
     _, at = columns_bytes(column)
     i = 0

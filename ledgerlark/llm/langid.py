@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.batches import bounded
 from ledgerlark.llm import kernels as K
 
 LENGTH = 128
@@ -219,4 +220,4 @@ def predict(docs: DataFrame, net: Network, text: str = "text", out: tuple[str, s
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.batches import bounded
 from ledgerlark.llm import kernels as K
 
 GRAM = 3
@@ -110,7 +111,7 @@ def label_documents(docs: DataFrame, phrases: dict[str, str] = BASE, notices: di
                 yield pa.RecordBatch.from_arrays([batch.column("__uid").slice(i, j - i), batch.column("__id").slice(i, j - i), pa.array(n, pa.int64()), lists], names=["__uid", "doc_id", "n_words", "grams"])
 
     kind = source.schema["__id"].dataType.simpleString()
-    rows = source.mapInArrow(run, f"__uid long, doc_id {kind}, n_words long, grams array<long>")
+    rows = bounded(source).mapInArrow(run, f"__uid long, doc_id {kind}, n_words long, grams array<long>")
     table = templates(spark, phrases, notices)
     exploded = rows.select("__uid", "doc_id", "n_words", F.posexplode_outer("grams").alias("pos", "gram"))
     # The first k-gram's row (or the empty row) stands for the document itself.

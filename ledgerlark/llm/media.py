@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ledgerlark.llm.batches import bounded
 from ledgerlark.llm.shared import shared_folder
 
 WIDTH = 64
@@ -234,7 +235,7 @@ def write_archives(docs: DataFrame, text: str, doc_id: str, folder: str) -> list
 
     fs, local = filesystem(folder)
     fs.create_dir(local, recursive=True)
-    source = docs.select(docs[doc_id].cast("string").alias("__id"), docs[text].alias("__text"))
+    source = bounded(docs).select(docs[doc_id].cast("string").alias("__id"), docs[text].alias("__text"))
     return [(r.path, r.size) for r in source.mapInArrow(run, "path string, size long").collect()]
 
 

@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerlark.llm.batches import bounded
+
 ROUNDS = 8
 KEY = b"ledgerlark-demo-key"
 
@@ -277,4 +279,4 @@ def pseudonyms(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
             added = [pa.array(number, pa.int32()), pa.array(kinds, pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in carry] + added, names=schema.names)
 
-    return docs.select(*carry).mapInArrow(run, schema)
+    return bounded(docs).select(*carry).mapInArrow(run, schema)

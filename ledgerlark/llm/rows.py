@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.batches import bounded
+
 #: Stands for a null id; larger than every id in comparisons.
 NO_ID = (1 << 63) - 1
 
@@ -15,7 +17,7 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     Rows with the same id and text share a key; they are equal, so they share
     their results too.
     """
-    body = F.coalesce(docs[text], F.lit(""))
+    body = F.coalesce(bounded(docs)[text], F.lit(""))
     number = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
     return docs.select(number.alias("__id"), F.xxhash64(number, body).alias("__rid"), body.alias("__text"))
 

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerlark.llm.batches import bounded
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -157,7 +159,7 @@ def _tail(strip: bool):
     return decoders.Sequence(steps)
 
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 LINE_WORDS = 256
 #: Stands for a byte piece in the table of decoded pieces.
 RAW = "\ufffe"
@@ -345,7 +347,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL, threads: int
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + new, names=schema.names)
                 at += len(texts)
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)
 
 
 def decode(frame: DataFrame, ids: str = "ids", out: str = "decoded", path: str = MODEL) -> DataFrame:
@@ -360,4 +362,4 @@ def decode(frame: DataFrame, ids: str = "ids", out: str = "decoded", path: str =
             text = code.decode([[i for i in r or [] if i is not None] for r in rows])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array([None if r is None else t for r, t in zip(rows, text, strict=True)], pa.string())], names=schema.names)
 
-    return frame.select(*carry).mapInArrow(run, schema)
+    return bounded(frame).select(*carry).mapInArrow(run, schema)
