@@ -1,13 +1,13 @@
 """Line dedup in DataFrame operations only (no Python on the executors).
 
-Lines become 128-bit hashes.  One aggregation over the distinct keys of each
-document counts the documents of a key and finds its first document; it
-combines on the map side, so a line that a third of all documents hold arrives
-as one row for each task.  The surviving keys are range-partitioned by hash,
-with document and position as secondary sort, and meet the line occurrences in
-a merge join whose skewed partitions Spark may split.  What returns to a
-document is a bitmap of its dropped lines (64 lines a word, words without a
-dropped line left out), never text; the document applies it to its own lines.
+Lines become 128-bit hashes.  Each document's distinct hashes are counted per
+hash and salt, combined on the map side, so a line that a third of all documents
+hold is a few rows.  These are range-partitioned by hash with the document as
+secondary sort; reading a range in order gives each key's number of documents
+and its first occurrence.  The keys meet the line occurrences in a merge join
+whose skewed partitions Spark may split.  What returns to a document is a bitmap
+of its lines (64 lines a word, words without a dropped line left out), never
+text; the document applies it to its own lines, in their positions.
 
 ``rule="common"``: all lines of a key found in ``min_docs`` documents go.
 ``rule="repeat"``: of each key, the first occurrence (by document id, then
@@ -23,13 +23,15 @@ begin with two underscores are kept for this module).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.rows import NO_ID, apart, keyed
 
 #: What is stripped from both ends of a line: [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
+#: Parts of a key that are counted apart.
+SALTS = 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,16 +49,22 @@ def hashed(key: Column) -> list[Column]:
 
 
 def key_table(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, first): keys of at least ``min_docs`` documents and their first document."""
+    """(h1, h2, first): keys of at least ``min_docs`` documents and their first document.
+
+    Counted per key and salt first, so a hot key is a few rows; then ranges of
+    hashes, sorted by document within a key, are read once in order.
+    """
     once = F.array_distinct(F.filter(line_keys(F.col("__text")), lambda k: F.char_length(k) >= min_chars))
-    return (
-        docs.select("__id", F.explode(once).alias("k"))
-        .select("__id", *hashed(F.col("k")))
-        .groupBy("h1", "h2")
+    salted = (
+        docs.select("__id", F.pmod("__rid", F.lit(SALTS)).alias("salt"), F.explode(once).alias("k"))
+        .select("__id", "salt", *hashed(F.col("k")))
+        .groupBy("h1", "h2", "salt")
         .agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
-        .filter(F.col("n") >= min_docs)
-        .select("h1", "h2", "first")
     )
+    ranges = salted.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "first", "salt")
+    key = Window.partitionBy("h1", "h2").orderBy("first", "salt")
+    whole = F.sum("n").over(key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return ranges.select("h1", "h2", "first", whole.alias("n"), F.row_number().over(key).alias("place")).filter((F.col("place") == 1) & (F.col("n") >= min_docs)).select("h1", "h2", "first")
 
 
 def dropped_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, rule: str = "common") -> DataFrame:
