@@ -17,8 +17,9 @@ ip      dotted quads of octets: the 32 bits are permuted
 date    real calendar dates of 1900 to 2099 (year first, or day and month
         first): the day number is permuted within the range
 email   letters and digits of the local part are permuted in place
-secret  AWS-style ids and hexadecimal tokens of 32 characters or more, and
-        key = "..." assignments: each character within its class
+secret  AWS-style ids, hexadecimal tokens of 32 characters or more, and values
+        with a digit after password, token, secret or api key and a = or colon:
+        each character within its class
 
 Digits are permuted as one number: cycle walking keeps a Feistel network over
 a power of two inside the exact range, so the map is a bijection.  The key is
@@ -217,10 +218,21 @@ def secret(s: str, permute) -> str | None:
     return by_class(s, permute, b"secret", hexa=True) if any(c.isdigit() for c in s) else None
 
 
-KINDS: dict[str, Callable] = {"email": email, "secret": secret, "iban": iban, "ip": address, "date": calendar, "ssn": ssn, "card": card, "phone": phone}
+VALUE = re.compile(r"[=:]\s*[\"']?(?=[^\s\"'=:])")
+
+
+def assigned(s: str, permute) -> str | None:
+    """The value after a credential's name; names and punctuation stay."""
+    at = VALUE.search(s).end()
+    new = secret(s[at:], permute)
+    return None if new is None else s[:at] + new
+
+
+KINDS: dict[str, Callable] = {"assigned": assigned, "email": email, "secret": secret, "iban": iban, "ip": address, "date": calendar, "ssn": ssn, "card": card, "phone": phone}
 #: One pass over the text; the first alternative that matches at a place wins, then its validation decides.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}\b)"
+    r"|(?P<assigned>(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.~-]{6,128})"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
@@ -244,7 +256,7 @@ def pseudonymise(text: str, permute: Callable[[int, int, bytes], int]) -> tuple[
         new = KINDS[m.lastgroup](m[0], permute)
         if new is None:
             return m[0]
-        kinds.append(m.lastgroup)
+        kinds.append("secret" if m.lastgroup == "assigned" else m.lastgroup)
         return new
 
     return PATTERN.sub(swap, text), kinds
