@@ -125,16 +125,16 @@ def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-wins AS (SELECT rid, i, md5(t[2 * i + 1 : 2 * i + 400]) AS h FROM (SELECT rid, t, unnest(range(0, n - 199)) AS i FROM docs)),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+wins AS (SELECT rid, i, md5(t[i + 1 : i + 200]) AS h FROM (SELECT rid, t, unnest(range(0, n - 199)) AS i FROM docs)),
 twice AS (SELECT h FROM wins GROUP BY h HAVING count(*) > 1),
 hit AS (SELECT rid, i FROM wins SEMI JOIN twice USING (h)),
 runs AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hit),
 spans AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM runs) GROUP BY rid, g),
 ordered AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS from_ FROM spans),
-kept AS (SELECT rid, string_agg(t[2 * from_ + 1 : 2 * a], '' ORDER BY a) || any_value(t[2 * z + 1 :]) AS k, count(*) AS n_spans, sum(b - a) AS gone
-    FROM (SELECT o.*, d.t, max(b) OVER (PARTITION BY o.rid) AS z FROM ordered o JOIN docs d USING (rid)) GROUP BY rid)
-SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, t))) AS kept_sha256 FROM docs LEFT JOIN kept USING (rid)
+kept AS (SELECT rid, string_agg(hex(t[from_ + 1 : a]), '' ORDER BY a) || any_value(hex(t[z + 1 : n])) AS k, count(*) AS n_spans, sum(b - a) AS gone
+    FROM (SELECT o.*, d.t, d.n, max(b) OVER (PARTITION BY o.rid) AS z FROM ordered o JOIN docs d USING (rid)) GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN k IS NULL THEN sha256(t) ELSE sha256(unhex(k)) END AS kept_sha256 FROM docs LEFT JOIN kept USING (rid)
 """
 
 
