@@ -45,6 +45,11 @@ STRATA = {
     "technology": r"INT8|FP16|NPU|GPU|HBM|ResNet|TOPS|TFLOPS|공정|반도체",
     "commercial_status": r"PoC|계약|양산|검증|유료|고객",
 }
+# Patterns of secrets, names and dates.
+BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+"
+SECRET = r"\bsk-[A-Za-z0-9_-]{16,}\b"
+NAMES = [(r"\b([A-Z]{3,})/[A-Za-z0-9.-]+\b", 1), (r"\b[A-Z]{3,}\b", 0), (r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", 0)]
+FULL_DATE, YEAR = r"(20\d{2}[-./]\d{2}[-./]\d{2})", r"(20\d{2})"
 # Words that look like names but are none.
 NOT_NAMES = ["AID", "PDF", "MIT", "TOP", "GPT", "RAG", "API", "LCEL", "SUMMARY", "REFERENCE"]
 
@@ -96,7 +101,7 @@ def split_reference(raw: Column) -> Column:
 
 
 def year(text: Column) -> Column:
-    full, short = F.regexp_extract(text, r"(20\d{2}[-./]\d{2}[-./]\d{2})", 1), F.regexp_extract(text, r"(20\d{2})", 1)
+    full, short = F.regexp_extract(text, FULL_DATE, 1), F.regexp_extract(text, YEAR, 1)
     return F.coalesce(F.nullif(F.translate(full, "./", "--"), F.lit("")), F.nullif(short, F.lit("")), F.lit("n.d."))
 
 
@@ -145,12 +150,12 @@ def footnotes(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"), r"\bsk-[A-Za-z0-9_-]{16,}\b", "[REDACTED]")
+    return F.regexp_replace(F.regexp_replace(text, BEARER, "Bearer [REDACTED]"), SECRET, "[REDACTED]")
 
 
 def names(text: Column, most: int = 10) -> Column:
     """Candidate names: before a slash, all capitals, camel case; in this order, each once."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((r"\b([A-Z]{3,})/[A-Za-z0-9.-]+\b", 1), (r"\b[A-Z]{3,}\b", 0), (r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", 0))])
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in NAMES])
     return F.slice(F.array_distinct(F.filter(found, lambda x: ~x.isin(NOT_NAMES))), 1, most)
 
 
