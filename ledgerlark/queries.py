@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import hashing, numeric, text
 from ledgerlark.operators import aggregates, joins, ordered
-from ledgerlark.plans import paired, quality, report, retrieval, review, scoring, workflow
+from ledgerlark.plans import paired, quality, report, retrieval, review, samples, scoring, workflow
 from ledgerlark.session import shared_dir, table
 from ledgerlark.streaming import spans as streaming
 
@@ -380,6 +380,35 @@ def verdict_policy(spark, sf):
     return quality.verdicts(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("fact_id"), r.alias("relation")))
 
 
+_SAMPLES = """s AS (SELECT concat(conv_id, '/', turn) AS sample_id, role AS user_input, text AS response, CASE WHEN turn % 4 > 0 THEN substr(text, 1, turn % 4 - 1) END AS reference,
+    CASE turn % 3 WHEN 0 THEN [text] WHEN 1 THEN [' '] END AS ctx, CASE WHEN turn % 2 = 0 THEN 'i' END AS inv, CASE WHEN role = 'system' THEN ['faithfulness'] ELSE ['factual_precision', 'factual_recall', 'faithfulness', 'context_recall', 'context_precision'] END AS sup FROM conversations WHERE length(text) > 5)"""
+
+
+def _samples(spark, sf):
+    t = F.col("turn")
+    every = F.array(*map(F.lit, samples.REQUIRED))
+    return table(spark, sf, "conversations").select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), t.cast("string")).alias("sample_id"), F.col("role").alias("user_input"), F.col("text").alias("response"), F.when(t % 4 > 0, F.substr("text", F.lit(1), (t % 4 - 1).cast("int"))).alias("reference"),
+        F.when(t % 3 == 0, F.array("text")).when(t % 3 == 1, F.array(F.lit(" "))).alias("retrieved_contexts"), F.when(t % 2 == 0, "i").alias("invocation_id"), F.when(F.length("text") > 5, "pending").otherwise("error").alias("evaluation_status"), F.when(F.col("role") == "system", F.array(F.lit("faithfulness"))).otherwise(every).alias("supported"),
+    )
+
+
+@query(f"""WITH {_SAMPLES}, c AS (SELECT *, CASE WHEN user_input IS NULL THEN 'missing' WHEN trim(user_input) = '' THEN 'not_applicable' END AS pu, CASE WHEN response IS NULL THEN 'missing' WHEN trim(response) = '' THEN 'not_applicable' END AS pr,
+    CASE WHEN reference IS NULL THEN 'missing' WHEN trim(reference) = '' THEN 'not_applicable' END AS pf, CASE WHEN ctx IS NULL THEN 'missing' WHEN len(list_filter(ctx, lambda x: trim(x) <> '')) = 0 THEN 'not_applicable' END AS pc, CASE WHEN inv IS NULL THEN 'missing' END AS pi FROM s),
+m AS (SELECT sample_id, sup, unnest([{{'n': 'factual_precision', 'p': coalesce(pr, pf)}}, {{'n': 'factual_recall', 'p': coalesce(pr, pf)}}, {{'n': 'faithfulness', 'p': coalesce(pu, pr, pc)}}, {{'n': 'context_recall', 'p': coalesce(pu, pf, pc, pi)}}, {{'n': 'context_precision', 'p': coalesce(pu, pf, pc, pi)}}]) AS x FROM c)
+SELECT sample_id, x.n AS metric_name, CASE WHEN NOT list_contains(sup, x.n) THEN 'unsupported' ELSE coalesce(x.p, 'pending') END AS status FROM m""")
+def metric_inputs(spark, sf):
+    return samples.metric_inputs(_samples(spark, sf))
+
+
+@query("""WITH p AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' AND l_discount > 0.08 THEN 'error' WHEN l_returnflag = 'A' THEN 'not_applicable' ELSE 'completed' END AS st FROM lineitem)
+SELECT o_orderkey AS sample_id, coalesce(c, true) AS complete FROM orders LEFT JOIN (SELECT l_orderkey, bool_and(st <> 'error') AS c FROM p GROUP BY 1) ON l_orderkey = o_orderkey""")
+def sample_completeness(spark, sf):
+    status = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08), "error").when(F.col("l_returnflag") == "A", "not_applicable").otherwise("completed")
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), "l_linenumber", status.alias("status"))
+    return samples.completeness(table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id")), [li.filter("l_linenumber <= 3"), li.filter("l_linenumber > 3")])
+
+
 # --- ordered ------------------------------------------------------------------
 
 
