@@ -50,21 +50,18 @@ def contained(needles: DataFrame, hay: DataFrame, needle: str, text: str, gram:
     row, as a stated query set in blocks.
     """
     n = needles.withColumn("__w", F.split(F.btrim(F.regexp_replace(needle, r"\s+", " ")), " "))
-    long = n.filter(F.size("__w") >= gram + 2)
     # Inner words only: the outer ones may be parts of longer words in the text.
-    key = F.xxhash64(F.array_join(F.slice("__w", 2, gram), " "))
-    long = long.withColumn("__k", key)
+    long = n.filter(F.size("__w") >= gram + 2).withColumn("__k", F.xxhash64(F.array_join(F.slice("__w", 2, gram), " "))).drop("__w")
     words = F.split(F.btrim(F.regexp_replace(text, r"\s+", " ")), " ")
-    h = hay.withColumn("__hw", words)
+    h = hay.select(F.xxhash64(*hay.columns).alias("__r"), words.alias("__hw")).filter(F.size("__hw") >= gram)
     grams = F.transform(F.sequence(F.lit(1), F.size("__hw") - gram + 1), lambda i: F.xxhash64(F.array_join(F.slice("__hw", i, gram), " ")))
-    ident = [c for c in hay.columns if c != text]
-    hits = h.filter(F.size("__hw") >= gram).select(*hay.columns, F.explode(F.array_distinct(grams)).alias("__k")).join(sized(long.drop("__w")), "__k").drop("__k")
-    found = hits.filter(F.contains(text, needle)).distinct()
+    # Hits carry a hash of the row, not its text; equal rows share their hits.
+    hits = h.select("__r", F.explode(F.array_distinct(grams)).alias("__k")).join(sized(long), "__k").drop("__k").distinct()
+    found = hay.withColumn("__r", F.xxhash64(*hay.columns)).join(hits, "__r").drop("__r").filter(F.contains(text, needle))
     short = [r[0] for r in n.filter(F.size("__w") < gram + 2).select(F.struct(*needles.columns)).collect()]
     for i in range(0, len(short), block):
         part = hay.sparkSession.createDataFrame(short[i : i + block], needles.schema)
         found = found.unionByName(hay.crossJoin(F.broadcast(part)).filter(F.contains(text, needle)).select(*found.columns))
-    del ident
     return found
 
 
