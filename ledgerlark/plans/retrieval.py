@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.operators.ordered import ranked, top_k_per
+from ledgerlark.session import cut
 
 
 def pieces(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
@@ -130,7 +131,7 @@ def sparse_top(weights: DataFrame, queries: DataFrame, ident: str, k: int, block
     A block's queries become a matrix over their own terms; terms that no query
     of the block has cost nothing.
     """
-    rows = weights.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
+    rows = cut(weights.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights")))
 
     def matrices():
         of = queries.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
@@ -150,9 +151,16 @@ def sparse_top(weights: DataFrame, queries: DataFrame, ident: str, k: int, block
         hit = known[at] == term
         out = np.zeros((batch.num_rows, matrix.shape[1]))
         row, at, weight = row[hit], at[hit], weight[hit]
-        step = 1 << 15
-        for i in range(0, len(row), step):
-            np.add.at(out, row[i : i + step], matrix[at[i : i + step]] * weight[i : i + step, None])
+        # Rows are in order: sums of runs, a bounded number of products at a time.
+        edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(edge, edge[i] + (1 << 14), "right")) - 1)
+            full = np.flatnonzero(np.diff(edge[i : j + 1])) + i
+            if len(full):
+                part = slice(edge[i], edge[j])
+                out[full] = np.add.reduceat(matrix[at[part]] * weight[part, None], edge[full] - edge[i], axis=0)
+            i = j
         return np.where(out > 0, out, -np.inf)
 
     return _search(rows, matrices(), ident, k, similar)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import hashing, numeric, text
 from ledgerlark.operators import aggregates, joins, ordered
 from ledgerlark.plans import paired, quality, report, retrieval, review, samples, scoring, workflow
-from ledgerlark.session import shared_dir, table
+from ledgerlark.session import cut, shared_dir, table
 from ledgerlark.streaming import spans as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -533,7 +533,7 @@ def _dense(spark, sf, k):
 
 
 def _sparse(spark, sf, k):
-    w = retrieval.tfidf(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    w = cut(retrieval.tfidf(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"))
     return retrieval.sparse_top(w, w.filter(F.col("doc_id") % 20 == 0), "doc_id", k)
 
 
