@@ -241,9 +241,11 @@ class Codec:
             self.clear()
         flat = list(chain.from_iterable(cut))
         which = list(map(self.index.get, flat))
-        if None in which:
-            self.learn(list({w for w, i in zip(flat, which, strict=True) if i is None}))
-            which = list(map(self.index.__getitem__, flat))
+        new = [k for k, i in enumerate(which) if i is None]
+        if new:
+            self.learn(list({flat[k] for k in new}))
+            for k in new:
+                which[k] = self.index[flat[k]]
         pick = np.array(which, np.int64)
         edge = np.cumsum([0, *map(len, cut)])
 
