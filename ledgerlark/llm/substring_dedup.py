@@ -147,9 +147,10 @@ class FingerprintIndex:
         whole = prints.withColumns({"ka": apart(F.col("anchor")), "kc": apart(F.col("content"))}).join(key, ["ka", "kc"]).filter(F.col("__id") > F.col("first"))
         whole = whole.select("__id", "__rid", F.col("start").alias("a"), (F.col("start") + F.col("count")).alias("b"))
         # Different contents of one anchor: their first owners' windows, one by one.
+        # (Equal rows give them twice, which changes no minimum and no cover.)
         asked = owners.withColumn("ka", apart(F.col("anchor"))).join(per_anchor, "ka", "left_semi")
         asked = asked.select("own.*").groupBy(F.col("__id").alias("i"), F.col("__rid").alias("r")).agg(F.max("new").alias("new"), F.collect_list(F.struct("start", "count")).alias("asked"))
-        asked = texts.join(asked, (F.col("__id") == F.col("i")) & (F.col("__rid") == F.col("r"))).select("__id", "__rid", "__text", "new", "asked").dropDuplicates(["__id", "__rid"])
+        asked = texts.join(asked, (F.col("__id") == F.col("i")) & (F.col("__rid") == F.col("r"))).select("__id", "__rid", "__text", "new", "asked")
         windows = stored(window_hashes(asked, self.window))
         first = windows.groupBy("w1", "w2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).filter("first < last")
         first = first.select(apart(F.col("w1")).alias("k1"), apart(F.col("w2")).alias("k2"), "first")
