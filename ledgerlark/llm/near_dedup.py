@@ -18,11 +18,14 @@ Within a bucket all pairs are never formed:
    over all its buckets; most pairs are met many times and verified once;
 2. after the components of these links are known, every member meets up to
    ``LEADERS`` of the next leaders and ``OTHERS`` members drawn for each band
-   anew, as far as they lie in other components.
+   anew, as far as they lie in other components.  Buckets of more than ``LARGE``
+   members are also cut finer, by the samples of neighbouring bands, and meet
+   the leaders of the finer buckets;
+3. all pairs of different components that a bucket still holds are compared, in
+   blocks of ``BLOCK`` members.  Steps 1 and 2 only spare pairs of this step.
 
 Texts are compared only where the samples leave a similarity of the threshold
-possible (``LEAST_AGREEING`` of all samples agree: four deviations below it).  Buckets of more than ``LARGE`` members are also cut finer, by the
-   samples of neighbouring bands, and meet the leaders of the finer buckets.
+possible (``LEAST_AGREEING`` of all samples agree: four deviations below it).
 
 The result is the connected components of all verified links.
 
@@ -46,6 +49,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 LEADERS, OTHERS, LARGE, FINER = 6, 1, 64, 3
+BLOCK = 256
 SLOTS = 1 << 16
 SEED = 10
 #: Samples that must agree for a pair of the second step to be verified: four deviations below the threshold.
@@ -281,6 +285,34 @@ def further(members: DataFrame) -> DataFrame:
     return met.select("node", F.transform(good, lambda h: h["node"]).alias("others")).filter(F.size("others") > 0)
 
 
+def remaining(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of members (key, node, label, sig) of a bucket in different components whose samples agree enough.
+
+    What lies outside the bucket's largest component meets the whole bucket, block by block.
+    """
+    size = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    size = size.select(apart(F.col("key")).alias("k"), F.col("main.label").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("rows"), blocks(F.col("n")).alias("columns"))
+    met = members.withColumn("k", apart(F.col("key"))).join(size, "k")
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = met.filter("label <> main").select("key", "node", "label", "sig", F.lit(True).alias("outer"), place("rows").alias("i"), each("columns").alias("j"))
+    whole = met.select("key", "node", "label", "sig", F.lit(False).alias("outer"), each("rows").alias("i"), place("columns").alias("j"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, label, outer = (cell.column(c).to_numpy() for c in ("node", "label", "outer"))
+        sig = np.asarray(cell.column("sig").combine_chunks().flatten()).reshape(len(node), -1)
+        x, y = np.flatnonzero(outer), np.flatnonzero(~outer)
+        there, found = sig[y], [np.zeros((2, 0), np.int64)]
+        for i in x:
+            good = node[y[((there == sig[i]).sum(axis=1) >= LEAST_AGREEING) & (label[y] != label[i])]]
+            found.append(np.stack([np.minimum(good, node[i]), np.maximum(good, node[i])]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return outer.unionByName(whole).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def agreeing(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """The pairs whose samples (node, sig) agree often enough for the threshold."""
 
@@ -327,8 +359,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # A node meets the same leaders in many buckets: list each once before pairs are made.
     met = further(open_).unionByName(further(unsettled(finer(open_, heads)))).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     pairs = stored(met.select("node", F.explode("others").alias("other")).select(*ordered("node", "other")).distinct())
-    links = links.unionByName(verified(pairs, texts, table, threshold))
-    label = components(links.select("a", "b")).withColumnRenamed("node", "head")
+    links = stored(links.unionByName(verified(pairs, texts, table, threshold)))
+    label = components(links.select("a", "b"))
+    # Up to LEADERS + 1 members have all met by now.
+    named = mates.filter(F.col("size") > LEADERS + 1).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = stored(remaining(unsettled(named).join(heads.select("node", "sig"), "node")).join(pairs, ["a", "b"], "left_anti"))
+    more = stored(verified(rest, texts, table, threshold))
+    if not more.isEmpty():
+        label = components(links.unionByName(more).select("a", "b"))
+    label = label.withColumnRenamed("node", "head")
     # From the copies' heads to all rows.
     copies = copies.select(apart(F.col("t1")).alias("k1"), apart(F.col("t2")).alias("k2"), "head")
     named = rows.select("__id", "__rid", "node", "n", apart(F.col("t1")).alias("k1"), apart(F.col("t2")).alias("k2")).join(copies, ["k1", "k2"], "left")

@@ -382,6 +382,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {d: find(d) for d in range(len(docs))}
 
 
+def test_pairs_beyond_the_leaders_are_found(spark):
+    """One template in all texts, each text below the threshold to all but its partner."""
+    rng = random.Random(11)
+    fresh = iter(range(10**6))
+    template = [f"t{i}" for i in range(1000)]
+    docs = []
+    for _ in range(100):
+        common = [f"c{next(fresh)}" for _ in range(6)]
+        docs += [(len(docs) + k, " ".join(template + common + [f"u{next(fresh)}" for _ in range(21)])) for k in range(2)]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    table = near_dedup.idf(*near_dedup.word_table(frame, "text"))
+    text = dict(docs)
+    partner = near_dedup.similarity(pa.array([text[d] for d in range(0, 200, 2)]), pa.array([text[d + 1] for d in range(0, 200, 2)]), table)
+    other = near_dedup.similarity(pa.array([text[0]] * 198), pa.array([text[d] for d in range(2, 200)]), table)
+    assert partner.min() >= near_dedup.THRESHOLD > other.max()
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == {d: d - d % 2 for d in range(200)}
+
+
 def test_weighted_jaccard_by_hand():
     flat = np.ones(near_dedup.SLOTS, np.float32)
     a, b = "a b c d e f", "a b c d e g"
