@@ -121,17 +121,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, idf_: np.ndarray) -> tuple[n
 class Sampler:
     """Improved consistent weighted sampling with tabled random variates.
 
-    A sample's variates (r and c of Gamma(2, 1), uniform b) are rows of one
-    table, chosen by bits of the shingle's hash and the sample's number.  The
-    sample is identified by its least ln a, which depends on the shingle, the
-    sample's number and the step t of the weight only.
+    A sample's variates (r and c of Gamma(2, 1), uniform b) come from three
+    tables, each indexed by 16 bits of its own of a hash of the shingle and the
+    sample's number: 2^48 combinations, so that a text of any length is sampled
+    by its shingles.  The sample is identified by the shingle of the least ln a
+    and by that value, which holds the step t of the weight.
     """
 
     def __init__(self, samples: int):
         u = [(K.seeded(1 << 16, 100 + i) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2**-54 for i in range(5)]
         r, lnc, b = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
-        self.inverse, self.shift, self.r = (1 / r).astype(np.float32), b.astype(np.float32), r.astype(np.float32)
-        self.base = (lnc + r * (b - 1)).astype(np.float32)
+        self.inverse, self.shift, self.r, self.lnc = (1 / r).astype(np.float32), b.astype(np.float32), r.astype(np.float32), lnc.astype(np.float32)
         self.odd = K.seeded(samples, 77) | np.uint64(1)
 
     def signature(self, at: np.ndarray, value: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -149,11 +149,20 @@ class Sampler:
                 j += 1
             a, b = at[full[i]], at[full[j - 1] + 1]
             v, w, starts = value[a:b], lnw[a:b], at[full[i:j]] - a
+            size = np.diff(np.append(starts, b - a))
             for k, odd in enumerate(self.odd):
-                x = ((v * odd) >> np.uint64(48)).astype(np.int64)
-                t = np.floor(w * self.inverse[x] + self.shift[x])
-                low = self.base[x] - self.r[x] * t
-                out[full[i:j], k] = np.minimum.reduceat(low, starts).view(np.int32)
+                # The high bits of a product mix well; the halves are folded so that all index bits do.
+                h = v * odd
+                h = (h ^ (h >> np.uint64(32))) * odd
+                x, y, z = (h >> np.uint64(48)).view(np.int64), ((h >> np.uint64(32)) & np.uint64(0xFFFF)).view(np.int64), ((h >> np.uint64(16)) & np.uint64(0xFFFF)).view(np.int64)
+                r, shift = self.r[x], self.shift[z]
+                t = np.floor(w * self.inverse[x] + shift)
+                low = self.lnc[y] - r * (t + 1 - shift)
+                least = np.minimum.reduceat(low, starts)
+                # The first place of each row's least value (equal values: the least hash, as shingles are sorted by it).
+                place = np.flatnonzero(low == np.repeat(least, size))
+                place = place[np.searchsorted(place, starts)]
+                out[full[i:j], k] = (K.mix(v[place] ^ least.view(np.uint32)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             i = j
         return out
 

@@ -419,3 +419,11 @@ def test_samples_agree_as_often_as_similar():
     both = w[50:100].sum()
     total = w[:100].sum() + 1.5 * w[50:150].sum() - both
     assert abs((sig[0] == sig[1]).mean() - both / total) < 0.04
+
+
+def test_samples_of_unlike_long_texts_differ():
+    sampler = near_dedup.Sampler(48)
+    n = 200_000
+    value = np.concatenate([np.sort(kernels.seeded(n, seed)) for seed in (21, 22)])
+    sig = sampler.signature(np.array([0, n, 2 * n]), value, np.full(2 * n, 4, np.float32))
+    assert (sig[0] == sig[1]).sum() <= 1
