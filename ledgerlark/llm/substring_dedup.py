@@ -12,9 +12,10 @@ content, one for each batch.  A new batch is merge-joined with the runs:
 * a fragment whose content has an owner with a smaller document id is covered
   as a whole;
 * an anchor with different contents is contested: the windows of the first
-  owner of each content (history's and the batch's) are hashed one by one, and
-  a window is covered if its 128-bit hash has a smaller owner.  This is the
-  verification of anchor hits: whole windows are compared.
+  owner of each content (history's and the batch's), and of the content's other
+  places in documents of the owner's id, are hashed one by one, and a window is
+  covered if its 128-bit hash has a smaller owner.  This is the verification of
+  anchor hits: whole windows are compared.
 
 Then the batch becomes a run.  When there are more than ``MAX_RUNS`` runs they
 are compacted into one that keeps the first owner of each content.
@@ -107,9 +108,9 @@ class FingerprintIndex:
 
     @staticmethod
     def owners(prints: DataFrame) -> DataFrame:
-        """The first owner of each content: one row for each (anchor, content)."""
+        """The first owner of each content and its number of places: one row for each (anchor, content)."""
         place = F.struct("__id", "__rid", "start", "count", "new")
-        return prints.groupBy("anchor", "content").agg(F.min(place).alias("own"))
+        return prints.groupBy("anchor", "content").agg(F.min(place).alias("own"), F.count(F.lit(1)).alias("places"))
 
     def append(self, prints: DataFrame) -> None:
         """Writes a run: first owners only, sorted, each file a range of anchors."""
@@ -140,7 +141,7 @@ class FingerprintIndex:
         history = self.history()
         mine = prints.select("anchor", "content", "__id", "__rid", "start", "count", F.lit(True).alias("new"))
         both = mine if history is None else mine.unionByName(history.select(*mine.columns))
-        owners = stored(self.owners(both).select("anchor", "content", "own"))
+        owners = stored(self.owners(both))
         per_anchor = owners.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart(F.col("anchor")).alias("ka"))
         # Equal content, smaller owner: covered as a whole.
         key = owners.select(apart(F.col("anchor")).alias("ka"), apart(F.col("content")).alias("kc"), F.col("own.__id").alias("first"))
@@ -148,8 +149,12 @@ class FingerprintIndex:
         whole = whole.select("__id", "__rid", F.col("start").alias("a"), (F.col("start") + F.col("count")).alias("b"))
         # Different contents of one anchor: their first owners' windows, one by one.
         # (Equal rows give them twice, which changes no minimum and no cover.)
-        asked = owners.withColumn("ka", apart(F.col("anchor"))).join(per_anchor, "ka", "left_semi")
-        asked = asked.select("own.*").groupBy(F.col("__id").alias("i"), F.col("__rid").alias("r")).agg(F.max("new").alias("new"), F.collect_list(F.struct("start", "count")).alias("asked"))
+        contested = owners.withColumn("ka", apart(F.col("anchor"))).join(per_anchor, "ka", "left_semi")
+        # A content's further places under its owner's id are not covered as a whole: ask for them too.
+        twice = contested.filter("own.new and places > 1").select("ka", apart(F.col("content")).alias("kc"), F.col("own.__id").alias("first"))
+        again = prints.withColumns({"ka": apart(F.col("anchor")), "kc": apart(F.col("content"))}).join(twice, ["ka", "kc"]).filter(F.col("__id") == F.col("first"))
+        asked = contested.select("own.*").unionByName(again.select("__id", "__rid", "start", "count", F.lit(True).alias("new")))
+        asked = asked.groupBy(F.col("__id").alias("i"), F.col("__rid").alias("r")).agg(F.max("new").alias("new"), F.collect_set(F.struct("start", "count")).alias("asked"))
         asked = texts.join(asked, (F.col("__id") == F.col("i")) & (F.col("__rid") == F.col("r"))).select("__id", "__rid", "__text", "new", "asked")
         windows = stored(window_hashes(asked, self.window))
         first = windows.groupBy("w1", "w2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).filter("first < last")

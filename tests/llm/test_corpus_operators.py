@@ -260,6 +260,18 @@ def test_word_windows_equal_brute_force(spark, batches):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == want
 
 
+@pytest.mark.parametrize("batches", [1, 2])
+def test_repeated_places_of_an_owner_are_judged(spark, batches):
+    """A passage of document 1 stands twice in document 2, and in both rows of document 3, in surroundings of their own."""
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = text("p", 60)
+    inside = lambda name: f"{text(name, 70)} {passage} {text(name + 'z', 70)}"
+    docs = [(1, inside("a")), (2, f"{inside('b')} {text('m', 80)} {inside('b')}"), (3, f"x {inside('c')}"), (3, f"y y {inside('c')}"), (4, text("d", 90))]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), batches=batches).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in out) == [(1, 0), (2, 120), (3, 60), (3, 60), (4, 0)]
+    assert next(r.kept for r in out if r.doc_id == 2) == docs[1][1].replace(passage + " ", "")
+
+
 def test_runs_are_compacted(spark):
     index = substring_dedup.FingerprintIndex(spark, 6, 2, max_runs=2)
     everything = None
