@@ -45,6 +45,7 @@ from pyspark.sql import types as T
 from ledgerlark.llm.batches import bounded
 
 ROUNDS = 8
+BLOCK = 128
 KEY = b"ledgerlark-demo-key"
 
 
@@ -110,6 +111,12 @@ def by_class(text: str, permute: Callable[[int, int, bytes], int], tweak: bytes,
             classes.append("0123456789ABCDEF" if text.isupper() else "0123456789abcdef")
         else:
             classes.append(next((s for s in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in s), ""))
+    # Long values in blocks of a size that the network mixes whole.
+    parts = range(0, len(text), BLOCK)
+    return "".join(block(text[i : i + BLOCK], classes[i : i + BLOCK], permute, tweak + (b"@%d/" % i if i else b"")) for i in parts)
+
+
+def block(text: str, classes: list[str], permute: Callable[[int, int, bytes], int], tweak: bytes) -> str:
     value, size = 0, 1
     for c, s in zip(text, classes, strict=True):
         if s:
@@ -229,19 +236,23 @@ def assigned(s: str, permute) -> str | None:
 
 
 KINDS: dict[str, Callable] = {"assigned": assigned, "email": email, "secret": secret, "iban": iban, "ip": address, "date": calendar, "ssn": ssn, "card": card, "phone": phone}
-#: One pass over the text; the first alternative that matches at a place wins, then its validation decides.
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}\b)"
-    r"|(?P<assigned>(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.~-]{6,128})"
-    r"|(?P<secret>(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9]))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?![\w]|[-/.]\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d(?:[ ().-]{0,2}\d){7,14}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|[.-]\d))",
-    re.ASCII,
-)
+#: At a place the first kind that matches and is valid wins.
+FORMS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}\b",
+    "assigned": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.~-]{6,}",
+    "secret": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
+    "date": r"(?<![\w./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?!(?![Tt]\d)\w|[-/.]\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
+    "phone": r"(?<![\w.])(?:\+\d(?:[ ().-]{0,2}\d){7,14}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|[.-]\d)",
+}
+ALONE = {kind: re.compile(form, re.ASCII) for kind, form in FORMS.items()}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{form})" for kind, form in FORMS.items()), re.ASCII)
+#: Kinds written in groups, which a match may join with what follows.
+GROUPED, BORDER = ("card", "iban"), re.compile("[ -]")
+ORDER = list(FORMS)
 #: A place where a value may begin: only there is the pattern tried.
 HINT = re.compile(r"[0-9@]|A[KS]IA|[0-9a-fA-F]{32}")
 
@@ -251,15 +262,33 @@ def pseudonymise(text: str, permute: Callable[[int, int, bytes], int]) -> tuple[
     if not HINT.search(text):
         return text, []
     kinds: list[str] = []
-
-    def swap(m: re.Match) -> str:
-        new = KINDS[m.lastgroup](m[0], permute)
-        if new is None:
-            return m[0]
-        kinds.append("secret" if m.lastgroup == "assigned" else m.lastgroup)
-        return new
-
-    return PATTERN.sub(swap, text), kinds
+    out: list[str] = []
+    done = at = 0
+    while m := PATTERN.search(text, at):
+        got = replaced(text, m, permute)
+        if got is None:
+            # Another value may begin inside.
+            at = m.start() + 1
+            continue
+        kind, end, new = got
+        kinds.append("secret" if kind == "assigned" else kind)
+        out += [text[done : m.start()], new]
+        done = at = end
+    return "".join(out) + text[done:], kinds
+
+
+def replaced(text: str, m: re.Match, permute: Callable[[int, int, bytes], int]) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the first valid value at the match's place: whole, cut at a group's border, or of a later kind."""
+    for kind in ORDER[ORDER.index(m.lastgroup) :]:
+        found = m[0] if kind == m.lastgroup else (other := ALONE[kind].match(text, m.start())) and other[0]
+        if not found:
+            continue
+        cuts = [c.start() for c in BORDER.finditer(found)] if kind in GROUPED else []
+        for size in [len(found), *reversed(cuts)]:
+            new = KINDS[kind](found[:size], permute)
+            if new is not None:
+                return kind, m.start() + size, new
+    return None
 
 
 def permuter(key: bytes) -> Callable[[int, int, bytes], int]:

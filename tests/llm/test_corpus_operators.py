@@ -54,6 +54,33 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymise(text, pii.permuter(b"k")) == (text, [])
 
 
+HEXA = "0123456789abcdef" * 20
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "kinds"),
+    [
+        ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", ["card"]),
+        ("4111 1111 1111 1111 123", "4111 1111 1111 1111", ["card"]),
+        ("no 12 4111 1111 1111 1111.", "4111 1111 1111 1111", ["card"]),
+        ("BE68 5390 0754 7034 PAID", "BE68 5390 0754 7034", ["iban"]),
+        ("988 555 2485 1234567", "988 555 2485", ["phone"]),
+        ("at 2024-01-05T10:00:00Z", "2024-01-05", ["date"]),
+        (f"token={HEXA}", HEXA, ["secret"]),
+        (f"x {HEXA.upper()} y", HEXA.upper(), ["secret"]),
+    ],
+)
+def test_values_beside_other_text(text, value, kinds):
+    out, found = pii.pseudonymise(text, pii.permuter(b"k1"))
+    before, _, after = text.partition(value)
+    assert found == kinds
+    assert out.startswith(before)
+    assert out.endswith(after)
+    new = out[len(before) : len(out) - len(after)]
+    assert len(new) == len(value)
+    assert all(new[i : i + 128] != value[i : i + 128] for i in range(0, len(value), 128))
+
+
 # --- 2 ------------------------------------------------------------------------
 
 
