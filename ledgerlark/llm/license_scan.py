@@ -4,9 +4,9 @@ All rolling word k-gram hashes of a document are joined to the positions of
 the same k-grams in the templates.  A hit votes for the diagonal (position in
 the document minus position in the template); a run of hits on one diagonal is
 one copy without insertions.  Diagonals of one template that differ by at most
-``drift`` and stand at neighbouring places are merged into a span, which
-absorbs inserted and lost words, and a span is verified by the share of the
-template's k-grams that it holds in order.
+``drift`` and stand at neighbouring places are merged into a span, first upward
+(inserted words raise the diagonal), then downward (lost words lower it), and a
+span is verified by the share of the template's k-grams that it holds in order.
 
 Phrases are templates that must stand whole: a diagonal with every k-gram of
 the phrase is one exact place.
@@ -124,12 +124,15 @@ def label_documents(docs: DataFrame, phrases: dict[str, str] = BASE, notices: di
     step = F.col("diagonal") - F.lag("diagonal").over(ordered)
     over = F.col("tlo") <= F.lag("thi").over(ordered)
     alone = F.coalesce(F.col("exact") | (step > drift) | over, F.lit(True)).cast("int")
-    merged = (
-        votes.withColumn("span", F.sum(alone).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("__uid", "doc_id", "n_words", "tid", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"), F.max("tlen").alias("tlen"), F.max("label").alias("label"), F.max("exact").alias("exact"))
-        .withColumn("share", F.least(F.lit(1.0), F.col("votes") / (F.col("tlen") - GRAM + 1)))
-    )
+    sums = [F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("tlo").alias("tlo"), F.max("thi").alias("thi"), F.min("diagonal").alias("diagonal"), F.max("last").alias("last"), F.max("tlen").alias("tlen"), F.max("label").alias("label"), F.max("exact").alias("exact")]
+    span = lambda w: F.sum("alone").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    merged = votes.withColumns({"last": F.col("diagonal"), "alone": alone}).withColumn("span", span(ordered)).groupBy("__uid", "doc_id", "n_words", "tid", "span").agg(*sums)
+    # Lost words lower the diagonal: the same from the highest diagonal down.
+    downward = Window.partitionBy("__uid", "doc_id", "n_words", "tid").orderBy(F.desc("last"), "span")
+    step = F.lag("diagonal").over(downward) - F.col("last")
+    over = F.col("tlo") <= F.lag("thi").over(downward)
+    alone = F.coalesce(F.col("exact") | (step > drift) | over, F.lit(True)).cast("int")
+    merged = merged.withColumn("alone", alone).withColumn("span", span(downward)).groupBy("__uid", "doc_id", "n_words", "tid", "span").agg(*sums).withColumn("share", F.least(F.lit(1.0), F.col("votes") / (F.col("tlen") - GRAM + 1)))
     place = F.col("exact") & (F.col("share") == 1.0)
     good = place | (~F.col("exact") & (F.col("share") >= min_share))
     return (

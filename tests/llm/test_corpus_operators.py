@@ -136,6 +136,15 @@ def test_license_places_and_spans(spark):
     assert (got[4].n_words, got[4].labels, got[4].score) == (0, "", 0)
 
 
+def test_notice_without_a_word(spark):
+    notice = next(t for t, label in license_scan.NOTICES.items() if label == "mit")
+    texts = ["a b c " + notice.replace("person ", ""), notice.replace("person ", "").replace("free of", "free and of"), notice.replace("granted ", "").replace("person ", ""), notice]
+    got = {r.doc_id: r for r in license_scan.label_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[d].labels for d in (0, 1, 3)] == ["mit"] * 3
+    assert (round(got[0].score, 4), got[3].score) == (round(15 / 18, 4), 1)
+    assert got[2].score > 0.6
+
+
 # --- 4 ------------------------------------------------------------------------
 
 TEXTS = ["a  b", "  lead", "tab\tx\n\n y  ", "日本 語😀 \x00", "", "▁x", "<s> hi </s>", " ", "\n", "a\n", "é́ ².", "Grüße aus Köln, 12.5 %"]
