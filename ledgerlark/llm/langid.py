@@ -37,7 +37,6 @@ EMBED = 8
 PER_LANG = 400
 WINDOWS = 6
 EPOCHS = 8
-MOST_LANGS = 500
 
 
 @dataclass
@@ -172,7 +171,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     ``per_lang`` least hashes.
     """
     rows = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull() & docs[doc_id].isNotNull() & ~held_out(docs[doc_id]))
-    counts = {r[0]: r[1] for r in rows.groupBy(rows[lang].alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGS).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(rows[lang].alias("l")).count().collect()}
     if not counts:
         return train([], [])
     draw = F.pmod(F.xxhash64(rows[doc_id], F.lit("langid")), F.lit(1 << 30))

@@ -203,6 +203,12 @@ def test_language_id_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_every_language_is_learnt(spark):
+    ids = [d for d in range(1000) if zlib.crc32(str(d).encode()) % 4 != 2][:520]
+    docs = spark.createDataFrame([(d, f"word{k} and more", f"l{k:03d}") for k, d in enumerate(ids)], "doc_id long, text string, lang string")
+    assert langid.learn(docs).langs == [f"l{k:03d}" for k in range(520)]
+
+
 # --- 6 and 8 ------------------------------------------------------------------
 
 
