@@ -22,7 +22,8 @@ Within a bucket all pairs are never formed:
    members are also cut finer, by the samples of neighbouring bands, and meet
    the leaders of the finer buckets;
 3. all pairs of different components that a bucket still holds are compared, in
-   blocks of ``BLOCK`` members.  Steps 1 and 2 only spare pairs of this step.
+   blocks of members that carry their shingles.  Steps 1 and 2 only spare pairs
+   of this step; it alone would find the same classes.
 
 Texts are compared only where the samples leave a similarity of the threshold
 possible (``LEAST_AGREEING`` of all samples agree: four deviations below it).
@@ -42,14 +43,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import kernels as K
-from ledgerlark.llm.rows import apart, keyed, real_id
+from ledgerlark.llm.rows import apart, keyed, packed, real_id
 from ledgerlark.llm.shared import components, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 LEADERS, OTHERS, LARGE, FINER = 6, 1, 64, 3
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 SLOTS = 1 << 16
 SEED = 10
 #: Samples that must agree for a pair of the second step to be verified: four deviations below the threshold.
@@ -294,32 +295,86 @@ def further(members: DataFrame) -> DataFrame:
     return met.select("node", F.transform(good, lambda h: h["node"]).alias("others")).filter(F.size("others") > 0)
 
 
-def remaining(members: DataFrame) -> DataFrame:
-    """(a, b): all pairs of members (key, node, label, sig) of a bucket in different components whose samples agree enough.
+def profiles(texts: DataFrame, idf_: np.ndarray) -> DataFrame:
+    """(node, shingles, weights): the distinct shingles of each text, by hash."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf_)
 
-    What lies outside the bucket's largest component meets the whole bucket, block by block.
+    def run(batches):
+        for batch in batches:
+            column = batch.column("__text")
+            for i, j in K.slices(column):
+                at, value, weight, _, _ = shingles(*K.columns_bytes(column.slice(i, j - i)), shared.value)
+                # In the order of the unsigned hashes; shingles come in that of their high bits.
+                row = K.row_of(at)
+                order = np.lexsort((value, row))
+                to = pa.array(at, pa.int32())
+                lists = [pa.ListArray.from_arrays(to, pa.array(x)) for x in (value[order].view(np.int64), weight[order].astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), *lists], names=["node", "shingles", "weights"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>, weights array<float>")
+
+
+def lists_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and n + 1 offsets."""
+    whole = column.combine_chunks()
+    return np.asarray(whole.flatten()), np.append(0, np.cumsum(np.asarray(whole.value_lengths()), dtype=np.int64))
+
+
+def remaining(members: DataFrame, profiles_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): the links among all pairs of members (key, band, node, label, n, sig, bands) of a bucket in different components.
+
+    What lies outside the bucket's largest component meets the whole bucket, in
+    blocks of ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles.  A pair whose
+    samples agree enough is compared by its shingles within the block, in the
+    first bucket that both share; only links leave it.
     """
-    size = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    size = size.select(apart(F.col("key")).alias("k"), F.col("main.label").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("rows"), blocks(F.col("n")).alias("columns"))
+    size = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).groupBy("key")
+    size = size.agg(F.max(F.struct("c", "label", "n")).alias("main"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    blocks = lambda c, n: F.greatest(F.ceil(c / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    size = size.select(apart(F.col("key")).alias("k"), F.col("main.label").alias("main"), blocks(F.col("c") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("rows"), blocks(F.col("c"), F.col("n")).alias("columns"))
     met = members.withColumn("k", apart(F.col("key"))).join(size, "k")
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outer = met.filter("label <> main").select("key", "node", "label", "sig", F.lit(True).alias("outer"), place("rows").alias("i"), each("columns").alias("j"))
-    whole = met.select("key", "node", "label", "sig", F.lit(False).alias("outer"), each("rows").alias("i"), place("columns").alias("j"))
+    kept = ["key", "band", "node", "label", "sig", "bands"]
+    outer = met.filter("label <> main").select(*kept, F.lit(True).alias("outer"), place("rows").alias("i"), each("columns").alias("j"))
+    whole = met.select(*kept, F.lit(False).alias("outer"), each("rows").alias("i"), place("columns").alias("j"))
+    found = profiles_.withColumn("m", apart(F.col("node"))).drop("node")
+    cells = outer.unionByName(whole).withColumn("m", apart(F.col("node"))).join(found, "m").drop("m")
 
     def run(cell: pa.Table) -> pa.Table:
         node, label, outer = (cell.column(c).to_numpy() for c in ("node", "label", "outer"))
-        sig = np.asarray(cell.column("sig").combine_chunks().flatten()).reshape(len(node), -1)
-        x, y = np.flatnonzero(outer), np.flatnonzero(~outer)
-        there, found = sig[y], [np.zeros((2, 0), np.int64)]
-        for i in x:
-            good = node[y[((there == sig[i]).sum(axis=1) >= LEAST_AGREEING) & (label[y] != label[i])]]
-            found.append(np.stack([np.minimum(good, node[i]), np.maximum(good, node[i])]))
-        a, b = np.concatenate(found, axis=1)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return outer.unionByName(whole).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        sig, bands = (lists_of(cell.column(c))[0].reshape(len(node), -1) for c in ("sig", "bands"))
+        value, at = lists_of(cell.column("shingles"))
+        value = value.view(np.uint64)
+        weight = lists_of(cell.column("weights"))[0].astype(np.float64)
+        total = np.add.reduceat(weight, at[:-1])
+        band = int(cell.column("band")[0].as_py())
+        y = np.flatnonzero(~outer)
+        out = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+        for i in np.flatnonzero(outer):
+            good = y[((sig[y] == sig[i]).sum(axis=1) >= LEAST_AGREEING) & (label[y] != label[i])]
+            good = good[(bands[good] == bands[i]).argmax(axis=1) == band]
+            own, own_weight = value[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]
+            step = 0
+            while step < len(good):
+                # So many partners at a time that their shingles fit the cache.
+                part = good[step : step + max(1, (1 << 17) // max(1, len(own)))]
+                step += len(part)
+                length = at[part + 1] - at[part]
+                edge = np.append(0, np.cumsum(length))
+                place = np.arange(edge[-1]) + np.repeat(at[part] - edge[:-1], length)
+                where = np.minimum(np.searchsorted(own, value[place]), len(own) - 1)
+                shared = np.where(own[where] == value[place], np.minimum(own_weight[where], weight[place]), 0.0)
+                both = np.add.reduceat(shared, edge[:-1])
+                s = both / np.maximum(total[i] + total[part] - both, 1e-12)
+                links = part[s >= threshold]
+                out[0].append(np.stack([np.minimum(node[links], node[i]), np.maximum(node[links], node[i])]))
+                out[1].append(s[s >= threshold])
+        (a, b), s = np.concatenate(out[0], axis=1), np.concatenate(out[1])
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "similarity": pa.array(s)})
+
+    # Two members that both lie outside the largest component meet twice.
+    return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
 def agreeing(pairs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -357,7 +412,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     heads = rows.join(copies.select(F.col("head").alias("node")), "node", "left_semi")
     mates = stored(buckets(heads.select("node", F.posexplode("bands").alias("band", "key"))))
     wanted = mates.select("node").distinct()
-    heads = stored(heads.join(wanted, "node", "left_semi").select("node", "__id", "__rid", "sig", "bands"))
+    heads = stored(heads.join(wanted, "node", "left_semi").select("node", "__id", "__rid", "n", "sig", "bands"))
     found = heads.select("node", F.col("__id").alias("i"), F.col("__rid").alias("r"))
     texts = stored(base.join(found, (F.col("__id") == F.col("i")) & (F.col("__rid") == F.col("r"))).select("node", "__text").dropDuplicates(["node"]))
     met = agreeing(leader_pairs(mates), heads.select("node", "sig"))
@@ -372,8 +427,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     label = components(links.select("a", "b"))
     # Up to LEADERS + 1 members have all met by now.
     named = mates.filter(F.col("size") > LEADERS + 1).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = stored(remaining(unsettled(named).join(heads.select("node", "sig"), "node")).join(pairs, ["a", "b"], "left_anti"))
-    more = stored(verified(rest, texts, table, threshold))
+    rest = stored(unsettled(named).join(heads.select("node", "n", "sig", "bands"), "node").select("key", "band", "node", "label", "n", "sig", "bands"))
+    shapes = stored(profiles(texts.join(rest.select("node").distinct(), "node", "left_semi"), table))
+    more = stored(remaining(rest, shapes, threshold))
     if not more.isEmpty():
         label = components(links.unionByName(more).select("a", "b"))
     label = label.withColumnRenamed("node", "head")
@@ -396,13 +452,10 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "
     found = near_duplicates(docs, text, doc_id, threshold)
     per = stored(found.groupBy("__id", "__rid").agg(F.max("__first").alias("stays"), F.count(F.lit(1)).alias("rows")))
     gone = per.filter("not stays").select(F.col("__id").alias("__i"), F.col("__rid").alias("__r"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    number = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    full = docs.withColumns({"__k": number, "__h": F.xxhash64(number, body)})
-    left = full.join(gone, (F.col("__k") == F.col("__i")) & (F.col("__h") == F.col("__r")), "left_anti")
+    left = packed(docs, text, doc_id).join(gone, (F.col("__k") == F.col("__i")) & (F.col("__h") == F.col("__r")), "left_anti")
     many = per.filter("stays and rows > 1").select(F.col("__id").alias("__i"), F.col("__rid").alias("__r"), F.lit(True).alias("__many"))
     if many.isEmpty():
-        return left.select(*docs.columns)
+        return left.select("__row.*")
     marked = left.join(many, (F.col("__k") == F.col("__i")) & (F.col("__h") == F.col("__r")), "left")
     once = marked.filter("__many").dropDuplicates(["__k", "__h"])
-    return marked.filter("__many is null").unionByName(once).select(*docs.columns)
+    return marked.filter("__many is null").unionByName(once).select("__row.*")

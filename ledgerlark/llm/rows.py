@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlark.llm.batches import bounded
 
@@ -15,11 +16,33 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     """``docs`` as (__id, __rid, __text): id without nulls, 64-bit hash of id and text, text without nulls.
 
     Rows with the same id and text share a key; they are equal, so they share
-    their results too.
+    their results too.  Ids must be integers: their order decides which copy
+    stays.  (``NO_ID`` itself counts as null.)
     """
-    body = F.coalesce(bounded(docs)[text], F.lit(""))
+    bounded(docs)
+    id_, rid = row_key(docs, text, doc_id)
+    return docs.select(id_.alias("__id"), rid.alias("__rid"), F.coalesce(docs[text], F.lit("")).alias("__text"))
+
+
+def row_key(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
+    """The id and hash of :func:`keyed` as columns of ``docs``."""
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be an integer column, not {docs.schema[doc_id].dataType.simpleString()}")
     number = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
-    return docs.select(number.alias("__id"), F.xxhash64(number, body).alias("__rid"), body.alias("__text"))
+    return number, F.xxhash64(number, F.coalesce(docs[text], F.lit("")))
+
+
+def packed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(__row, __k, __h): the rows as structs, so that no name of theirs can clash, and their keys."""
+    id_, rid = row_key(docs, text, doc_id)
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), id_.alias("__k"), rid.alias("__h"))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``docs`` has no such column."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
 
 
 def real_id(column: Column) -> Column:
