@@ -299,9 +299,10 @@ def repeated(source: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, fine
     mixed = live.filter("mixed")
     place = F.struct("__id", "__rid", "__off", "start", "count", "phase")
     owners = stored(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("own")))
-    many = owners.filter("n > 1").select(apart(F.col("anchor")).alias("ka"), apart(F.col("content")).alias("kc"))
-    copies = mixed.withColumns({"ka": apart(F.col("anchor")), "kc": apart(F.col("content"))}).join(many, ["ka", "kc"], "left_semi")
-    out = out.unionByName(copies.select(*span))
+    # Repeated contents: all but those with one place.  Joined by place, which no hot content can gather.
+    at = ["__id", "__rid", "__off", "start"]
+    once = owners.filter("n = 1").select(*[F.col(f"own.{c}").alias(c) for c in at])
+    out = out.unionByName(mixed.join(once, at, "left_anti").select(*span))
     groups = owners.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select(apart(F.col("anchor")).alias("ka"), (F.col("c") > most).alias("hot"))
     asked = stored(owners.withColumn("ka", apart(F.col("anchor"))).join(groups, "ka").select("anchor", "n", "hot", "own.*"))
     parts = stored(contents(source, asked, window))
