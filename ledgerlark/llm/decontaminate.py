@@ -8,15 +8,19 @@ verified with Myers' bit-parallel distance of the item's words to the document
 words around it.
 
 Benchmark items are taken in blocks of at most ``BLOCK_BYTES`` of text; each
-block is broadcast (a proven bound) and meets all documents in one map, so
-documents are never shuffled and a larger benchmark costs more passes, not more
-memory.
+block is broadcast (a proven bound) and meets all documents in a map of its own,
+so documents are never shuffled and a larger benchmark costs more passes, not
+more memory in a task.
 
-Words are runs of letters and digits, ASCII letters lower-cased.  Items of less
-than ``MIN_WORDS`` words are too common to tell a leak and are left out.
+Words are runs of letters and digits, ASCII letters lower-cased; in scripts
+without blanks (Chinese, Japanese, Thai) each character is a word.  Items of
+less than 1 / budget words are sought exactly (k = 0).  ``min_words`` leaves
+shorter items out; by default only items without any word are.
 
 Defined results: null or empty texts match nothing; repeated documents each get
-their own rows; repeated items each count as an item; null ids pass through.
+their own rows; repeated items each count as an item; ties in distance go to the
+first place; an empty benchmark matches nothing; null ids and extra columns pass
+through, and an input column ``__leaks`` is replaced by :func:`find_leaks`.
 """
 
 from __future__ import annotations
@@ -32,13 +36,22 @@ from pyspark.sql import types as T
 
 from ledgerlark.llm.batches import bounded
 from ledgerlark.llm import kernels as K
+from ledgerlark.llm.rows import apart
 
 BUDGET = 0.2
-MIN_WORDS = 5
+MIN_WORDS = 1
 BLOCK_BYTES = 16 << 20
 SEED = 2
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of the words, and the rows' word offsets; characters of scripts without blanks stand alone."""
+    second = np.append(data[1:], np.uint8(0))
+    # By their first two bytes: U+0E00-0E7F, U+3040-9FFF, U+F900-FAFF; each has three bytes.
+    alone = np.flatnonzero(((data == 0xE0) & ((second == 0xB8) | (second == 0xB9))) | ((data == 0xE3) & (second >= 0x81)) | ((data >= 0xE4) & (data <= 0xE9)) | ((data == 0xEF) & (second >= 0xA4) & (second <= 0xAB)))
+    return K.words(data, offsets, K.WORD, np.concatenate([alone, np.minimum(alone + 3, len(data))]) if len(alone) else None)
+
+
 def myers(item: list[bytes], text: list[bytes], most: int) -> tuple[int, int] | None:
     """(least distance of ``item`` to a stretch of ``text``, end of the first such stretch), or None beyond ``most``."""
     n = len(item)
@@ -81,15 +94,15 @@ class Block:
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def build(cls, items: list[tuple[object, str]], budget: float) -> Block:
+    def build(cls, items: list[tuple[object, str]], budget: float, min_words: int = MIN_WORDS) -> Block:
         ids, words, errors = [], [], []
         found: dict[int, list[tuple[int, int, int]]] = {}
         for number, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             offsets = np.array([0, len(data)])
-            start, end, _ = K.words(data, offsets, K.WORD)
+            start, end, _ = words_of(data, offsets)
             n = len(start)
-            if n < MIN_WORDS:
+            if n < max(1, min_words):
                 continue
             k = int(n * budget)
             low = K.LOWER[data].tobytes()
@@ -112,7 +125,7 @@ class Block:
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, distance, first word, words) of the best match of each item in each row."""
         data, offsets = K.columns_bytes(column)
-        start, end, at = K.words(data, offsets, K.WORD)
+        start, end, at = words_of(data, offsets)
         if not len(start):
             return
         sums = K.running(K.word_hashes(data, start, end, SEED, lower=True))
@@ -159,59 +172,75 @@ def merged(origins: list[int], n: int, k: int) -> Iterator[tuple[int, int]]:
         yield low, high
 
 
-def blocks(benchmark: DataFrame, text: str, item_id: str, budget: float, block_bytes: int) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, text: str, item_id: str, budget: float, block_bytes: int, min_words: int) -> Iterator[Block]:
     items = benchmark.select(benchmark[item_id].alias("i"), benchmark[text].alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for b in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield Block.build([(r.i, r.t) for r in part.collect()], budget)
-
-
-MATCH = "item_id {0}, distance int, first_word long, n_item_words int"
+        yield Block.build([(r.i, r.t) for r in part.collect()], budget, min_words)
+
+
+def searched(rows: DataFrame, block: Block, kind: T.DataType) -> DataFrame:
+    """``rows`` (with ``__text``) and ``__leaks``, the matches of one block."""
+    match = T.ArrayType(T.StructType([T.StructField("item_id", kind), T.StructField("distance", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("n_item_words", T.IntegerType())]))
+    held, names = rows.sparkSession.sparkContext.broadcast(block), rows.columns
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        block, arrow = held.value, to_arrow_type(match)
+        for batch in batches:
+            column = batch.column("__text")
+            for i, j in K.slices(column):
+                found: list[list[dict]] = [[] for _ in range(j - i)]
+                for r, item, distance, first, n in block.matches(column.slice(i, j - i)):
+                    found[r].append({"item_id": block.ids[item], "distance": distance, "first_word": first, "n_item_words": n})
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, arrow)], names=[*names, "__leaks"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__leaks", match)]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each document and item it holds; each block of items is a branch of its own."""
+    slim = bounded(docs).select(docs[doc_id].alias("doc_id"), docs[text].alias("__text"))
+    kind, found = benchmark.schema[item_id].dataType, None
+    for block in blocks(benchmark, item_text, item_id, budget, block_bytes, min_words):
+        part = searched(slim, block, kind).select("doc_id", F.explode("__leaks").alias("m")).select("doc_id", "m.*")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _packed(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, budget: float, block_bytes: int, min_words: int) -> DataFrame:
+    """(__row, __leaks) of the rows of ``docs``.
+
+    The matches of several blocks come back to the documents by a 128-bit hash
+    of the text: equal texts have equal matches.
+    """
+    rows = bounded(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[text].alias("__text"))
+    kind, parts = benchmark.schema[item_id].dataType, list(blocks(benchmark, item_text, item_id, budget, block_bytes, min_words))
+    if len(parts) == 1:
+        return searched(rows, parts[0], kind).select("__row", "__leaks")
+    body = F.coalesce("__text", F.lit(""))
+    rows = rows.withColumns({"__h1": F.xxhash64(body), "__h2": F.xxhash64(body, F.lit(1))})
+    found = None
+    for block in parts:
+        part = searched(rows.select("__h1", "__h2", "__text"), block, kind).select("__h1", "__h2", F.explode("__leaks").alias("m"))
+        found = part if found is None else found.unionByName(part)
+    per = found.groupBy("__h1", "__h2").agg(F.sort_array(F.collect_set("m")).alias("__leaks"))
+    per = per.select(apart(F.col("__h1")).alias("__h1"), apart(F.col("__h2")).alias("__h2"), "__leaks")
+    rows = rows.select("__row", apart(F.col("__h1")).alias("__h1"), apart(F.col("__h2")).alias("__h2"))
+    joined = rows.join(per, ["__h1", "__h2"], "left")
+    return joined.select("__row", F.coalesce("__leaks", F.array().cast(per.schema["__leaks"].dataType)).alias("__leaks"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with ``__leaks``: an array of (item_id, distance, first_word, n_item_words), empty for clean rows."""
+    own = docs.drop("__leaks")
+    return _packed(own, benchmark, text, item_id, item_text, budget, block_bytes, min_words).select("__row.*", "__leaks")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``__leaks``: an array of (item_id, distance, first_word, n_item_words), empty for clean rows."""
-    spark = docs.sparkSession
-    kind = benchmark.schema[item_id].dataType
-    match = T.StructType([T.StructField("item_id", kind), T.StructField("distance", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("n_item_words", T.IntegerType())])
-    carry = [c for c in docs.columns if c != "__leaks"]
-    out = bounded(docs).select(*carry)
-    for number, block in enumerate(blocks(benchmark, item_text, item_id, budget, block_bytes)):
-        name = f"__leaks{number}"
-        held = spark.sparkContext.broadcast(block)
-        names = out.columns
-        schema = T.StructType([*out.schema.fields, T.StructField(name, T.ArrayType(match))])
-
-        def run(batches, held=held, names=names):
-            block = held.value
-            arrow = None
-            for batch in batches:
-                column = batch.column(text)
-                for i, j in K.slices(column):
-                    found: list[list[tuple]] = [[] for _ in range(j - i)]
-                    for r, item, distance, first, n in block.matches(column.slice(i, j - i)):
-                        found[r].append((block.ids[item], distance, first, n))
-                    if arrow is None:
-                        from pyspark.sql.pandas.types import to_arrow_type
-
-                        arrow = to_arrow_type(T.ArrayType(match))
-                    rows = [[dict(zip(("item_id", "distance", "first_word", "n_item_words"), m, strict=True)) for m in f] for f in found]
-                    part = batch.slice(i, j - i)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rows, arrow)], names=[*names, name])
-
-        out = out.mapInArrow(run, schema)
-    parts = [c for c in out.columns if c.startswith("__leaks")]
-    return out.select(*carry, F.concat(*parts).alias("__leaks"))
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **more) -> DataFrame:
-    """One row for each document and item it holds."""
-    slim = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("__text"))
-    return find_leaks(slim, benchmark, text="__text", **more).select("doc_id", F.explode("__leaks").alias("m")).select("doc_id", "m.*")
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
-    """The documents that hold no item."""
-    return find_leaks(docs, benchmark, **more).filter(F.size("__leaks") == 0).drop("__leaks")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents that hold no item, unchanged."""
+    return _packed(docs, benchmark, text, item_id, item_text, budget, block_bytes, min_words).filter(F.size("__leaks") == 0).select("__row.*")

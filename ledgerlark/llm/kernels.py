@@ -106,14 +106,16 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end bytes of all words, and n + 1 word offsets of the rows."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of all words, and n + 1 word offsets of the rows; a word also ends at each byte of ``cuts``."""
     inside = kind[data]
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    if cuts is not None:
+        cut[cuts] = True
     first = inside.copy()
     first[1:] &= ~inside[:-1] | cut[1:n]
     last = inside
