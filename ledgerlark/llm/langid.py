@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.batches import bounded
 from ledgerlark.llm import kernels as K
+from ledgerlark.llm.rows import unused
 
 LENGTH = 128
 WIDTHS = (2, 3, 4, 5)
@@ -195,8 +196,8 @@ def predict(docs: DataFrame, net: Network, text: str = "text", out: tuple[str, s
     from pyspark.sql import types as T
 
     blob = pickle.dumps(net)
-    carry = [c for c in docs.columns if c not in (*out, "__letter")]
-    source = docs.select(*carry, F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    carry, letter_ = [c for c in docs.columns if c not in out], unused(docs, "__letter")
+    source = docs.select(*carry, F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias(letter_))
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
     if not net.langs:
@@ -213,7 +214,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", out: tuple[str, s
             for i, j in K.slices(column):
                 p = model.probabilities(*K.columns_bytes(column.slice(i, j - i)))
                 best = p.argmax(axis=1)
-                letter = np.array(batch.column("__letter").slice(i, j - i).to_pylist(), bool)
+                letter = np.array(batch.column(letter_).slice(i, j - i).to_pylist(), bool)
                 lang = np.where(letter, names[best], "und")
                 score = np.where(letter, p[np.arange(len(p)), best], 0.0)
                 part = batch.slice(i, j - i)
