@@ -13,17 +13,19 @@ iban    country, right check digits: the account part is permuted (digits stay
 ssn     3-2-4 digits in the valid areas: permuted within the valid numbers
 phone   + and 8 to 15 digits, or grouped national forms: the digits after the
         country code are permuted
-ip      dotted quads of octets: the 32 bits are permuted
+ip      dotted quads of octets: the 32 bits are permuted; IPv6 addresses: 128 bits
 date    real calendar dates of 1900 to 2099 (year first, or day and month
-        first): the day number is permuted within the range
+        first): the day number is permuted, in the same way for all notations;
+        days after the 12th stay such days, as only they can be read month first
 email   letters and digits of the local part are permuted in place
 secret  AWS-style ids, hexadecimal tokens of 32 characters or more, and values
-        with a digit after password, token, secret or api key and a = or colon:
-        each character within its class
+        with a digit after password, token, secret or api key and a = or colon
+        (after password also 8 characters without a digit): each character
+        within its class
 
 Digits are permuted as one number: cycle walking keeps a Feistel network over
 a power of two inside the exact range, so the map is a bijection.  The key is
-a parameter; the default serves tests only.
+a required parameter.
 
 Defined results: null text stays null with no values; empty text stays empty;
 repeated rows, null ids and extra columns pass through.  An input column whose
@@ -33,6 +35,7 @@ name equals an output column (n_values, kinds) is replaced.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
@@ -46,7 +49,6 @@ from ledgerlark.llm.batches import bounded
 
 ROUNDS = 8
 BLOCK = 128
-KEY = b"ledgerlark-demo-key"
 
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -201,19 +203,30 @@ def calendar(s: str, permute) -> str | None:
                 order, day = "mdy", date(y, a, b)
     except ValueError:
         return None
-    index = (day - FIRST_DAY).days
+    index, late = (day - FIRST_DAY).days, day.day > 12
     if not 0 <= index < DAYS:
         return None
-    # Month-first text only proves itself by a day beyond 12, so that subset is permuted within itself.
+    # Walking on until the day is late again (or not) permutes each of the two sets.
     while True:
-        index = permute(index, DAYS, b"date" + order.encode())
+        index = permute(index, DAYS, b"date")
         new = FIRST_DAY + timedelta(days=index)
-        if order != "mdy" or new.day > 12:
+        if (new.day > 12) == late:
             break
-    values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    short = min(map(len, parts)) == 1
+    values = {"y": f"{new.year:04d}", "m": str(new.month) if short else f"{new.month:02d}", "d": str(new.day) if short else f"{new.day:02d}"}
     return sep.join(values[c] for c in order)
 
 
+def address6(s: str, permute) -> str | None:
+    try:
+        number = int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+    if not any(c.isdigit() for c in s):  # names in program text
+        return None
+    return str(ipaddress.IPv6Address(permute(number, 1 << 128, b"ip6")))
+
+
 def email(s: str, permute) -> str:
     local, _, host = s.partition("@")
     return f"{by_class(local, permute, b'email')}@{host}"
@@ -232,10 +245,12 @@ def assigned(s: str, permute) -> str | None:
     """The value after a credential's name; names and punctuation stay."""
     at = VALUE.search(s).end()
     new = secret(s[at:], permute)
+    if new is None and s[:2].lower() == "pa" and len(s) - at >= 8:
+        new = by_class(s[at:], permute, b"secret")
     return None if new is None else s[:at] + new
 
 
-KINDS: dict[str, Callable] = {"assigned": assigned, "email": email, "secret": secret, "iban": iban, "ip": address, "date": calendar, "ssn": ssn, "card": card, "phone": phone}
+KINDS: dict[str, Callable] = {"assigned": assigned, "email": email, "secret": secret, "iban": iban, "ip": address, "ip6": address6, "date": calendar, "ssn": ssn, "card": card, "phone": phone}
 #: At a place the first kind that matches and is valid wins.
 FORMS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}\b",
@@ -243,7 +258,8 @@ FORMS = {
     "secret": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?!(?![Tt]\d)\w|[-/.]\d)",
+    "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{1,4}){0,6}(?![\w:])",
+    "date": r"(?<![\w./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)\d{4})(?!(?![Tt]\d)\w|[-/.]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
     "phone": r"(?<![\w.])(?:\+\d(?:[ ().-]{0,2}\d){7,14}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|[.-]\d)",
@@ -254,7 +270,7 @@ PATTERN = re.compile("|".join(f"(?P<{kind}>{form})" for kind, form in FORMS.item
 GROUPED, BORDER = ("card", "iban"), re.compile("[ -]")
 ORDER = list(FORMS)
 #: A place where a value may begin: only there is the pattern tried.
-HINT = re.compile(r"[0-9@]|A[KS]IA|[0-9a-fA-F]{32}")
+HINT = re.compile(r"[0-9@]|::|A[KS]IA|[0-9a-fA-F]{32}|(?i:passw|passphrase)")
 
 
 def pseudonymise(text: str, permute: Callable[[int, int, bytes], int]) -> tuple[str, list[str]]:
@@ -271,7 +287,7 @@ def pseudonymise(text: str, permute: Callable[[int, int, bytes], int]) -> tuple[
             at = m.start() + 1
             continue
         kind, end, new = got
-        kinds.append("secret" if kind == "assigned" else kind)
+        kinds.append({"assigned": "secret", "ip6": "ip"}.get(kind, kind))
         out += [text[done : m.start()], new]
         done = at = end
     return "".join(out) + text[done:], kinds
@@ -299,7 +315,7 @@ def permuter(key: bytes) -> Callable[[int, int, bytes], int]:
 ADDED = T.StructType().add("n_values", "integer").add("kinds", "string")
 
 
-def pseudonyms(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in its text, the number of values, and the kinds as ``kind:count`` pairs.
 
     Each row on its own: no shuffle, no state but the key.

@@ -62,10 +62,14 @@ FROM docs LEFT JOIN per USING (uid)
 """
 
 
+#: The synthetic tables' key; a real corpus needs a secret one.
+DEMO_KEY = b"ledgerlark-demo-key"
+
+
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlark.llm.pii import pseudonyms
 
-    return pseudonyms(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_values", "kinds", "text")
+    return pseudonyms(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY).select("doc_id", "n_values", "kinds", "text")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
