@@ -16,9 +16,9 @@ position) stays and all later ones go.
 Defined results: null or empty text is one empty line; a key of less than
 ``min_chars`` code points is never dropped; every row is a document of its own
 (repeated rows count repeatedly and get equal results under "common"; under
-"repeat" rows of equal id and text are treated as one); null ids sort last;
-extra columns pass through (names that
-begin with two underscores are kept for this module).
+"repeat" rows of equal id and text are treated as one); null ids sort last; an
+empty table gives an empty one; extra columns pass through under any name but
+the two that are added, which replace the input's.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.rows import NO_ID, apart, keyed
+from ledgerlark.llm.rows import apart, keyed, packed
 
 #: What is stripped from both ends of a line: [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
@@ -110,11 +110,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """
     base = keyed(docs, text, doc_id)
     bits = dropped_bitmaps(base, min_chars, min_docs, rule).toDF("__i", "__r", "__bits")
-    body = F.coalesce(F.col(text), F.lit(""))
-    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    full = docs.withColumns({"__k": number, "__h": F.xxhash64(number, body)})
-    joined = full.join(bits, (F.col("__k") == F.col("__i")) & (F.col("__h") == F.col("__r")), "left")
-    kept = F.when(F.col("__bits").isNull(), F.col(text)).otherwise(F.array_join(kept_lines(body, F.col("__bits")), "\n"))
+    joined = packed(docs, text, doc_id).join(bits, (F.col("__k") == F.col("__i")) & (F.col("__h") == F.col("__r")), "left")
+    old = F.col("__row")[text]
+    body = F.coalesce(old, F.lit(""))
+    kept = F.when(F.col("__bits").isNull(), old).otherwise(F.array_join(kept_lines(body, F.col("__bits")), "\n"))
     lost = F.coalesce(F.aggregate(F.map_values("__bits"), F.lit(0), lambda a, b: a + F.bit_count(b).cast("int")), F.lit(0))
     n = F.char_length(body) - F.char_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
-    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns], n.cast("long").alias("__n_lines"), lost.cast("long").alias("__n_dropped"))
+    own = [c for c in docs.columns if c not in ("__n_lines", "__n_dropped")]
+    return joined.select(*[(kept if c == text else F.col("__row")[c]).alias(c) for c in own], n.cast("long").alias("__n_lines"), lost.cast("long").alias("__n_dropped"))
