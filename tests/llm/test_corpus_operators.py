@@ -1,6 +1,7 @@
 """Results against brute force and round trips."""
 
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -54,6 +55,53 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymise(text, pii.permuter(b"k")) == (text, [])
 
 
+def test_dates_are_linked_across_notations():
+    """One day has one pseudonym in all notations; all days of a range have different ones."""
+    permute = pii.permuter(b"k1")
+    new = lambda t: pii.pseudonymise(t, permute)[0]
+    images = set()
+    for n in range(0, 3000, 7):
+        day = datetime.date(1990, 1, 1) + datetime.timedelta(days=n)
+        y, m, d = new(day.isoformat()).split("-")
+        assert new(f"{day:%d/%m/%Y}") == f"{d}/{m}/{y}"
+        assert new(f"{day.day}/{day.month}/{day.year}") in (f"{int(d)}/{int(m)}/{y}", f"{d}/{m}/{y}")
+        if day.day > 12:
+            assert new(f"{day:%m/%d/%Y}") == f"{m}/{d}/{y}"
+        images.add((y, m, d))
+    assert len(images) == len(range(0, 3000, 7))
+
+
+def test_planted_values_are_found_and_prose_is_left_alone(spark):
+    """Recall and precision a kind, against a plain list of what was planted."""
+    rng = random.Random(1)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card():
+        body = "4" + digits(14)
+        return " ".join(re.findall("....", body + str(pii.luhn(body))))
+
+    make = {
+        "card": card,
+        "date": lambda: f"{rng.randrange(1950, 2050)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}",
+        "email": lambda: f"u{digits(5)}@mail.example.org",
+        "ip": lambda: rng.choice([".".join(str(rng.randrange(256)) for _ in range(4)), f"2001:db8::{rng.randrange(1, 9999)}:1"]),
+        "phone": lambda: f"+49 30 {digits(8)}",
+        "secret": lambda: rng.choice([f"password: {''.join(rng.choices('abcdefgh', k=12))}", "AKIA" + digits(16), "".join(rng.choices("0123456789abcdef", k=40))]),
+        "ssn": lambda: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+    }
+    docs, want = [], {}
+    for d in range(400):
+        words_ = [rng.choice(["the", "std::map", "12", "3.5", "price", "a::b", "10:30", "x-1", "in", "1999", "v1.2.3"]) for _ in range(30)]
+        planted = [] if d % 3 == 0 else sorted(rng.choices(list(make), k=3))
+        for kind in planted:
+            words_.insert(rng.randrange(len(words_)), f"; {make[kind]()} ;")
+        docs.append((d, " ".join(words_)))
+        want[d] = ",".join(f"{k}:{planted.count(k)}" for k in sorted(set(planted)))
+    out = pii.pseudonyms(spark.createDataFrame(docs, "doc_id long, text string"), b"k").collect()
+    assert {r.doc_id: r.kinds for r in out} == want
+    assert all((r.text == docs[r.doc_id][1]) == (not want[r.doc_id]) for r in out)
+
+
 HEXA = "0123456789abcdef" * 20
 
 
@@ -123,6 +171,25 @@ def test_decontamination_equals_brute_force(spark):
         assert got == want
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    """Items of 1 to 30 words against every stretch of every document."""
+    rng = random.Random(3)
+    items = [(i, " ".join(words(rng, n, 30))) for i, n in enumerate([1, 2, 3, 4, 5, 7, 9, 12, 20, 30])]
+    docs = [(d, " ".join(words(rng, rng.randrange(0, 60), 30))) for d in range(40)]
+    docs += [(40 + i, f"xx {t} yy") for i, (_, t) in enumerate(items)]
+    want = {(d, i) for d, t in docs for i, x in items if edit(x.split(), t.split()) <= int(len(x.split()) * decontaminate.BUDGET)}
+    docs += [(60, "我们今天去北京大学看书"), (61, "今天天气好"), (62, "北京大学")]
+    items += [(20, "去北京大学"), (21, "..."), (22, None)]
+    want |= {(60, 20)}
+    docs_, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 100):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_, bench, block_bytes=block).collect()}
+        assert got == want | ({(62, 20)} if (62, 20) in got else set())
+        assert ((62, 20) in got) == (edit(list("去北京大学"), list("北京大学")) <= 1)
+        left = {r.doc_id for r in decontaminate.without_leaks(docs_, bench, block_bytes=block).collect()}
+        assert left == {d for d, _ in docs} - {d for d, _ in got}
+
+
 # --- 3 ------------------------------------------------------------------------
 
 
@@ -179,6 +246,53 @@ def test_unigram_model_by_hand():
     assert spm.build(model).encode("ab a", add_special_tokens=False).tokens == ["▁ab", "▁a"]
 
 
+def by_hand(kind, byte_fallback=True, user=()):
+    """A model of the default normaliser whose pieces are stretches of a sample, scored by a formula."""
+    from sentencepiece import SentencePieceNormalizer, sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.trainer_spec.model_type = kind
+    proto.trainer_spec.byte_fallback = byte_fallback
+    proto.ClearField("pieces")
+
+    def add(text, score, type_=1):
+        proto.pieces.add(piece=text, score=score, type=type_)
+
+    add("<unk>", 0, 2)
+    add("<s>", 0, 3)
+    for u in user:
+        add(u, 0, 4)
+    if byte_fallback:
+        for b in range(256):
+            add(f"<0x{b:02X}>", 0, 6)
+    sample = "▁the▁lower▁low▁newer▁wide▁hello▁world▁Grüße▁aus▁Köln▁banana▁1▁2▁.▁,▁ﬁ".split("▁")[1:]
+    counts = collections.Counter()
+    for w in sample:
+        w = "▁" + w
+        counts.update({w[i:j]: j - i for i in range(len(w)) for j in range(i + 1, len(w) + 1) if j - i <= 4})
+    merged = sorted(counts, key=lambda p: (len(p), p))
+    # Each piece of two or more must be the sum of two others.
+    for n, p in enumerate(merged):
+        add(p, -float(n + 1) if kind == 2 else -6 + len(p) - n / 1000)
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("user", [(), ("<sep>", "[X]")])
+def test_parity_of_models_with_the_default_normaliser(tmp_path, kind, user):
+    path = tmp_path / "m.model"
+    path.write_bytes(by_hand(kind, user=user))
+    code = spm.Codec(str(path))
+    rng = random.Random(kind)
+    texts = ["the lower  banana", "  hello\tworld \n new ", "ﬁne Ｇrüße aus Ko\u0308ln", "", " ", "<s> low </s> <unk>", "日本", "a<sep>b [X][X] the", "\n\n"]
+    texts += [" ".join("".join(rng.choices("abdehlnorwüß1.,▁", k=rng.randrange(1, 8))) for _ in range(rng.randrange(12))) for _ in range(200)]
+    ids, back, same = code.checked(texts)
+    assert all(same)
+    assert [b.decode() for b in back] == [code.reference.decode(i) for i in code.reference.encode(texts)]
+    assert code.decode([[1, *map(int, ids[0])]]) == code.decode([list(map(int, ids[0]))])
+
+
 def test_decode_operator(spark):
     frame = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "doc_id long, text string")
     out = spm.decode(spm.encode(frame).drop("decoded"))
@@ -481,3 +595,39 @@ def test_samples_of_unlike_long_texts_differ():
     value = np.concatenate([np.sort(kernels.seeded(n, seed)) for seed in (21, 22)])
     sig = sampler.signature(np.array([0, n, 2 * n]), value, np.full(2 * n, 4, np.float32))
     assert (sig[0] == sig[1]).sum() <= 1
+
+
+def test_links_of_a_large_sparse_class(spark):
+    """600 texts with two to four words of one replaced: most pairs lie just below the threshold."""
+    rng = random.Random(12)
+    base = words(rng, 200, 10**6)
+    docs = []
+    for d in range(600):
+        x = list(base)
+        for _ in range(rng.randrange(2, 5)):
+            x[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        docs.append((d, " ".join(x)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    table = near_dedup.idf(*near_dedup.word_table(frame, "text"))
+    column, parent = pa.array([t for _, t in docs]), list(range(600))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    links = 0
+    for a in range(600):
+        s = near_dedup.similarity(pa.array([docs[a][1]] * 600), column, table)
+        for b in np.flatnonzero(s >= near_dedup.THRESHOLD):
+            if b > a:
+                links += 1
+                x, y = sorted((find(a), find(int(b))))
+                parent[y] = x
+    want = {d: find(d) for d in range(600)}
+    spanning = 600 - len(set(want.values()))
+    assert links > 100
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame).collect()}
+    # No class joins what is apart, and nearly all links are found.
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert (600 - len(set(got.values()))) >= 0.98 * spanning

@@ -36,7 +36,7 @@ def bench(spark):
 
 
 OPERATORS = {
-    "pii": lambda d, b: pii.pseudonyms(d),
+    "pii": lambda d, b: pii.pseudonyms(d, b"k"),
     "decontaminate": lambda d, b: decontaminate.find_leaks(d, b),
     "license": lambda d, b: license_scan.label_documents(d),
     "spm": lambda d, b: spm.encode(d),
@@ -87,13 +87,19 @@ def test_null_text_results(docs):
     assert all(r.lang_pred == "und" and r.score == 0 for r in got)
     empty = hashlib.sha256(bytes(64)).hexdigest()
     assert {r.payload_sha256 for r in media.media_columns(docs).collect() if r.doc_id in (2, 3)} == {empty}
-    assert {(r.text, r.n_values) for r in pii.pseudonyms(docs).collect() if r.doc_id == 2} == {(None, 0)}
+    assert {(r.text, r.n_values) for r in pii.pseudonyms(docs, b"k").collect() if r.doc_id == 2} == {(None, 0)}
 
 
 def test_long_texts_whole(docs, bench):
     leaks = {r.doc_id: len(r["__leaks"]) for r in decontaminate.find_leaks(docs, bench).collect() if r.doc_id in (4, 5)}
     assert leaks == {4: 1, 5: 1}
-    found = {r.doc_id: r.n_values for r in pii.pseudonyms(docs).collect() if r.doc_id in (4, 5)}
+    found = {r.doc_id: r.n_values for r in pii.pseudonyms(docs, b"k").collect() if r.doc_id in (4, 5)}
     assert found == {4: 4000, 5: 4000}
     words = {r.doc_id: r.n_words for r in license_scan.label_documents(docs).collect() if r.doc_id == 4}
     assert words == {4: len(re.findall(r"\w+", LONG))}
+
+
+@pytest.mark.parametrize("name", ["bwt", "lines", "substring", "near"])
+def test_ids_that_are_no_integers_are_refused(name, docs, bench):
+    with pytest.raises(TypeError, match="integer"):
+        OPERATORS[name](docs.withColumn("doc_id", F.col("doc_id").cast("string")), bench)

@@ -1,7 +1,10 @@
-"""The pipeline's stages on planted cases."""
+"""The pipeline's stages on planted cases, an empty table, and clashing names."""
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -22,3 +25,25 @@ def test_stages_and_planted_cases(spark, tmp_path):
     assert all(r.parity and r.decoded == r.text and r.n_tokens == len(r.ids) for r in out)
     assert not any("common line" in r.text for r in out)
     assert len(out) == len(ids)
+
+
+CLASH = ["__lang", "__score", "__letter", "__row", "__k", "__h", "__i", "__r", "__bits", "__many", "__text", "__leaks", "ids", "key"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_with_clashing_names_and_without_rows(spark, tmp_path, empty):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = [(i, text(60), "en") for i in range(30)]
+    rows += [rows[0], (None, rows[1][1], "en"), (40, None, None), (41, "", "en")]
+    docs = spark.createDataFrame([] if empty else rows, "doc_id long, text string, lang string").withColumns({c: F.lit(7) for c in CLASH})
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+        else:
+            assert set(docs.columns) - {"ids"} < set(out.columns)
+        docs = out
+    assert sorted(r.doc_id for r in docs.collect()) == ([] if empty else list(range(30)))
+    assert empty or docs.select(*[c for c in CLASH if c != "ids"]).distinct().count() == 1
