@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; ``run`` writes each stage's result as Parquet to the folder that
 all machines share and reads it again for the next one.
+
+Defined results, for every stage: an empty table gives an empty one of the same
+columns; extra columns of any name pass through; the last stage's own columns
+replace equal names.  A null or blank text goes at the first stage.  Of rows
+that are equal in all columns the near-duplicate stage keeps one; ties between
+copies go to the least id, null ids last.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import decontaminate, langid, line_dedup, near_dedup, spm
+from ledgerlark.llm.rows import unused
 from ledgerlark.llm.shared import stored
 
 #: A document whose language is predicted with less is rejected; guessing among four gives 0.25.
@@ -21,30 +28,37 @@ MIN_LINE_DOCS = 10
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters or with an undecided prediction go."""
+    """Documents in a known language; those without letters (null, empty) or with an undecided prediction go.
+
+    Equal texts get equal decisions; a table without any labelled row rejects all.
+    """
     net = langid.learn(docs)
-    found = langid.predict(docs, net, out=("__lang", "__score"))
-    return found.filter((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = unused(docs, "__lang"), unused(docs, "__score")
+    found = langid.predict(docs, net, out=(lang, score))
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many documents share; a document left without text goes."""
+    """Documents without the lines that many documents share; a document left without text goes.
+
+    Repeated rows count as documents of their own; ``n_chars`` follows the text.
+    """
     out = line_dedup.dedup_lines(docs, min_chars=1, min_docs=MIN_LINE_DOCS).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     return _counted(out.select(*docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the least id, null ids last; a text without words is a class of its own."""
     return near_dedup.without_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty items match nothing."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, token count, decoded text and parity."""
+    """Documents with their token ids, token count, decoded text and parity, which replace columns of these names."""
     return spm.encode(docs)
 
 
