@@ -33,6 +33,7 @@ ORGS = [
     ("groq.com", "Groq"),
     ("enchargeai.com", "EnCharge AI"),
 ]
+# Words and hosts that tell the kind of a reference; TRIM above: what is cut from both ends.
 PAPER = ["journal", "vol.", "doi", "학회", "연구", "논문"]
 REPORT = ["outlook", "report", "보고서", "white paper", "whitepaper"]
 REPORT_HOSTS = ["iea.org", "deloitte.com", "mckinsey.com", "sec.gov"]
@@ -115,7 +116,13 @@ def organisation(url: Column) -> Column:
     out = F.when(url == "", "출처 미상")
     for tail, name in ORGS:
         out = out.when(h.endswith(tail), name)
-    return out.otherwise(F.initcap(F.replace(F.substring_index(h, ".", 1), F.lit("-"), F.lit(" "))))
+    return out.otherwise(title_case(F.replace(F.substring_index(h, ".", 1), F.lit("-"), F.lit(" "))))
+
+
+def title_case(text: Column) -> Column:
+    """Each run of letters with a capital first, whatever stands before it."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def reference_kind(title: Column, url: Column) -> Column:
@@ -149,8 +156,12 @@ def footnotes(text: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["n"], p["u"])))
 
 
-def redact(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, BEARER, "Bearer [REDACTED]"), SECRET, "[REDACTED]")
+def redact(text: Column, values: tuple[str, ...] = ()) -> Column:
+    """Secrets by pattern, and the given values, replaced."""
+    out = F.regexp_replace(F.regexp_replace(text, BEARER, "Bearer [REDACTED]"), SECRET, "[REDACTED]")
+    for v in values:
+        out = F.replace(out, F.lit(v), F.lit("[REDACTED]"))
+    return out
 
 
 def names(text: Column, most: int = 10) -> Column:

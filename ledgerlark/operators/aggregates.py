@@ -68,6 +68,11 @@ def cache_state(hit: Column) -> Column:
     return F.when(F.bool_or(hit) & ~F.bool_and(hit), "mixed").when(F.bool_and(hit), "warm").when(~F.bool_or(hit), "cold").otherwise("unknown")
 
 
+def all_equal(value: Column) -> Column:
+    """Whether a group has one value only (null is a value)."""
+    return F.min(F.struct(value.isNull(), value)) == F.max(F.struct(value.isNull(), value))
+
+
 def histogram(frame: DataFrame, keys: list[str], status: str) -> DataFrame:
     per = frame.groupBy(*keys, status).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "n")))).alias("counts"))

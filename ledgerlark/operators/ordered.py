@@ -75,6 +75,24 @@ def latest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, r
     return both.filter("__l is not null").select("__l.*", *[F.col(f"__r.{v}").alias(v) for v in [right_at, *values]])
 
 
+def first_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: list[str]) -> DataFrame:
+    """Each left row with the values of the oldest right row not before it (null if none); the mirror of :func:`latest_before`."""
+    # Time runs backwards: the newest before becomes the oldest after.
+    turned = lambda f, c: f.withColumn("__turned", -F.unix_micros(F.col(c).cast("timestamp")))
+    back = latest_before(turned(left, at), turned(right, right_at).withColumnRenamed("__turned", "__right_turned"), keys, "__turned", "__right_turned", [right_at, *values])
+    return back.drop("__turned", "__right_turned")
+
+
+def last_matching(frame: DataFrame, by: list[str], matches: Column, order: list[Column]) -> DataFrame:
+    """The last row of each key that meets a condition."""
+    return first_per(frame.filter(matches), by, order)
+
+
+def printed(key: Column) -> Column:
+    """A key as the text it is sorted by; null reads None."""
+    return F.coalesce(key.cast("string"), F.lit("None"))
+
+
 def merge_occurrences(frame: DataFrame, keys: list[str], order: str, text: str, place: str, flag: str) -> DataFrame:
     """One row for each key: first text, all places in order, whether any row is flagged."""
     return frame.groupBy(*keys).agg(F.min_by(text, order).alias(text), F.transform(F.array_sort(F.collect_list(F.struct(order, place))), lambda x: x[place]).alias("places"), F.bool_or(flag).alias(flag))

@@ -12,9 +12,10 @@ def eligible_facts(samples: DataFrame, facts: DataFrame, keys: list[str], exact:
     """Samples with their facts as of the sample's date, and the ids of those that are not eligible.
 
     ``exact``: the fact's date must equal the sample's; otherwise it may be
-    earlier.  The source's date is never later in the exact form.
+    earlier.  The source's date is never later in the exact form.  A sample
+    without facts keeps empty lists.
     """
-    j = samples.join(facts, keys)
+    j = samples.join(facts, keys, "left")
     dated = (F.col("fact_date") == F.col("as_of_date")) & (F.col("source_date") <= F.col("as_of_date")) if exact else F.col("fact_date") <= F.col("as_of_date")
     ok = F.coalesce((F.col("review_status") == "verified") & dated, F.lit(False))
     return j.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.when(ok, F.col("fact_id")))).alias("facts"), F.array_sort(F.collect_list(F.when(~ok, F.col("fact_id")))).alias("excluded"))

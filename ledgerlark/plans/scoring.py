@@ -65,6 +65,11 @@ def score(entities: DataFrame, policy: Policy = BASELINE) -> DataFrame:
     return out.withColumn("grade", grade(F.col("final_score"), policy.high, policy.threshold, policy.low))
 
 
+def unknown_stages(entities: DataFrame, policy: Policy = BASELINE) -> DataFrame:
+    """Entities whose stage has no weights; must be empty before their scores are used."""
+    return entities.join(F.broadcast(weight_table(entities.sparkSession, policy)), "stage", "left_anti")
+
+
 def rank(scored: DataFrame, position: str, policy: Policy = BASELINE) -> DataFrame:
     """Stable ranking: rank by score, ties by input position; passed, top and watchlist flags; branch."""
     out = global_rank(scored, [F.desc("final_score"), F.col(position)])

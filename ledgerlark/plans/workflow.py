@@ -34,9 +34,9 @@ def over_limit(events: DataFrame, entity: str, node: str, most: int = 25) -> Dat
     return events.groupBy(entity, node).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
 
 
-def cycles(invocations: DataFrame, ident: str, parent: str, most: int = 64) -> DataFrame:
+def cycles(invocations: DataFrame, ident: str, parent: str) -> DataFrame:
     """Invocations that are their own ancestor."""
-    return ancestors(invocations, ident, parent, most).filter("node = ancestor").select(F.lit("cycle").alias("rule"), F.col("node").alias("row"), F.col("ancestor").alias("value")).distinct()
+    return ancestors(invocations, ident, parent).filter("node = ancestor").select(F.lit("cycle").alias("rule"), F.col("node").alias("row"), F.col("ancestor").alias("value")).distinct()
 
 
 def validate_run(invocations: DataFrame, evidence: DataFrame, retrievals: DataFrame, contexts: DataFrame, blobs: DataFrame) -> DataFrame:

@@ -51,11 +51,22 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("file_name", F.element_at(F.split("source", "/"), -1)).filter("file_name <> 'README.md'")
 
 
+def blobs(spark: SparkSession, root: str) -> DataFrame:
+    """(file, content) of all files under ``root``, ``file`` relative to it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    # file:/x and file:///x name the same place.
+    bare = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")
+    at = F.length(bare(F.lit(whole.rstrip("/")))) + 2
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substr(bare(F.col("path")), at).alias("file"), "content")
+
+
 def verified_texts(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
-    """(path, sha256 expected) with status ok / mismatch / missing, and the text where it is ok."""
-    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    found = expected.join(blobs, "file", "left")
-    status = F.when(F.col("content").isNull(), "missing").when(F.sha2("content", 256) == F.col("sha256"), "ok").otherwise("mismatch")
+    """(file relative to the path, sha256 expected) with status outside / missing / mismatch / ok, and the text where it is ok."""
+    blobs_ = blobs(spark, path)
+    found = expected.join(blobs_, "file", "left")
+    outside = F.col("file").startswith("/") | F.col("file").rlike(r"(^|/)\.\.(/|$)") | F.contains("file", F.lit(":/"))
+    status = F.when(outside, "outside").when(F.col("content").isNull(), "missing").when(F.sha2("content", 256) == F.col("sha256"), "ok").otherwise("mismatch")
     return found.select("file", status.alias("status"), F.when(status == "ok", F.decode("content", "UTF-8")).alias("text"))
 
 
@@ -71,16 +82,25 @@ def cache_key(category, query):
     return F.left(F.translate(F.concat(category, F.lit("__"), query), "/ ", "__"), F.lit(180))
 
 
+def not_frozen(spark: SparkSession, path: str, frozen: str = "_FROZEN") -> None:
+    """Raises if a folder on the way to ``path`` is frozen."""
+    scheme, _, rest = path.rstrip("/").rpartition("://")
+    parts = rest.split("/")
+    for i in range(len(parts), 1, -1):
+        folder = (scheme + "://" if scheme else "") + "/".join(parts[:i])
+        if exists(spark, f"{folder}/{frozen}"):
+            raise PermissionError(f"{folder} is frozen")
+
+
 def write_once(frame: DataFrame, path: str, frozen: str = "_FROZEN") -> None:
     """Creates a table; fails if it exists or its folder is frozen."""
-    spark = frame.sparkSession
-    parent = path.rstrip("/").rsplit("/", 1)[0]
-    if exists(spark, f"{parent}/{frozen}"):
-        raise PermissionError(f"{parent} is frozen")
+    not_frozen(frame.sparkSession, path, frozen)
     frame.write.mode("errorifexists").parquet(path)
 
 
 def append_lines(frame: DataFrame, path: str) -> None:
+    """Appends JSON lines; nulls stay as fields.  Each append is a set of new files, so no old line can be cut."""
+    not_frozen(frame.sparkSession, path)
     frame.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
@@ -90,9 +110,10 @@ def freeze(spark: SparkSession, folder: str, frozen: str = "_FROZEN") -> None:
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, sha256) of a folder's files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """(file relative to the folder, sha256) of a folder's files."""
+    return blobs(spark, folder).select("file", F.sha2("content", 256).alias("sha256"))
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
+    not_frozen(frame.sparkSession, path)
     frame.write.mode("errorifexists").option("header", True).csv(path)
