@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -39,3 +40,23 @@ def fingerprint(parts: Column) -> Column:
 
 def evidence_id(source: Column, text: Column) -> Column:
     return sha256(F.concat(source, F.lit("\n"), text))
+
+
+def dataset_hash(manifest: str, own: str = "sha256") -> str:
+    """Hash of a dataset's canonical JSON without its own hash (in ``manifest``)."""
+    data = json.loads(manifest)
+    data["manifest"] = {k: v for k, v in data.get("manifest", {}).items() if k != own}
+    return hashlib.sha256(json.dumps(data, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+def chained(parts: list[str]) -> str:
+    """One hash of several configurations, each folded into the one before; empty for none."""
+    value = ""
+    for p in parts:
+        value = hashlib.sha256(f"{value}\n{p}".encode()).hexdigest()
+    return value
+
+
+def content_identity(parts: Column) -> Column:
+    """Hash of a group's rows as sorted canonical JSON of their contents: order, paths and times do not count."""
+    return sha256(F.array_join(F.array_sort(F.collect_list(parts)), "\n"))

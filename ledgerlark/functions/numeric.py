@@ -130,3 +130,35 @@ def cost(cached: Column, provider: Column, kind: Column, ok: Column, per_call: C
     """Cost of one call; null where a part is unknown."""
     per_token = ((tokens_in - tokens_cached) * price_in + tokens_cached * price_cached + tokens_out * price_out) / F.lit(1e6)
     return F.when(F.coalesce(cached, F.lit(False)) | (provider == "local"), F.lit(0.0)).when((kind == "search") & ok, per_call).when(kind == "llm", per_token)
+
+
+def tolerant_equal(a: Column, b: Column, a_kind: str, b_kind: str, tolerance: float = 1e-9) -> Column:
+    """Equal numbers within the tolerance, other values exactly; a boolean never equals a number."""
+    number = lambda k: k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal")
+    if number(a_kind) and number(b_kind):
+        return close(a, b, tolerance)
+    return a.eqNullSafe(b) if a_kind == b_kind else F.lit(False)
+
+
+def non_support(faithfulness: Column, status: Column) -> Column:
+    """1 - faithfulness of a completed measurement."""
+    return F.when(status == "completed", 1 - faithfulness)
+
+
+def token_counts(usage: Column) -> Column:
+    """STRUCT<input, output, cached> of a provider's usage JSON; the first name that is there counts, null is not zero."""
+    first = lambda *paths: F.coalesce(*[F.get_json_object(usage, f"$.{p}") for p in paths]).cast("long")
+    return F.struct(
+        first("input_tokens", "prompt_tokens").alias("input"),
+        first("output_tokens", "completion_tokens").alias("output"),
+        first("input_token_details.cache_read", "prompt_tokens_details.cache_read", "prompt_tokens_details.cached_tokens").alias("cached"),
+    )
+
+
+def threshold_problem(threshold: Column, top_k: Column, low: int, high: int, grade_high: Column | None = None) -> Column:
+    """What is wrong with a policy's settings; null if they make sense."""
+    out = F.when(threshold.isNull() | ~threshold.between(low, high), "threshold outside policy scale").when(top_k.isNull() | (top_k < 1), "top_k must be a positive integer")
+    if grade_high is not None:
+        ordered = (threshold >= 50) & (threshold <= grade_high) & (grade_high <= 100)
+        out = out.when(~F.coalesce(ordered, F.lit(False)), "target grade thresholds must be ordered")
+    return out

@@ -188,3 +188,23 @@ def nfkc(text: pd.Series) -> pd.Series:
 def normal_statement(text: Column) -> Column:
     """NFKC, squeezed, without full stops at the end.  ASCII skips the UDF's work."""
     return F.rtrim(squeeze(nfkc(text)), F.lit(".。"))
+
+
+# Words of a heading that name a section, in order.
+SECTIONS = [
+    ("technology assessment", "technology"), ("technical assessment", "technology"), ("기술", "technology"), ("market overview", "market"), ("market position", "market"), ("market drivers", "market"), ("시장", "market"),
+    ("business", "business"), ("비즈니스", "business"), ("사업", "business"), ("executive overview", "business"), ("traction", "traction"), ("트랙션", "traction"), ("team", "team"), ("팀", "team"),
+    ("competition", "competition"), ("경쟁", "competition"), ("risk assessment", "risk"), ("리스크", "risk"), ("investment recommendation", "ranking"), ("dd-worthiness decision", "ranking"), ("추천", "ranking"),
+    ("scorecard evaluation", "ranking"), ("candidate comparison", "ranking"),
+]
+# Headings of source lists.
+REFERENCE_HEADINGS = ("reference", "references", "출처", "참고문헌")
+
+
+def section_of(heading: Column) -> Column:
+    """The section that a heading names first, or null."""
+    low = F.lower(heading)
+    out = F
+    for word, name in SECTIONS:
+        out = out.when(F.contains(low, F.lit(word)), name)
+    return out

@@ -98,6 +98,11 @@ def merge_occurrences(frame: DataFrame, keys: list[str], order: str, text: str,
     return frame.groupBy(*keys).agg(F.min_by(text, order).alias(text), F.transform(F.array_sort(F.collect_list(F.struct(order, place))), lambda x: x[place]).alias("places"), F.bool_or(flag).alias(flag))
 
 
+def same_content(frame: DataFrame, identity: Column, name: str, ident: str, member: str) -> DataFrame:
+    """One row for each content: its identity, the least id, the sorted distinct members (as <member>s) and the number of rows."""
+    return frame.groupBy(identity.alias(name)).agg(F.min(ident).alias(ident), F.array_sort(F.collect_set(member)).alias(f"{member}s"), F.count(F.lit(1)).alias("n"))
+
+
 def chain_breaks(frame: DataFrame, by: list[str], order: str, own: str, previous: str, at: str) -> DataFrame:
     """Rows whose link to the previous revision or whose time is out of order."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.numeric import delta
 from ledgerlark.operators.aggregates import axis_verdict
 from ledgerlark.operators.joins import duplicate_keys, pair
+from ledgerlark.operators.ordered import global_rank, printed
+from ledgerlark.plans.report import row_line
 
 
 def is_rate(metric: str) -> bool:
@@ -40,3 +42,63 @@ def campaign(attempts: DataFrame) -> DataFrame:
     """Success over all attempts by data mode; attempts without an evaluation count."""
     ok = F.coalesce(F.col("succeeded"), F.lit(False))
     return attempts.groupBy("data_mode").agg(F.count(F.lit(1)).alias("n_attempts"), F.count_if(ok).alias("n_succeeded"), F.avg(ok.cast("int")).alias("success_rate"))
+
+
+def regressions(report_: DataFrame, keys: list[str], metrics: list[str], better: list[bool]) -> DataFrame:
+    """Keys with a worse metric, and which ones, in the order of ``metrics``."""
+    worse = F.array_compact(F.array(*[F.when(F.col(f"delta_{m}") * (1 if up else -1) < 0, m) for m, up in zip(metrics, better, strict=True)]))
+    return report_.select(*keys, worse.alias("worse")).filter(F.size("worse") > 0)
+
+
+def overall(report_: DataFrame, primary: list[str], metrics: list[str], better: list[bool]) -> DataFrame:
+    """One row: whether all is paired and known, how many samples are worse, and the verdict."""
+    known = [F.col(f"{s}_{m}").isNotNull() for m in primary for s in ("before", "after")]
+    whole = F.coalesce((F.col("pair_status") == "paired") & F.forall(F.array(*known), lambda x: x), F.lit(False))
+    worse = F.exists(F.array(*[F.coalesce(F.col(f"delta_{m}") * (1 if up else -1) < 0, F.lit(False)) for m, up in zip(metrics, better, strict=True)]), lambda x: x)
+    n, bad = F.count(F.lit(1)), F.count_if(worse)
+    complete = (n > 0) & (F.count_if(whole) == n)
+    return report_.agg(n.alias("n_samples"), complete.alias("complete"), bad.alias("n_regressions"), F.when(~complete, "incomplete").when(bad > 0, "regressed").otherwise("no_detected_regression").alias("verdict"))
+
+
+def changed_settings(before: DataFrame, after: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(key, field, before, after): fields of two manifests that differ, null-safe, as text."""
+    fields = [c for c in before.columns if c != key and c not in ignore]
+    long_ = lambda f, name: f.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.to_json(F.struct(c)).alias("v")) for c in fields])).alias("x")).select(key, "x.field", F.col("x.v").alias(name))
+    both = long_(before, "before").join(long_(after, "after"), [key, "field"])
+    return both.filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def gate_problems(pairs: DataFrame) -> DataFrame:
+    """(pair_id, problem): why two runs may not be compared.
+
+    Columns: pair_id, mode (frozen, live, isolated), and before_ and after_
+    of: run_id, frozen, data_mode, dataset, references, evaluator, inputs.
+    """
+    differ = lambda c: ~F.col(f"before_{c}").eqNullSafe(F.col(f"after_{c}"))
+    checks = {
+        "same run": ~differ("run_id"),
+        "not frozen": ~(F.coalesce("before_frozen", F.lit(False)) & F.coalesce("after_frozen", F.lit(False))),
+        "another data mode": differ("data_mode"),
+        "another dataset": differ("dataset"),
+        "other references": differ("references"),
+        "another evaluator": differ("evaluator"),
+        "inputs changed": F.col("mode").isin("isolated", "frozen") & differ("inputs"),
+    }
+    return pairs.select("pair_id", F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in checks.items()]))).alias("problem"))
+
+
+def workflow_success(checks: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, succeeded): the run ended well and all its checks passed or do not apply."""
+    per = checks.groupBy("run_id").agg(F.bool_and(F.coalesce(F.col("result").isin("pass", "not_applicable"), F.lit(False))).alias("__ok"))
+    return runs.join(per, "run_id", "left").select("run_id", ((F.col("status") == "succeeded") & F.coalesce("__ok", F.lit(False))).alias("succeeded"))
+
+
+def markdown(report_: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(line_no, line): the paired table as Markdown, numbered by key; unknown values as a dash."""
+    head = ["Key", "Status", *[f"{m} {x}" for m in metrics for x in ("before", "after", "change")]]
+    name = F.concat_ws(" / ", *[printed(F.col(k)) for k in keys])
+    cells = [name, F.col("pair_status"), *[F.format_string("%.4f", F.col(f"{x}_{m}").cast("double")) for m in metrics for x in ("before", "after", "delta")]]
+    shown = [F.when(F.col(f"{x}_{m}").isNotNull(), c) for c, (m, x) in zip(cells[2:], [(m, x) for m in metrics for x in ("before", "after", "delta")], strict=True)]
+    body = global_rank(report_.select(name.alias("__k"), row_line([name, F.col("pair_status"), *shown]).alias("line")), [F.col("__k"), F.col("line")], "line_no").select("line_no", "line")
+    top = report_.sparkSession.createDataFrame([(-1, "| " + " | ".join(head) + " |"), (0, "|" + " --- |" * len(head))], "line_no long, line string")
+    return top.unionByName(body)

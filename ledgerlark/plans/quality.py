@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.numeric import numeric_relation, quantity, ratio
+from ledgerlark.operators.aggregates import item_state
+from ledgerlark.operators.joins import by_member, sized
 
 
 def eligible_facts(samples: DataFrame, facts: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
@@ -87,3 +89,54 @@ def coverage(items: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
     s = F.col("state")
     n = F.count_if(s != "not_applicable")
     return both.groupBy(*by).agg(n.alias("n_items"), *[F.count_if(s == x).alias(f"n_{x}") for x in ("fulfilled", "missing", "incorrect", "unjudged")], ratio(F.count_if(s == "fulfilled"), n, F.count_if(s == "unjudged") == 0).alias("coverage"))
+
+
+#: The scopes of a coverage report and the columns that make each; those with fixed items get what no sample has.
+SCOPES = {"sample": ("sample_id",), "case": ("case_id",), "company": ("company_id",), "section": ("section_id",), "company_section": ("company_id", "section_id"), "report": ()}
+FIXED = ("company", "section", "company_section", "report")
+
+
+def coverage_scopes(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Coverage of every scope and stage.
+
+    rows: one a sample and item: sample_id, case_id, company_id, section_id,
+    stage, item_id, applicable, status, verdict.  items (the dataset's):
+    item_id, company_id, section_id, applicable; an applicable one that no row
+    of a broad scope has enlarges its denominator and keeps its rate unknown.
+
+    One pass groups by all scopes and item, a second folds the items.
+    """
+    keys = ["sample_id", "case_id", "company_id", "section_id"]
+    state = item_state()
+    sets = [[F.col(c) for c in (*of, "stage", "item_id")] for of in SCOPES.values()]
+    every = [*keys, "stage", "item_id"]
+    folded = rows.groupingSets(sets, *[F.col(c) for c in every]).agg(F.grouping_id(*every).alias("g"), state.alias("state"))
+    bits = {name: sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c in keys and c not in of) for name, of in SCOPES.items()}
+    scope = F.lit(None).cast("string")
+    for name, b in bits.items():
+        scope = F.when(F.col("g") == b, name).otherwise(scope)
+    folded = folded.withColumn("scope", scope).drop("g")
+    # What the fixed items add: each key of a broad scope wants all items of its scope.
+    broad = folded.filter(F.col("scope").isin(*FIXED))
+    groups = broad.select("scope", "company_id", "section_id", "stage").distinct()
+    wants = lambda c, of: F.col(c).isNull() | ~F.col("scope").isin(*of)
+    i = items.select("item_id", F.col("company_id").alias("ic"), F.col("section_id").alias("ix"), F.col("applicable").alias("ia"))
+    on = (wants("company_id", ("company", "company_section")) | (F.col("company_id") == F.col("ic"))) & (wants("section_id", ("section", "company_section")) | (F.col("section_id") == F.col("ix")))
+    # A group per company and section at most, and the dataset's fixed items: sized on the item side.
+    expected = groups.join(sized(i), on)
+    match = [F.col(f"e.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("scope", "company_id", "section_id", "stage", "item_id")]
+    absent = expected.alias("e").join(broad.alias("b"), match, "left_anti").select("scope", "company_id", "section_id", "stage", "item_id", "ia")
+    absent = absent.select(F.lit(None).cast(rows.schema["sample_id"].dataType).alias("sample_id"), F.lit(None).cast(rows.schema["case_id"].dataType).alias("case_id"), "company_id", "section_id", "stage", "item_id", F.when(F.col("ia"), "unrepresented").otherwise("not_applicable").alias("state"), "scope")
+    s = F.col("state")
+    n = F.count_if(s != "not_applicable")
+    whole = (F.count_if(s.isin("unjudged", "unrepresented")) == 0) & (n > 0)
+    return folded.unionByName(absent).groupBy("scope", *keys, "stage").agg(
+        n.alias("n_items"), *[F.count_if(s == x).alias(f"n_{x}") for x in ("fulfilled", "missing", "incorrect", "unjudged", "unrepresented")], ratio(F.count_if(s == "fulfilled"), n, whole).alias("coverage")
+    )
+
+
+def item_facts(items: DataFrame, facts: DataFrame) -> DataFrame:
+    """(item_id, facts): the verified facts that an item names and that are no later than its date."""
+    each = by_member(items.select("item_id", "as_of_date", "reference_ids"), "reference_ids", facts.select("reference_id", "fact_id", "review_status", "fact_date"), "reference_id", "left")
+    fine = F.coalesce((F.col("review_status") == "verified") & (F.col("fact_date") <= F.col("as_of_date")), F.lit(False))
+    return each.groupBy("item_id").agg(F.array_sort(F.collect_list(F.when(fine, F.col("fact_id")))).alias("facts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlark.operators.ordered import ranked, top_k_per
+from ledgerlark.functions.text import REFERENCE_HEADINGS, section_of
+from ledgerlark.operators.ordered import top_k_per
 from ledgerlark.session import cut
+from ledgerlark.sources.files import exists
 
 
 def pieces(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
@@ -215,16 +218,69 @@ def markdown_units(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return out.withColumns({"heading": heading, "header": F.when(F.col("is_table"), header)}).drop("block", "is_table")
 
 
-def numbered(frame: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The n-th occurrence within each key."""
-    return ranked(frame, by, [F.col(order)], "occurrence")
+def scoped_markdown_units(docs: DataFrame, ident: str, text: str, companies: list[str], section: str = "report", company: str | None = None) -> DataFrame:
+    """:func:`markdown_units` without blank lines, with company, section and the reason why a line is no claim text.
 
+    A heading that names one company opens its scope, one of level 1 or 2
+    without a name closes it; a table row that has one company as a cell is
+    that company's.  A heading with a section's words changes the section; a
+    list of sources excludes its lines, and so do headings and table headers.
+    """
+    from pyspark.sql import Window
+
+    u = markdown_units(docs, ident, text)
+    names = F.array(*map(F.lit, companies)).cast("array<string>")
+    heading = F.col("kind") == "heading"
+    own = F.regexp_replace("content", r"^#{1,6}\s+", "")
+    word = lambda c: F.regexp_count(own, F.concat(F.lit(r"(?<![\w])\Q"), c, F.lit(r"\E(?![\w])"))) > 0
+    in_heading = F.filter(names, word)
+    high = F.length(F.regexp_extract("content", r"^(#{1,6})\s", 1)) <= 2
+    w = Window.partitionBy(ident).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    # A scope opens or closes at such a line; else the last one holds.
+    at = F.when(heading & (F.size(in_heading) == 1), F.struct(F.get(in_heading, 0).alias("c"))).when(heading & high, F.struct(F.lit(company).alias("c")))
+    scope = F.last(at, ignorenulls=True).over(w)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("content"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    in_row = F.array_intersect(names, cells)
+    titled = F.exists(cells, lambda c: F.lower(c).isin("company", "회사", "기업", "company name"))
+    table = F.col("kind") == "table"
+    head = F.when(heading & F.lower(own).contains("executive summary") & section_of(own).isNull(), "business").when(heading, section_of(own))
+    sources = F.last(F.when(heading, F.lower(own).isin(*REFERENCE_HEADINGS)), ignorenulls=True).over(w)
+    out = u.withColumns({"company_id": F.when(table & (F.size(in_row) == 1), F.get(in_row, 0)).otherwise(F.coalesce(scope["c"], F.lit(company))), "section_id": F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit(section)), "__r": sources})
+    reason = F.when(F.coalesce("__r", F.lit(False)), "reference_listing").when(heading | (F.col("kind") == "separator") | (table & titled), "heading_or_table_header")
+    return out.filter("kind <> 'blank'").withColumn("exclusion_reason", reason).drop("__r")
+
+
+def index_fingerprint(docs: DataFrame, content: str, metadata: str) -> str:
+    """One hash of a corpus whatever its order: the sum and the exclusive or of its rows' hashes, and their number."""
+    h = F.sha2(F.concat_ws("::", content, metadata), 256)
+    half = lambda a: F.conv(F.substr(h, F.lit(a), F.lit(15)), 16, 10).cast("decimal(38,0)")
+    x = docs.agg(F.count(F.lit(1)), F.sum(half(1)), F.sum(half(16)), F.bit_xor(half(31).cast("long"))).first()
+    return hashlib.sha256(repr(tuple(map(str, x))).encode()).hexdigest()
+
+
+def index_once(docs: DataFrame, content: str, metadata: str, folder: str, build) -> tuple[DataFrame, bool]:
+    """The index in ``folder`` and whether it was built now: it is built again only if the corpus has changed.
+
+    ``build`` makes the table from ``docs``.  Each state of the corpus has its
+    own subfolder, so a reader never sees a half-written index.
+    """
+    spark = docs.sparkSession
+    path = f"{folder.rstrip('/')}/{index_fingerprint(docs, content, metadata)}"
+    if exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.parquet(path), False
+    build(docs).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), True
 
-def fixture_provider(rows: dict[str, str]):
-    """A deterministic stand-in for an external model or search: maps prompts to recorded replies, null if unknown."""
 
-    def run(pages: Iterator[pd.DataFrame]):
-        for page in pages:
-            yield page.assign(reply=page["prompt"].map(rows.get))
+def vocabulary(docs: DataFrame, ident: str, text: str, features: int = 50_000) -> DataFrame:
+    """(term, total, df, n_docs) of the ``features`` most frequent terms: the fitted state, kept as a table."""
+    n = docs.select(ident).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
+    found = terms(docs, ident, text).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
+    return found.crossJoin(F.broadcast(n))
+
 
-    return run
+def transformed(docs: DataFrame, ident: str, text: str, fitted: DataFrame) -> DataFrame:
+    """(ident, term, weight) of texts under a fitted :func:`vocabulary`; unknown terms count nothing."""
+    weighted = terms(docs, ident, text).join(fitted, "term").withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1))
+    norm = weighted.groupBy(ident).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norm, ident).select(ident, "term", (F.col("w") / F.col("norm")).alias("weight"))

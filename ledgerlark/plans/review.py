@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.hashing import sha256
+from ledgerlark.functions.numeric import ratio
+from ledgerlark.functions.text import strata
 
 
 def plan(targets: DataFrame, group: list[str], stratum: str, ident: str, n: int, seed: str, critical: str | None = None) -> DataFrame:
@@ -47,3 +49,73 @@ def lineage_class(pairs: DataFrame) -> DataFrame:
     per = c.groupBy("claim_id").agg(listed.alias("kinds"), F.bool_or("has_upstream").alias("has_upstream"))
     fold = F.aggregate("kinds", F.lit("unknown"), lambda a, k: F.when((a == "unknown") | (a == k), k).otherwise("unknown"))
     return per.select("claim_id", F.when(F.size("kinds") > 0, fold).when(F.col("has_upstream"), "new").otherwise("unknown").alias("lineage"))
+
+
+def inventory(facts: DataFrame, grounding: DataFrame, metrics: DataFrame, extractions: DataFrame) -> DataFrame:
+    """What may be reviewed: target_id, kind, review group, automatic label, critical, text and its strata.
+
+    facts(claim_id, verdict, critical, text); grounding(claim_id, basis,
+    grounded, critical, text); metrics(sample_id, metric_name, text);
+    extractions(unit_id, text).  Target ids are unique if the inputs' keys are.
+    """
+    row = lambda f, ident, kind, group, label, critical: f.select(F.concat_ws(".", ident, group).alias("target_id"), F.lit(kind).alias("kind"), group.alias("review_group"), label.cast("string").alias("label"), F.coalesce(critical, F.lit(False)).alias("critical"), "text")
+    none = F.lit(None)
+    out = row(facts, F.col("claim_id"), "claim", F.lit("custom_factual"), F.col("verdict"), F.col("critical"))
+    out = out.unionByName(row(grounding, F.col("claim_id"), "claim", F.col("basis"), F.col("grounded"), F.col("critical")))
+    out = out.unionByName(row(metrics, F.col("sample_id"), "metric", F.col("metric_name"), none, F.lit(False)))
+    out = out.unionByName(row(extractions, F.col("unit_id"), "extraction", F.lit("extraction"), none, F.lit(False)).withColumn("review_group", F.lit("custom_extraction")))
+    return out.withColumn("strata", strata(F.coalesce("text", F.lit(""))))
+
+
+def stratum_coverage(targets: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Per review group and stratum: targets, and those that were reviewed."""
+    done = reviewed.select("target_id").distinct().withColumn("__d", F.lit(True))
+    each = targets.join(done, "target_id", "left").select("review_group", F.explode("strata").alias("stratum"), "__d")
+    return each.groupBy("review_group", "stratum").agg(F.count(F.lit(1)).alias("n_targets"), F.count("__d").alias("n_reviewed"))
+
+
+def append_problems(ledger: DataFrame) -> DataFrame:
+    """(target_id, seq, problem): ledger rows that could not have been appended in their order.
+
+    Columns: target_id, seq, review_id, previous_id, reviewer, status
+    (proposed, confirmed, adjudicated), label, provenance, reviewed_at,
+    resolves (review ids).
+    """
+    w = Window.partitionBy("target_id").orderBy("seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    past = F.collect_list(F.struct("review_id", "reviewer", "status", "label", "seq")).over(before)
+    r = ledger.withColumns({"__last": F.lag("review_id").over(w), "__time": F.lag("reviewed_at").over(w), "__origin": F.first("provenance").over(w), "__past": past})
+    votes = F.filter("__past", lambda p: p["status"] != "proposed")
+    # A reviewer's current opinion: none of theirs is newer.
+    current = F.filter(votes, lambda p: ~F.exists(votes, lambda q: (q["reviewer"] == p["reviewer"]) & (q["seq"] > p["seq"])))
+    ids = lambda xs: F.transform(xs, lambda p: p["review_id"])
+    settled = F.filter("__past", lambda p: F.array_contains("resolves", p["review_id"]))
+    distinct = lambda f: F.size(F.array_distinct(F.transform(settled, lambda p: p[f])))
+    adjudicated = F.col("status") == "adjudicated"
+    problem = (
+        F.when(F.col("provenance") != F.col("__origin"), "mixed provenance")
+        .when(~F.col("previous_id").eqNullSafe(F.col("__last")), "not linked to the latest revision")
+        .when(F.col("reviewed_at") < F.col("__time"), "time moves backwards")
+        .when(adjudicated & (F.size(F.array_except(ids(current), "resolves")) > 0), "current opinion not resolved")
+        .when(adjudicated & ((F.size(settled) != F.size(F.array_distinct("resolves"))) | (distinct("reviewer") < 2)), "too few independent reviewers")
+        .when(adjudicated & (distinct("label") < 2), "no disagreement")
+        .when(adjudicated & F.exists(settled, lambda p: p["reviewer"] == F.col("reviewer")), "adjudicator is a reviewer")
+        .when(adjudicated & F.exists(settled, lambda p: p["status"] == "proposed"), "resolves a proposal")
+        .when(~adjudicated & (F.size("resolves") > 0), "only adjudications resolve")
+    )
+    return r.select("target_id", "seq", problem.alias("problem")).filter("problem is not null")
+
+
+def reliability(targets: DataFrame, opinions: DataFrame) -> DataFrame:
+    """Per review group: targets, settled human labels, conflicts, agreement with the automatic label; human and synthetic apart.
+
+    opinions(target_id, state, label, provenance), one row a target.
+    """
+    j = targets.join(opinions.select("target_id", "state", F.col("label").cast("string").alias("__h"), "provenance"), "target_id", "left")
+    settled = F.col("state").isin("confirmed", "adjudicated") & F.col("__h").isNotNull() & F.col("label").isNotNull()
+    human = settled & (F.col("provenance") == "human")
+    same = human & (F.col("__h") == F.col("label"))
+    return j.groupBy("review_group").agg(
+        F.count(F.lit(1)).alias("n_targets"), F.count_if(human).alias("n_human"), F.count_if(settled & (F.col("provenance") != "human")).alias("n_synthetic"),
+        F.count_if(F.coalesce(F.col("state") == "conflict", F.lit(False))).alias("n_conflicts"), ratio(F.count_if(same), F.count_if(human)).alias("agreement"),
+    )

@@ -46,9 +46,12 @@ def unknown_fields(spark: SparkSession, path: str, expected: list[str]) -> DataF
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown files but README.md, whole: file_name, source, content."""
-    files = spark.read.option("pathGlobFilter", "*.md").option("wholetext", True).text(path).select(F.input_file_name().alias("source"), F.col("value").alias("content"))
-    return files.withColumn("file_name", F.element_at(F.split("source", "/"), -1)).filter("file_name <> 'README.md'")
+    """Markdown files but README.md, whole: file_name, source, content, metadata; a folder without one is an error."""
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("content"))
+    out = files.withColumn("file_name", F.element_at(F.split("source", "/"), -1)).filter("file_name <> 'README.md'")
+    if out.isEmpty():
+        raise FileNotFoundError(f"no Markdown files in {path}")
+    return out.withColumn("metadata", F.struct("source", "file_name"))
 
 
 def blobs(spark: SparkSession, root: str) -> DataFrame:
