@@ -68,14 +68,18 @@ def chunks(docs: DataFrame, text: str, size: int = 1200, overlap: int = 150, sep
 
 def terms(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, term, tf): lower-cased words of two characters or more, and their bigrams."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    both = docs.select(ident, words.alias("w")).select(ident, F.explode(F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("term"))
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    less = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    grams = lambda w: F.concat(w, F.zip_with(F.slice(w, 1, less(w)), F.slice(w, 2, less(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+    # Texts are dealt by document, so that their many terms need not be.
+    # Inside a lambda the words are found once, however often they are named.
+    both = docs.select(ident, text).repartition(ident).select(ident, F.explode(F.flatten(F.transform(F.array(words), grams))).alias("term"))
     return both.groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf(docs: DataFrame, ident: str, text: str, features: int = 50_000) -> DataFrame:
     """(ident, term, weight): smoothed IDF, L2-normalised; the ``features`` most frequent terms of the corpus."""
-    tf = terms(docs, ident, text)
+    tf = cut(terms(docs, ident, text))
     n = docs.select(ident).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
     weighted = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1))
