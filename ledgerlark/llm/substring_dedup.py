@@ -7,7 +7,11 @@ two equal windows lie either in equal fragments or in different fragments of
 one anchor.  A fingerprint is a fragment: anchor hash, content hash, owner.
 
 Index.  History is kept as immutable runs of fingerprints, sorted by anchor and
-content, one for each batch.  A new batch is merge-joined with the runs:
+content, one for each batch, in a folder with a manifest: each state of the index
+is a manifest of its own that names its runs, written whole and renamed, so the
+index can be opened again by a later job and a lost job leaves the last state.
+Of the runs only fingerprints whose anchor the batch may have (a bitmap of one
+size) meet the batch, so the rest of the history is read but never shuffled:
 
 * a fragment whose content has an owner with a smaller document id is covered
   as a whole;
@@ -18,7 +22,8 @@ content, one for each batch.  A new batch is merge-joined with the runs:
   anchor hits: whole windows are compared.
 
 Then the batch becomes a run.  When there are more than ``MAX_RUNS`` runs they
-are compacted into one that keeps the first owner of each content.
+are compacted into one that keeps the first owner of each content; the runs that
+it replaces are deleted once the manifest names it.
 
 Batches are ranges of document ids, so history always holds smaller ids; a
 single batch gives the same result.  All joins by hash have one row for each
@@ -27,12 +32,15 @@ combine on the map side; no group is gathered.
 
 Defined results: null text has no words; null ids are larger than every id and
 equal to each other; a window repeated in one document, or in rows of one id,
-is not removed on their account; repeated rows get equal results.
+is not removed on their account; repeated rows get equal results; an empty table
+gives an empty one; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +48,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import kernels as K
+from ledgerlark.llm.bwt_dedup import FILTER_BITS, bitmap
 from ledgerlark.llm.rows import apart, keyed, real_id
-from ledgerlark.llm.shared import stored
+from ledgerlark.llm.shared import shared_folder, stored
 
 WINDOW, ANCHOR = 50, 10
 MAX_RUNS = 4
@@ -99,12 +108,58 @@ def window_hashes(asked: DataFrame, window: int = WINDOW) -> DataFrame:
     return asked.mapInArrow(run, "__id long, __rid long, new boolean, pos int, w1 long, w2 long")
 
 
+RUN = "anchor long, content long, __id long, __rid long, start int, count int"
+
+
+def likely(history: DataFrame, prints: DataFrame) -> DataFrame:
+    """The fingerprints of ``history`` whose anchor ``prints`` may have; a full bitmap spares none."""
+    held = history.sparkSession.sparkContext.broadcast(np.packbits(bitmap(prints, "anchor")))
+
+    def run(batches):
+        bits = np.unpackbits(held.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[np.asarray(batch.column("anchor")) & ((1 << FILTER_BITS) - 1)]))
+
+    return history.mapInArrow(run, history.schema)
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in the shared folder."""
+    """Sorted immutable runs of fingerprints and the manifests that name them, in one folder that all machines share.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, max_runs: int = MAX_RUNS):
+    A folder with a manifest is opened, another one is begun; window and anchor
+    must be those it was begun with.  One job at a time may append: a second one
+    fails when it commits.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, max_runs: int = MAX_RUNS, folder: str | None = None):
         self.spark, self.window, self.anchor, self.max_runs = spark, window, anchor, max_runs
-        self.runs: list[DataFrame] = []
+        self.folder = (folder or f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}").rstrip("/")
+        self.version, self.runs = 0, []
+        path, fs = self._at("")
+        if fs.exists(path):
+            names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("manifest-"))
+            if names:
+                state = json.loads(spark.read.text(f"{self.folder}/{names[-1]}", wholetext=True).first()[0])
+                if (state["window"], state["anchor"]) != (window, anchor):
+                    raise ValueError(f"the index has windows of {state['window']} words and anchors of {state['anchor']}")
+                self.version, self.runs = state["version"], state["runs"]
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def commit(self, runs: list[str]) -> None:
+        """The next state; fails if another job has committed it."""
+        version = self.version + 1
+        near, fs = self._at(f"next-{uuid.uuid4().hex}")
+        out = fs.create(near, False)
+        out.write(bytearray(json.dumps({"version": version, "window": self.window, "anchor": self.anchor, "runs": runs}).encode()))
+        out.close()
+        final, _ = self._at(f"manifest-{version:08d}.json")
+        if fs.exists(final) or not fs.rename(near, final):
+            fs.delete(near, False)
+            raise RuntimeError(f"{self.folder} has another writer")
+        self.version, self.runs = version, runs
 
     @staticmethod
     def owners(prints: DataFrame) -> DataFrame:
@@ -112,26 +167,33 @@ class FingerprintIndex:
         place = F.struct("__id", "__rid", "start", "count", "new")
         return prints.groupBy("anchor", "content").agg(F.min(place).alias("own"), F.count(F.lit(1)).alias("places"))
 
+    def write(self, prints: DataFrame) -> str:
+        """A run: first owners only, sorted, each file a range of anchors."""
+        name = f"run-{uuid.uuid4().hex}"
+        run = self.owners(prints).select("anchor", "content", "own.__id", "own.__rid", "own.start", "own.count")
+        run.repartitionByRange("anchor", "content").sortWithinPartitions("anchor", "content").write.parquet(f"{self.folder}/{name}")
+        return name
+
     def append(self, prints: DataFrame) -> None:
-        """Writes a run: first owners only, sorted, each file a range of anchors."""
-        run = self.owners(prints).select("anchor", "content", "own.*").withColumn("new", F.lit(False)).repartitionByRange("anchor", "content").sortWithinPartitions("anchor", "content")
-        self.runs.append(stored(run))
+        self.commit([*self.runs, self.write(prints)])
         if len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
-        whole = self.history()
-        self.runs = []
-        self.append(whole)
+        old = self.runs
+        self.commit([self.write(self.history())])
+        for name in old:
+            path, fs = self._at(name)
+            fs.delete(path, True)
 
     def history(self) -> DataFrame | None:
-        whole = None
-        for run in self.runs:
-            whole = run if whole is None else whole.unionByName(run)
-        return whole
+        """All runs' fingerprints, none of them new."""
+        if not self.runs:
+            return None
+        return self.spark.read.schema(RUN).parquet(*[f"{self.folder}/{r}" for r in self.runs]).withColumn("new", F.lit(False))
 
-    def covered(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
-        """(__id, __rid, spans) of the batch's words that an earlier document has; then the batch is history.
+    def covered(self, batch: DataFrame, texts: DataFrame, keep: bool = True) -> DataFrame:
+        """(__id, __rid, spans) of the batch's words that an earlier document has; then, with ``keep``, the batch is history.
 
         ``batch`` and ``texts`` are (__id, __rid, __text); ``texts`` also has the
         documents of the history.
@@ -140,7 +202,7 @@ class FingerprintIndex:
         prints = stored(prints)
         history = self.history()
         mine = prints.select("anchor", "content", "__id", "__rid", "start", "count", F.lit(True).alias("new"))
-        both = mine if history is None else mine.unionByName(history.select(*mine.columns))
+        both = mine if history is None else mine.unionByName(likely(history, prints).select(*mine.columns))
         owners = stored(self.owners(both))
         per_anchor = owners.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart(F.col("anchor")).alias("ka"))
         # Equal content, smaller owner: covered as a whole.
@@ -162,7 +224,8 @@ class FingerprintIndex:
         single = windows.withColumns({"k1": apart(F.col("w1")), "k2": apart(F.col("w2"))}).join(first, ["k1", "k2"]).filter(F.col("new") & (F.col("__id") > F.col("first")))
         single = single.select("__id", "__rid", F.col("pos").alias("a"), (F.col("pos") + 1).alias("b"))
         spans = whole.unionByName(single).groupBy("__id", "__rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("windows"))
-        self.append(mine)
+        if keep:
+            self.append(mine)
         return spans
 
 
@@ -227,6 +290,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         if high is not None:
             part = part.filter(F.col("__id") <= high)
         seen = base if high is None else base.filter(F.col("__id") <= high)
-        got = stored(index.covered(part, seen))
+        # Nothing comes after the last batch: its run would not be read.
+        got = stored(index.covered(part, seen, keep=high is not None))
         spans = got if spans is None else spans.unionByName(got)
     return removed(base, spans, window, digest).select(real_id(F.col("__id")).alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")

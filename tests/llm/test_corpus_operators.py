@@ -441,6 +441,31 @@ def test_runs_are_compacted(spark):
     assert len(index.runs) <= 2
 
 
+def test_an_index_is_opened_again(spark, tmp_path):
+    """Batches given to new objects over one folder, with compaction, find what one object in one batch finds."""
+    from ledgerlark.llm.rows import keyed
+
+    rng = random.Random(88)
+    docs = passages(rng, lambda r: " ".join(words(r, r.randrange(2, 40))))
+    base = keyed(spark.createDataFrame(docs, "doc_id long, text string"))
+    spans = lambda rows: {(r["__id"], r["__rid"]): sorted({p for w in r.windows for p in range(w.a, w.b)}) for r in rows}
+    want = spans(substring_dedup.FingerprintIndex(spark, 12, 4).covered(base, base, keep=False).collect())
+    got = {}
+    for low, high in ((-1, 20), (20, 40), (40, 60), (60, (1 << 63) - 1)):
+        index = substring_dedup.FingerprintIndex(spark, 12, 4, max_runs=2, folder=f"file://{tmp_path}/index")
+        part = base.filter((F.col("__id") > low) & (F.col("__id") <= high))
+        got |= spans(index.covered(part, base.filter(F.col("__id") <= high)).collect())
+    assert got == want
+    assert len(index.runs) <= 2
+    assert len(list((tmp_path / "index").glob("run-*"))) == len(index.runs)
+    with pytest.raises(ValueError, match="windows"):
+        substring_dedup.FingerprintIndex(spark, 13, 4, folder=f"file://{tmp_path}/index")
+    late = substring_dedup.FingerprintIndex(spark, 12, 4, folder=f"file://{tmp_path}/index")
+    index.commit(index.runs)
+    with pytest.raises(RuntimeError, match="writer"):
+        late.commit(late.runs)
+
+
 def test_fragments_of_long_rows(monkeypatch):
     unit = kernels.seeded(256, 1)[np.random.default_rng(1).integers(0, 3, 3000)]
     whole = kernels.fragments(unit, np.array([0, 1000, 1000, 3000]), 20, 5)
