@@ -51,8 +51,13 @@ votes AS (SELECT uid, tid, pos - tpos AS diagonal, count(*) AS votes, min(tpos)
 marked AS (SELECT *, CASE WHEN exact OR lag(thi) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {DRIFT} OR tlo <= lag(thi) OVER o THEN 1 ELSE 0 END AS new
     FROM votes WINDOW o AS (PARTITION BY uid, tid ORDER BY diagonal)),
 grouped AS (SELECT *, sum(new) OVER (PARTITION BY uid, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
-spans AS (SELECT uid, tid, span, min(diagonal) AS diagonal, max(label) AS label, bool_or(exact) AS exact, least(1.0, sum(votes) / (max(tlen) - {GRAM - 1})::DOUBLE) AS share
+up AS (SELECT uid, tid, span, min(diagonal) AS diagonal, max(diagonal) AS top, sum(votes) AS votes, min(tlo) AS tlo, max(thi) AS thi, max(tlen) AS tlen, max(label) AS label, bool_or(exact) AS exact
     FROM grouped GROUP BY uid, tid, span),
+fallen AS (SELECT *, CASE WHEN exact OR lag(thi) OVER o IS NULL OR lag(top) OVER o - top > {DRIFT} OR tlo <= lag(thi) OVER o THEN 1 ELSE 0 END AS fresh
+    FROM up WINDOW o AS (PARTITION BY uid, tid ORDER BY top DESC, span)),
+chained AS (SELECT *, sum(fresh) OVER (PARTITION BY uid, tid ORDER BY top DESC, span ROWS UNBOUNDED PRECEDING) AS chain FROM fallen),
+spans AS (SELECT uid, tid, chain, min(diagonal) AS diagonal, max(label) AS label, bool_or(exact) AS exact, least(1.0, sum(votes) / (max(tlen) - {GRAM - 1})::DOUBLE) AS share
+    FROM chained GROUP BY uid, tid, chain),
 kept AS (SELECT *, exact AND share = 1.0 AS place FROM spans WHERE (exact AND share = 1.0) OR (NOT exact AND share >= {MIN_SHARE})),
 per AS (SELECT uid, count(*) FILTER (WHERE place) AS n_base, min(diagonal) FILTER (WHERE place) AS f, max(diagonal) FILTER (WHERE place) AS l,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS ls, max(share) AS score FROM kept GROUP BY uid)

@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bwt_dedup, decontaminate, kernels, langid, license_scan, line_dedup, media, near_dedup, pii, spm, substring_dedup
+from ledgerlark.llm import bwt_dedup, decontaminate, kernels, langid, license_scan, line_dedup, media, near_dedup, pii, queries, spm, substring_dedup
 
 
 def words(rng, n, size=400):
@@ -212,6 +213,34 @@ def test_notice_without_a_word(spark):
     assert got[2].score > 0.6
 
 
+def test_edited_notices_by_sql(spark):
+    """Lost, inserted and replaced words at every place of the notices; the operator and its SQL agree, and one edit keeps the label."""
+    rng = random.Random(3)
+    texts, wanted = [], []
+    for notice, label in license_scan.NOTICES.items():
+        w = notice.split(" ")
+        for i in range(1, len(w) - 1):
+            for edit in (w[:i] + w[i + 1 :], w[:i] + ["nice"] + w[i:], w[:i] + ["nice"] + w[i + 1 :]):
+                texts.append(" ".join(["before"] * rng.randrange(3) + edit))
+                # An edit spoils at most GRAM of the notice's k-grams.
+                grams = len(w) - license_scan.GRAM + 1
+                wanted.append(label if (grams - license_scan.GRAM) / grams >= license_scan.MIN_SHARE else None)
+        for _ in range(6):
+            kept = [x for x in w if rng.random() > 0.08]
+            texts.append(" ".join(x for y in kept for x in ([y, "odd"] if rng.random() < 0.06 else [y])))
+            wanted.append(None)
+    rows = list(enumerate(texts))
+    got = license_scan.label_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    labels = dict(zip(got.doc_id, got.labels, strict=True))
+    assert all(label in labels[i].split(",") for i, label in enumerate(wanted) if label)
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": texts}))
+    columns = ["doc_id", "n_words", "n_base", "base_labels", "labels", "score"]
+    said = db.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES['op3_license_scan']}) ORDER BY doc_id").fetchall()
+    own = sorted(map(tuple, got[columns].itertuples(index=False)))
+    assert [(*x[:-1], round(x[-1], 9)) for x in own] == [(*x[:-1], round(x[-1], 9)) for x in said]
+
+
 # --- 4 ------------------------------------------------------------------------
 
 TEXTS = ["a  b", "  lead", "tab\tx\n\n y  ", "日本 語😀 \x00", "", "▁x", "<s> hi </s>", " ", "\n", "a\n", "é́ ².", "Grüße aus Köln, 12.5 %"]
