@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.llm import layout_queries
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -160,3 +162,5 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {"op3_license_scan": _op3_sql(), "op6_bwt_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+QUERIES |= layout_queries.QUERIES
+ORACLES |= layout_queries.ORACLES
