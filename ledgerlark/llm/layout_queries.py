@@ -67,5 +67,51 @@ FROM (SELECT *, min(p) OVER (PARTITION BY shard) AS row_number_first FROM cut)
 """
 
 
-QUERIES = {"op11_hilbert_shards": op11_hilbert_shards}
-ORACLES = {"op11_hilbert_shards": _op11_sql()}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.merkle import FIELDS, leaf, manifest
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs["n_chars"].cast("decimal(20,0)") + 1
+    tampered = F.when(F.crc32(F.encode(docs["doc_id"].cast("string"), "utf-8")) % 7 == 0, leaf(docs, FIELDS, {"n_chars": more}))
+    tag = F.concat_ws("|", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(tampered, F.lit("")))
+    made = manifest(docs.select("lang", "doc_id", leaf(docs, FIELDS).alias("leaf"), tag.alias("tag")), "lang", "doc_id", "leaf", "tag")
+    out = made.verified(lambda tag: tag.split("|")[1] or None)
+    subroots = made.groups.select(F.col("grp").alias("g"), "subroot")
+    doc_id = F.nullif(F.split("tag", "[|]")[0], F.lit("")).cast(docs.schema["doc_id"].dataType)
+    return out.join(subroots, F.col("grp") == F.col("g")).select(
+        doc_id.alias("doc_id"), "leaf", "subroot", F.lit(made.root).cast("string").alias("root"), F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified", F.col("place").alias("place")
+    )
+
+
+def _op12_sql() -> str:
+    """Level by level; a tampered row is folded beside the tree's own nodes."""
+
+    def part(c: str) -> str:
+        return f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c})::VARCHAR, '-')"
+
+    def leaf(n_chars: str) -> str:
+        return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+base AS (SELECT doc_id, lang, {leaf("n_chars")} AS leaf, CASE WHEN {_crc_sql("hex(encode(doc_id::VARCHAR))")} % 7 = 0 THEN {leaf("n_chars::HUGEINT + 1")} ELSE {leaf("n_chars")} END AS claim FROM documents, crc_table),
+named AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) AS m FROM base GROUP BY lang),
+leaves AS (SELECT b.*, g, m, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, leaf, claim) - 1 AS p FROM base b JOIN named n ON b.lang IS NOT DISTINCT FROM n.lang),
+up(g, k, p, d, m) AS (SELECT g, 0, p, leaf, m FROM leaves UNION ALL
+    SELECT g, k + 1, p // 2, sha256(d || coalesce(nx, '')), (m + 1) // 2 FROM (SELECT *, lead(d) OVER (PARTITION BY g ORDER BY p) AS nx FROM up WHERE m > 1) WHERE p % 2 = 0),
+subroots AS (SELECT g, d AS subroot, count(*) OVER () AS m FROM up WHERE m = 1),
+top(k, p, d, m) AS (SELECT 0, g, subroot, m FROM subroots UNION ALL
+    SELECT k + 1, p // 2, sha256(d || coalesce(nx, '')), (m + 1) // 2 FROM (SELECT *, lead(d) OVER (ORDER BY p) AS nx FROM top WHERE m > 1) WHERE p % 2 = 0),
+down(g, o, k, p, m, cur, way) AS (SELECT g, p, 0, p, m, claim, '' FROM leaves UNION ALL
+    SELECT w.g, w.o, w.k + 1, w.p // 2, (w.m + 1) // 2, CASE WHEN w.p % 2 = 1 THEN sha256(u.d || cur) ELSE sha256(cur || coalesce(u.d, '')) END, way || coalesce(u.d, '')
+    FROM down w LEFT JOIN up u ON u.g = w.g AND u.k = w.k AND u.p = xor(w.p, 1) WHERE w.m > 1),
+across(g, o, k, p, m, cur, way) AS (SELECT d.g, o, 0, d.g, s.m, cur, way FROM down d JOIN subroots s ON s.g = d.g WHERE d.m = 1 UNION ALL
+    SELECT w.g, w.o, w.k + 1, w.p // 2, (w.m + 1) // 2, CASE WHEN w.p % 2 = 1 THEN sha256(t.d || cur) ELSE sha256(cur || coalesce(t.d, '')) END, way || coalesce(t.d, '')
+    FROM across w LEFT JOIN top t ON t.k = w.k AND t.p = xor(w.p, 1) WHERE w.m > 1)
+SELECT doc_id, leaf, subroot, r.d AS root, sha256(way) AS proof_sha256, cur AS folded_root, cur = r.d AS verified, l.p::BIGINT AS place
+FROM leaves l JOIN across a ON a.g = l.g AND a.o = l.p AND a.m = 1 JOIN subroots s ON s.g = l.g, (SELECT d FROM top WHERE m = 1) r
+"""
+
+
+QUERIES = {"op11_hilbert_shards": op11_hilbert_shards, "op12_merkle_manifest": op12_merkle_manifest}
+ORACLES = {"op11_hilbert_shards": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
