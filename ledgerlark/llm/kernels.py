@@ -131,6 +131,39 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int,
     return spans_hash(running(table[data]), start, end)
 
 
+#: A prime modulus whose products fit 62 bits.
+PRIME = (1 << 31) - 1
+_residues: dict[int, np.ndarray] = {}
+
+
+def residues(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME, kept and grown for each worker."""
+    have = _residues.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, U)
+        while len(have) < max(n, 1 << 20):
+            have = np.concatenate([have, have * U(pow(base, len(have), PRIME)) % U(PRIME)])
+        if len(have) <= 8 << 20:
+            _residues[base] = have
+    return have[:n]
+
+
+def prime_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Polynomials of the bytes data[start:end] modulo a prime: unequal spans of n bytes agree for at most n of 2**31 bases."""
+    base = int(seeded(1, seed)[0]) % (PRIME - 2) + 2
+    table = seeded(256, seed + 1) % U(PRIME)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(table[data] * residues(len(data), base) % U(PRIME), out=sums[1:])
+    back = residues(len(data) + 1, pow(base, -1, PRIME))
+    return (sums[end] - sums[start]) % U(PRIME) * back[start] % U(PRIME)
+
+
+def strong_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Word hashes that no pattern of letters can make equal: the ring's polynomial and two of prime modulus, mixed."""
+    primes = prime_hashes(data, start, end, seed + 101) << U(31) | prime_hashes(data, start, end, seed + 211)
+    return mix(word_hashes(data, start, end, seed) ^ mix(primes) + (end - start).astype(U))
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """The row of each position."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

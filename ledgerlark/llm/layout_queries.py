@@ -113,5 +113,33 @@ FROM leaves l JOIN across a ON a.g = l.g AND a.o = l.p AND a.m = 1 JOIN subroots
 """
 
 
-QUERIES = {"op11_hilbert_shards": op11_hilbert_shards, "op12_merkle_manifest": op12_merkle_manifest}
-ORACLES = {"op11_hilbert_shards": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlark.llm.phrases import collocations
+
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All n-grams are listed and counted.
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(ps) AS p FROM docs)),
+grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) AS r(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 30),
+often AS MATERIALIZED (SELECT lang, phrase, n FROM f WHERE n >= 30),
+halves AS MATERIALIZED (SELECT lang, phrase, k, a, j, array_to_string(w[1 : j], ' ') AS lp, array_to_string(w[j + 1 : k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+cuts AS (SELECT c.lang, c.phrase, c.k AS m, a, j, x.n AS l, y.n AS r, 2000000::HUGEINT * a // (x.n + y.n) AS score
+    FROM halves c JOIN often x ON x.lang = c.lang AND x.phrase = c.lp JOIN often y ON y.lang = c.lang AND y.phrase = c.rp),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(a) AS most
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM cand)) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank::BIGINT AS rank, r.phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+
+QUERIES = {"op11_hilbert_shards": op11_hilbert_shards, "op12_merkle_manifest": op12_merkle_manifest, "op13_collocations": op13_collocations}
+ORACLES = {"op11_hilbert_shards": _op11_sql(), "op12_merkle_manifest": _op12_sql(), "op13_collocations": OP13_SQL}
