@@ -148,20 +148,25 @@ def residues(n: int, base: int) -> np.ndarray:
     return have[:n]
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME up to one multiple of it, for a PRIME of one bit less than a power of two."""
+    return (x & U(PRIME)) + (x >> U(31))
+
+
 def prime_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     """Polynomials of the bytes data[start:end] modulo a prime: unequal spans of n bytes agree for at most n of 2**31 bases."""
     base = int(seeded(1, seed)[0]) % (PRIME - 2) + 2
     table = seeded(256, seed + 1) % U(PRIME)
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum(table[data] * residues(len(data), base) % U(PRIME), out=sums[1:])
+    np.cumsum(folded(table[data] * residues(len(data), base)), out=sums[1:])
     back = residues(len(data) + 1, pow(base, -1, PRIME))
     return (sums[end] - sums[start]) % U(PRIME) * back[start] % U(PRIME)
 
 
 def strong_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """Word hashes that no pattern of letters can make equal: the ring's polynomial and two of prime modulus, mixed."""
-    primes = prime_hashes(data, start, end, seed + 101) << U(31) | prime_hashes(data, start, end, seed + 211)
-    return mix(word_hashes(data, start, end, seed) ^ mix(primes) + (end - start).astype(U))
+    """Word hashes that no pattern of letters can make equal: the ring's polynomial and one of prime modulus, mixed with the length."""
+    prime = prime_hashes(data, start, end, seed + 101) << U(32) | (end - start).astype(U) & U((1 << 32) - 1)
+    return mix(word_hashes(data, start, end, seed) ^ mix(prime))
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:

@@ -68,7 +68,7 @@ def fingerprints(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
             for i, j in K.slices(column):
                 data, offsets = K.columns_bytes(column.slice(i, j - i))
                 start, end, at = K.words(data, offsets, ~K.SPACE)
-                got = K.fragments(K.word_hashes(data, start, end, SEED), at, window, anchor)
+                got = K.fragments(K.strong_hashes(data, start, end, SEED), at, window, anchor)
                 pick = pa.array(got["row"] + i)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__id").take(pick), batch.column("__rid").take(pick), pa.array(got["anchor"]), pa.array(got["content"]), pa.array(got["start"].astype(np.int32)), pa.array(got["count"].astype(np.int32))],
@@ -87,7 +87,7 @@ def window_hashes(asked: DataFrame, window: int = WINDOW) -> DataFrame:
             for i, j in K.slices(column):
                 data, offsets = K.columns_bytes(column.slice(i, j - i))
                 start, end, at = K.words(data, offsets, ~K.SPACE)
-                words = K.word_hashes(data, start, end, SEED)
+                words = K.strong_hashes(data, start, end, SEED)
                 other = K.mix(words ^ np.uint64(0x94D049BB133111EB))
                 asked_ = batch.column("asked").slice(i, j - i)
                 inner = asked_.flatten()
