@@ -47,9 +47,11 @@ LONGEST, LEAST, BEST = 4, 30, 2000
 SHARE = 80
 SLOT_BITS = 22
 #: Places of a pivot that one part holds.
-GROUP = 1 << 20
-#: Bytes of text that a task works on at once, and of fragments that it counts at once.
-BUFFER = 8 << 20
+GROUP = 1 << 18
+#: Bytes of text whose fragments or words a task sorts at once, and of fragments that it counts at once.
+BUFFER = 3 << 20
+#: Bytes that are hashed at once.
+BLOCK = 1 << 20
 SEED = 13
 #: [.,;:!?\x0A-\x0D] end a piece; these, blanks and tabs end a word.
 ENDS = np.zeros(256, bool)
@@ -86,14 +88,25 @@ class Tokens:
         self.data = data
         self.start, self.end, at = K.words(data, offsets, WORD)
         self.row = K.row_of(at)
-        plain = K.strong_hashes(data, self.start, self.end, SEED)
+        plain = _word_hashes(data, self.start, self.end)
         self.hash = K.mix(plain ^ langs[self.row]) if len(plain) else plain
         ended = np.append(0, np.cumsum(ENDS[data]))[self.start] if len(data) else self.start
         self.new = np.ones(len(self.start), bool)
         self.new[1:] = (self.row[1:] != self.row[:-1]) | (ended[1:] != ended[:-1])
 
 
-def _tokens(batches, most: int = 1 << 20) -> Iterator[tuple[Tokens, list[str]]]:
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words, block by block."""
+    out, i = np.empty(len(start), U), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + BLOCK)))
+        a, b = int(start[i]), int(end[j - 1])
+        out[i:j] = K.strong_hashes(data[a:b], start[i:j] - a, end[i:j] - a, SEED)
+        i = j
+    return out
+
+
+def _tokens(batches, most: int = BLOCK) -> Iterator[tuple[Tokens, list[str]]]:
     """Tokens of (lang, text) batches in stretches, with the languages of their rows."""
     for batch in batches:
         column, langs = batch.column("text"), batch.column("lang").to_pylist()
@@ -102,7 +115,7 @@ def _tokens(batches, most: int = 1 << 20) -> Iterator[tuple[Tokens, list[str]]]:
             some = langs[i:j]
             named = {x: k for k, x in enumerate(dict.fromkeys(some))}
             codes = _lang_hashes(list(named))[[named[x] for x in some]]
-            for a, b in _stretches(data, 4 * most):
+            for a, b in _stretches(data, most):
                 yield Tokens(K.LOWER[data[a:b]], np.clip(offsets, a, b) - a, codes), some
 
 
@@ -112,13 +125,22 @@ def _lang_hashes(langs: list[str]) -> np.ndarray:
 
 
 def _gather(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all spans in a row (each followed by the byte at ``last``) and their n + 1 offsets."""
+    """The bytes of all spans in a row (each followed by the byte ``last``) and their n + 1 offsets."""
     extra = last is not None
     to = np.append(0, np.cumsum(end - start + extra))
-    index = np.repeat(start - to[:-1], end - start + extra) + np.arange(to[-1])
+    out, i = np.empty(to[-1], np.uint8), 0
+    while i < len(start):
+        # As many spans as make a block: an index takes eight bytes for each of theirs.
+        j = max(i + 1, int(np.searchsorted(to, to[i] + BLOCK)) - 1)
+        size, a, b = np.diff(to[i : j + 1]), to[i], to[j]
+        index = np.repeat(start[i:j] - to[i:j], size) + np.arange(a, b)
+        if extra:
+            index[to[i + 1 : j + 1] - 1 - a] = 0
+        out[a:b] = buffer[index]
+        i = j
     if extra:
-        index[to[1:] - 1] = last
-    return buffer[index], to
+        out[to[1:] - 1] = last
+    return out, to
 
 
 def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -132,15 +154,29 @@ def corpus(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, word, hash, n): all words of (lang, text)."""
+    """(lang, word, hash, n): all words of (lang, text); a task counts some megabytes at once."""
+
+    def flush(held):
+        if not held:
+            return
+        every = np.concatenate([h[0] for h in held])
+        hashes, first, back = np.unique(every, return_index=True, return_inverse=True)
+        n = np.bincount(back, np.concatenate([h[1] for h in held])).astype(np.int64)
+        part = lambda k: pa.concat_arrays([h[k] for h in held]).take(pa.array(first))
+        yield pa.RecordBatch.from_arrays([part(2), part(3), pa.array(hashes.view(np.int64)), pa.array(n)], names=["lang", "word", "hash", "n"])
 
     def run(batches):
+        held, size = [], 0
         for tokens, langs in _tokens(batches):
-            if not len(tokens.hash):
-                continue
-            hashes, first, n = np.unique(tokens.hash, return_index=True, return_counts=True)
-            words = _strings(*_gather(tokens.data, tokens.start[first], tokens.end[first]))
-            yield pa.RecordBatch.from_arrays([pa.array([langs[r] for r in tokens.row[first]], pa.string()), words, pa.array(hashes.view(np.int64)), pa.array(n)], names=["lang", "word", "hash", "n"])
+            if len(tokens.hash):
+                hashes, first, n = np.unique(tokens.hash, return_index=True, return_counts=True)
+                words = _strings(*_gather(tokens.data, tokens.start[first], tokens.end[first]))
+                held.append((hashes, n, pa.array([langs[r] for r in tokens.row[first]], pa.string()), words))
+                size += words.nbytes
+            if size >= BUFFER:
+                yield from flush(held)
+                held, size = [], 0
+        yield from flush(held)
 
     return texts.mapInArrow(run, "lang string, word string, hash long, n long").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
 
@@ -191,10 +227,11 @@ def fragments(texts: DataFrame, counts, longest: int = LONGEST, group: int = GRO
         pivot, part, ident, left, row_lang = (np.concatenate([h[k] for h in held]) for k in ("pivot", "part", "ident", "left", "lang"))
         base = np.cumsum([0, *[len(h["buffer"]) for h in held]])
         start, end = (np.concatenate([h[k] + b for h, b in zip(held, base, strict=False)]) for k in ("start", "end"))
-        buffer = np.concatenate([h["buffer"] for h in held] + [np.full(1, BREAK, np.uint8)])
-        names = sorted({x for h in held for x in h["names"]})
+        buffer = np.concatenate([h["buffer"] for h in held])
+        names = list(held[0]["names"])
         group_key = K.mix(pivot + part.astype(np.int64).view(U) * U(0x9FB21C651E98DF25))
-        order = np.lexsort((ident, group_key))
+        # Pivots that share these bits only make more rows.
+        order = np.argsort(group_key & ~U((1 << 32) - 1) | ident >> U(32))
         g, i, p = group_key[order], ident[order], pivot[order]
         size = (end - start)[order]
         same = np.zeros(len(order), bool)
@@ -207,8 +244,8 @@ def fragments(texts: DataFrame, counts, longest: int = LONGEST, group: int = GRO
         head[1:] = (g[1:] != g[:-1]) | (p[1:] != p[:-1])
         rows = np.flatnonzero(head)
         stop = np.append(rows, len(first))
-        data, to = _gather(buffer, start[pick], end[pick], len(buffer) - 1)
-        lefts = left[pick].astype(np.uint8)
+        data, to = _gather(buffer, start[pick], end[pick], BREAK)
+        lefts = left[pick]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([names[k] for k in row_lang[pick[rows]]], pa.string()),
@@ -226,30 +263,21 @@ def fragments(texts: DataFrame, counts, longest: int = LONGEST, group: int = GRO
         for tokens, langs in _tokens(batches):
             if len(tokens.hash):
                 place, left, right, count = _fragments_of(tokens, counts.value, longest)
-                text, to = _gather(np.append(tokens.data, np.uint8(32)), tokens.start, tokens.end, len(tokens.data))
+                text, to = _gather(tokens.data, tokens.start, tokens.end, 32)
                 sums = K.running(tokens.hash)
                 ident = K.spans_hash(sums, place - left, place + right + 1) ^ left.astype(U)
                 parts = count.astype(np.int64) // group + 1
                 part = np.where(parts > 1, (ident % parts.astype(U)).astype(np.int64), -1)
                 for x in langs:
                     codes.setdefault(x, len(codes))
-                lang = np.array([codes[x] for x in langs], np.int64)[tokens.row[place]]
+                lang = np.array([codes[x] for x in langs], np.int32)[tokens.row[place]]
                 # A fragment is its words with one blank between them.
-                held.append({"pivot": tokens.hash[place], "part": part, "ident": ident, "left": left, "lang": lang, "buffer": text, "start": to[place - left], "end": to[place + right + 1] - 1, "names": ()})
+                held.append({"pivot": tokens.hash[place], "part": part.astype(np.int32), "ident": ident, "left": left.astype(np.uint8), "lang": lang, "buffer": text, "start": to[place - left], "end": to[place + right + 1] - 1, "names": codes})
                 size += len(tokens.data)
             if size >= BUFFER:
-                yield from named(flush, held, codes)
-                held, size = [], 0
-        yield from named(flush, held, codes)
-
-    def named(work, held, codes):
-        names = sorted(codes)
-        back = np.empty(len(codes), np.int64)
-        for x, k in codes.items():
-            back[k] = names.index(x)
-        for h in held:
-            h["lang"], h["names"] = back[h["lang"]], names
-        return work(held)
+                yield from flush(held)
+                held, size, codes = [], 0, {}
+        yield from flush(held)
 
     return texts.mapInArrow(run, FRAGMENTS)
 
@@ -264,7 +292,7 @@ def _counted(rows: pa.Table, least: int, longest: int) -> Iterator[pa.RecordBatc
     start, end, at = K.words(data, offsets, WORD)
     if not len(start):
         return
-    plain = K.strong_hashes(data, start, end, SEED)
+    plain = _word_hashes(data, start, end)
     sums, others = K.running(plain), K.running(K.mix(plain ^ U(0x94D049BB133111EB)))
     lists = rows.column("counts").combine_chunks()
     number = np.asarray(lists.flatten()).astype(np.int64)
@@ -290,10 +318,15 @@ def _counted(rows: pa.Table, least: int, longest: int) -> Iterator[pa.RecordBatc
     key, other, first, size, n, of = (np.concatenate(x) for x in (key, other, first, size, n, of))
     if not len(key):
         return
-    order = np.lexsort((other, key))
+    order = np.argsort(key)
     k, o = key[order], other[order]
     new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    new[1:] = k[1:] != k[:-1]
+    if np.any(o[1:][~new[1:]] != o[:-1][~new[1:]]):
+        # Two phrases of one hash: both hashes order them.
+        order = np.lexsort((other, key))
+        k, o = key[order], other[order]
+        new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
     at = np.flatnonzero(new)
     total = np.add.reduceat(n[order], at)
     pick = order[at]
