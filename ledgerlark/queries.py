@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import hashing, numeric, text
 from ledgerlark.operators import aggregates, joins, ordered
 from ledgerlark.plans import paired, quality, report, retrieval, review, samples, scoring, workflow
-from ledgerlark.session import cut, shared_dir, table
+from ledgerlark.session import cut, table
 from ledgerlark.streaming import spans as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -588,17 +587,6 @@ def span_pairing(spark, sf):
     return streaming.spans(table(spark, sf, "events"), "user_id", "event_type", "ts", "event_id", "signup", "purchase", "error")
 
 
-@query()
-def span_pairing_stream(spark, sf):
-    """The stream read to its end into a table of the shared folder."""
-    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/events.parquet")
-    out = streaming.pair_spans(source, "user_id", "event_type", "ts", "signup", "purchase", "error", "30 days")
-    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
-
-
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def windowed_counts(spark, sf):
     return streaming.windowed_counts(table(spark, sf, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))

@@ -1,51 +1,101 @@
-"""Keyed start/end pairing over an event stream, and its batch twin."""
+"""Keyed start/end pairing over an event stream, and its batch twin.
+
+The stream keeps for each key the events that the watermark has not passed yet and
+the span that is open.  Events are paired in the order of their times, not of
+their arrival: a timer fires when the watermark passes the last one kept.  Spans that are still
+open when the input ends, and events that no watermark has passed, are read
+from the state (:func:`still_open`), so nothing stays inside; the state itself
+stays as it is and the stream can go on.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 SPAN = "key string, started timestamp, ended timestamp, retries int, status string"
-STATE = "started timestamp, retries int, open boolean"
-
-
-def pair_spans(events: DataFrame, key: str, kind: str, at: str, start: str, end: str, retry: str, timeout: str = "1 hour") -> DataFrame:
-    """Spans from a stream: start, retries, end.  A span not ended before the watermark passes its timeout fails."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def run(k, pages: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            started, retries, _ = state.get
-            state.remove()
-            yield pd.DataFrame([(k[0], started, None, retries, "failed")], columns=["key", "started", "ended", "retries", "status"])
-            return
-        started, retries, is_open = state.getOption or (None, 0, False)
-        out = []
-        for r in pd.concat(pages).sort_values(["at", "kind"]).itertuples():
-            if r.kind == start:
-                if is_open:
-                    out.append((k[0], started, None, retries, "failed"))
-                started, retries, is_open = r.at, 0, True
-            elif r.kind == retry and is_open:
-                retries += 1
-            elif r.kind == end and is_open:
-                out.append((k[0], started, r.at, retries, "succeeded"))
-                is_open = False
-        if is_open:
-            state.update((started, retries, True))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(pd.Timestamp(started).timestamp() * 1000) + wait))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "started", "ended", "retries", "status"])
-
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", timeout)
-    return rows.groupBy("key").applyInPandasWithState(run, SPAN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+OPEN, EVENT = "started long, o long, retries int", "at long, o long, kind string"
+EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)
+#: What the state of the stream is kept in: transformWithState needs it.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class Pairing(StatefulProcessor):
+    """Start, retries and end of each key, in the order of (time, order, kind)."""
+
+    def __init__(self, start: str, end: str, retry: str):
+        self.start, self.end, self.retry = start, end, retry
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.opened, self.kept = handle.getValueState("opened", OPEN), handle.getListState("kept", EVENT)
+
+    def _advance(self, key, events: list[tuple], mark: int) -> Iterator[Row]:
+        """Pairs the events up to the watermark ``mark`` (milliseconds) and keeps the others."""
+        ready = sorted(e for e in events if e[0] <= mark * 1000)
+        rest = [e for e in events if e[0] > mark * 1000]
+        was = span = self.opened.get() if self.opened.exists() else None
+        for at, o, kind in ready:
+            if kind == self.start:
+                if span:
+                    yield self._row(key, span, None, "failed")
+                span = (at, o, 0)
+            elif span and kind == self.retry:
+                span = (span[0], span[1], span[2] + 1)
+            elif span and kind == self.end:
+                yield self._row(key, span, at, "succeeded")
+                span = None
+        if span != was:
+            self.opened.update(span) if span else self.opened.clear()
+        if rest:
+            self.kept.put(rest)
+        else:
+            self.kept.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest:
+            # One timer a key: when it fires, the watermark has passed all that is kept.
+            self.handle.registerTimer(-(-max(e[0] for e in rest) // 1000))
+
+    @staticmethod
+    def _row(key, span, ended, status) -> Row:
+        moment = lambda us: None if us is None else EPOCH + datetime.timedelta(microseconds=us)
+        return Row(key=key[0], started=moment(span[0]), ended=moment(ended), retries=span[2], status=status)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        events = [(r.us, r.o, r.kind) for r in rows]
+        if self.kept.exists():
+            events += [tuple(e) for e in self.kept.get()]
+        yield from self._advance(key, events, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        events = [tuple(e) for e in self.kept.get()] if self.kept.exists() else []
+        yield from self._advance(key, events, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def pair_spans(events: DataFrame, key: str, kind: str, at: str, order: str, start: str, end: str, retry: str, delay: str = "1 hour") -> DataFrame:
+    """Spans that a stream has closed: by an end, or failed by the next start.  Events later than ``delay`` are late (:mod:`dedup` parts them)."""
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(at).cast("timestamp").alias("at"), F.col(order).cast("long").alias("o"))
+    rows = rows.filter(F.col("kind").isin(start, end, retry)).withColumn("us", F.unix_micros("at")).withWatermark("at", delay)
+    return rows.groupBy("key").transformWithState(Pairing(start, end, retry), SPAN, "append", "eventTime")
+
+
+def still_open(spark: SparkSession, checkpoint: str, start: str, end: str, retry: str) -> DataFrame:
+    """The spans that the state of an ended stream still holds, its kept events paired as a table's are."""
+    state = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    opened = state("opened").select("key.key", F.timestamp_micros("value.started").alias("at"), F.col("value.o").alias("o"), F.lit(start).alias("kind"), F.col("value.retries").alias("before"))
+    kept = state("kept").select("key.key", F.timestamp_micros("list_element.at").alias("at"), F.col("list_element.o").alias("o"), F.col("list_element.kind").alias("kind"))
+    rest = spans(kept.unionByName(opened.drop("before")), "key", "kind", "at", "o", start, end, retry)
+    first = opened.select(F.col("key").alias("k"), F.col("at").alias("a"), "before")
+    joined = rest.join(first, (F.col("key") == F.col("k")) & (F.col("started") == F.col("a")), "left")
+    return joined.select("key", "started", "ended", (F.col("retries") + F.coalesce("before", F.lit(0))).cast("int").alias("retries"), "status")
 
 
 def spans(events: DataFrame, key: str, kind: str, at: str, order: str, start: str, end: str, retry: str) -> DataFrame:

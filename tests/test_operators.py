@@ -179,24 +179,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.json_lines(spark, f"{tmp_path}/log", "id long").count() == 2
 
 
-def test_stream_restarts_where_it_stopped(spark, tmp_path):
-    from ledgerlark.streaming import spans
-
-    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    rows = [("a", "start", at(0)), ("a", "retry", at(1)), ("b", "start", at(1)), ("a", "end", at(2))]
-    later = [("b", "end", at(5)), ("c", "end", at(6))]
-    schema = "k string, kind string, t timestamp"
-
-    def turn(data):
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        s = spans.pair_spans(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "k", "kind", "t", "start", "end", "retry")
-        s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
-        return sorted((r.key, r.retries, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-
-    assert turn(rows) == [("a", 1, "succeeded")]
-    assert turn(later) == [("a", 1, "succeeded"), ("b", 0, "succeeded")]
-
-
 @pytest.mark.parametrize("name", ["score_rank_top3", "three_state_rollup", "dense_topk", "quantity_relation"])
 def test_queries_run(spark, name):
     out = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
