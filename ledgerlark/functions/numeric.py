@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,13 +51,9 @@ def median_known(x: Column) -> Column:
     return F.when(F.count(x) == F.count(F.lit(1)), F.median(x))
 
 
-def nearest_rank(x: Column, share: float, least: int = 20) -> Column:
-    """Nearest-rank percentile, published from ``least`` observations on."""
-    return F.when(F.count(x) >= least, F.expr(f"element_at(sort_array(collect_list(__x__)), cast(ceil({share} * count(__x__)) as int))".replace("__x__", _name(x))))
-
-
-def _name(x: Column) -> str:
-    return x._jc.toString() if hasattr(x, "_jc") else str(x)
+def nearest_rank(share: float) -> Callable[[Column], Column]:
+    """The rank (from 1) of a nearest-rank percentile among n values."""
+    return lambda n: F.ceil(F.lit(share).cast("decimal(9,6)") * n)
 
 
 # --- quantities -------------------------------------------------------------

@@ -36,6 +36,32 @@ def global_rank(frame: DataFrame, order: list[Column], name: str = "rank") -> Da
     return ranged.withColumn(n, within).join(F.broadcast(offsets), F.col(part) == F.col("__p")).withColumn(name, (F.col("__before") + F.col(n)).cast("long")).drop(part, n, "__p", "__before")
 
 
+def order_statistics(frame: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at given ranks (from 1) of each group's known values: keys, n (known values), and a column for each of ``ranks``, which make a rank of n.
+
+    No group is buffered.  Equal values of a group are counted first; ranges of
+    (group, value) are sorted apart and summed up in order; what meets in one
+    place is one row for each range and group.  A rank outside 1 to n gives null.
+    """
+    group = F.struct(*[F.col(k) for k in keys])
+    counts = frame.filter(F.col(value).isNotNull()).groupBy(group.alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranged = cut(counts.repartitionByRange("g", "v").sortWithinPartitions("g", "v").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("g", "part").agg(F.sum("c").alias("size"))
+    whole = Window.partitionBy("g")
+    ahead = F.coalesce(F.sum("size").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = cut(parts.select("g", "part", "size", ahead.alias("ahead"), F.sum("size").over(whole).alias("n")))
+    n = F.col("n")
+    # Only the ranges that hold a wanted rank are summed up row by row.
+    wanted = parts.select("g", "part", "ahead", "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(n).cast("long").alias("rank")) for name, rank in ranks.items()])).alias("w"), "size")
+    wanted = wanted.filter((F.col("w.rank") > F.col("ahead")) & (F.col("w.rank") <= F.col("ahead") + F.col("size"))).select(F.col("g").alias("wg"), F.col("part").alias("wp"), "w.name", (F.col("w.rank") - F.col("ahead")).alias("rank"))
+    upto = F.sum("c").over(Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    held = ranged.join(wanted.select(F.col("wg").alias("g"), F.col("wp").alias("part")).distinct(), ["g", "part"], "left_semi").withColumn("upto", upto)
+    hit = held.join(wanted, (F.col("g") == F.col("wg")) & (F.col("part") == F.col("wp")) & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+    values = hit.groupBy("g").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    totals = parts.groupBy(F.col("g").alias("t")).agg(F.max("n").alias("n"))
+    return totals.join(values, F.col("t") == F.col("g"), "left").select("t.*", "n", *ranks)
+
+
 def top_k(frame: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of the whole table, numbered.  Each task sends k rows at most."""
     return frame.orderBy(*order).limit(k).withColumn(name, F.row_number().over(Window.orderBy(*order)))

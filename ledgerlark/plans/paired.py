@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.numeric import delta
+from ledgerlark.functions.numeric import delta, nearest_rank
 from ledgerlark.operators.aggregates import axis_verdict
 from ledgerlark.operators.joins import duplicate_keys, pair
-from ledgerlark.operators.ordered import global_rank, printed
+from ledgerlark.operators.ordered import global_rank, order_statistics, printed
 from ledgerlark.plans.report import row_line
 
 
@@ -102,3 +104,36 @@ def markdown(report_: DataFrame, keys: list[str], metrics: list[str]) -> DataFra
     body = global_rank(report_.select(name.alias("__k"), row_line([name, F.col("pair_status"), *shown]).alias("line")), [F.col("__k"), F.col("line")], "line_no").select("line_no", "line")
     top = report_.sparkSession.createDataFrame([(-1, "| " + " | ".join(head) + " |"), (0, "|" + " --- |" * len(head))], "line_no long, line string")
     return top.unionByName(body)
+
+
+#: What runs must share to be timed together.
+RUNTIME = ["purpose", "status", "cache_state", "fallback_used", "currency", "price_version", "commit_sha", "settings_sha256", "execution_path", "evaluator_sha256"]
+#: Observations from which a 95th percentile is published.
+P95_LEAST = 20
+
+
+def runtime_groups(runs: DataFrame) -> DataFrame:
+    """Times and costs of runs that share all of RUNTIME (nulls are equal).
+
+    Medians are the mean of the two middle values; the 95th percentile is the
+    nearest rank, from 20 observed times on; costs have a median only if every
+    run's cost is known.
+    """
+    sizes = runs.groupBy(*RUNTIME).agg(F.count(F.lit(1)).alias("repetitions"))
+    low, high = (lambda n: F.floor((n + 1) / 2)), (lambda n: F.floor((n + 2) / 2))
+    times = order_statistics(runs, RUNTIME, "duration_seconds", {"t_low": low, "t_high": high, "p95": nearest_rank(0.95)}).withColumnRenamed("n", "n_times")
+    costs = order_statistics(runs, RUNTIME, "cost", {"c_low": low, "c_high": high}).withColumnRenamed("n", "n_costs")
+    out = sizes
+    for i, part in enumerate((times, costs)):
+        part = part.withColumnsRenamed({k: f"__{i}_{k}" for k in RUNTIME})
+        out = out.join(part, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{i}_{k}")) for k in RUNTIME]), "left")
+    known = F.coalesce("n_costs", F.lit(0))
+    return out.select(
+        *RUNTIME,
+        "repetitions",
+        F.coalesce("n_times", F.lit(0)).alias("observed_duration_count"),
+        ((F.col("t_low") + F.col("t_high")) / 2).alias("median_seconds"),
+        F.when(F.col("n_times") >= P95_LEAST, F.col("p95")).alias("p95_seconds"),
+        known.alias("known_cost_count"),
+        F.when(known == F.col("repetitions"), (F.col("c_low") + F.col("c_high")) / 2).alias("median_cost"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.hashing import sha256
+from ledgerlark.operators.chains import nearest_above
 from ledgerlark.operators.joins import ancestors, duplicate_keys, missing, sized
 from ledgerlark.operators.ordered import first_after, first_per
 
@@ -19,10 +20,8 @@ def nearest_role(invocations: DataFrame, roles: dict[str, str | None], ident: st
     stops the walk without a role.
     """
     known = F.create_map(*[F.lit(x) for k, v in roles.items() for x in (k, v or "")])
-    own = invocations.select(F.col(ident).alias("a"), F.element_at(known, F.substring_index(operation, ".", 1)).alias("r")).filter("r is not null")
-    up = ancestors(invocations, ident, parent).unionByName(invocations.select(F.col(ident).alias("node"), F.col(ident).alias("ancestor"), F.lit(0).alias("depth")))
-    best = up.join(own, up["ancestor"] == own["a"]).groupBy("node").agg(F.min_by("r", "depth").alias("role"))
-    return invocations.select(ident).join(best, F.col(ident) == F.col("node"), "left").select(ident, F.nullif("role", F.lit("")).alias("role"))
+    found = nearest_above(invocations, ident, parent, F.element_at(known, F.substring_index(operation, ".", 1)))
+    return found.select(ident, F.nullif("value", F.lit("")).alias("role"))
 
 
 def step_coverage(entities: DataFrame, steps: DataFrame, done: DataFrame, entity: str, step: str) -> DataFrame:

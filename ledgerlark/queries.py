@@ -355,10 +355,29 @@ def macro_micro(spark, sf):
     return out.withColumns({c: F.round(c, 9) for c in ("macro", "micro", "share_max")})
 
 
-@query("""SELECT event_type, count(*) AS n, median(value) AS median_value, CASE WHEN count(value) >= 20 THEN quantile_disc(value, 0.95) END AS p95_value, CASE WHEN count(value) = count(*) THEN round(sum(value), 4) END AS total FROM events GROUP BY 1""")
+@query("""WITH r AS (SELECT event_type AS purpose, CASE WHEN value > 30 THEN 'completed' ELSE 'error' END AS status, CASE user_id % 3 WHEN 0 THEN 'warm' WHEN 1 THEN 'cold' ELSE 'unknown' END AS cache_state, user_id % 2 = 0 AS fallback_used,
+    CASE WHEN user_id % 7 <> 0 THEN 'USD' END AS currency, CASE WHEN user_id % 7 = 0 THEN 'unknown' ELSE 'v1' END AS price_version, sha256((user_id % 2)::VARCHAR) AS commit_sha, CASE WHEN user_id % 2 = 0 THEN sha256('s') END AS settings_sha256,
+    CASE WHEN event_type = 'view' THEN 'replay' ELSE 'live' END AS execution_path, NULL::VARCHAR AS evaluator_sha256, CASE WHEN event_id % 17 <> 0 THEN value END AS duration_seconds, CASE WHEN user_id % 7 <> 0 THEN value * 2 END AS cost FROM events)
+SELECT purpose, status, cache_state, fallback_used, currency, price_version, commit_sha, settings_sha256, execution_path, evaluator_sha256, count(*) AS repetitions, count(duration_seconds) AS observed_duration_count, median(duration_seconds) AS median_seconds,
+    CASE WHEN count(duration_seconds) >= 20 THEN list_sort(list(duration_seconds) FILTER (WHERE duration_seconds IS NOT NULL))[(count(duration_seconds) * 95 + 99) // 100] END AS p95_seconds, count(cost) AS known_cost_count, CASE WHEN count(cost) = count(*) THEN median(cost) END AS median_cost FROM r GROUP BY ALL""")
 def runtime_groups(spark, sf):
-    n = F.count("value")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), numeric.median_known(F.col("value")).alias("median_value"), F.when(n >= 20, F.expr("percentile_disc(0.95) within group (order by value)")).alias("p95_value"), F.round(aggregates.known_sum(F.col("value"), F.lit("USD")), 4).alias("total"))
+    u = F.col("user_id")
+    priced = u % 7 != 0
+    runs = table(spark, sf, "events").select(
+        F.col("event_type").alias("purpose"),
+        F.when(F.col("value") > 30, "completed").otherwise("error").alias("status"),
+        F.when(u % 3 == 0, "warm").when(u % 3 == 1, "cold").otherwise("unknown").alias("cache_state"),
+        (u % 2 == 0).alias("fallback_used"),
+        F.when(priced, "USD").alias("currency"),
+        F.when(priced, "v1").otherwise("unknown").alias("price_version"),
+        hashing.sha256((u % 2).cast("string")).alias("commit_sha"),
+        F.when(u % 2 == 0, hashing.sha256(F.lit("s"))).alias("settings_sha256"),
+        F.when(F.col("event_type") == "view", "replay").otherwise("live").alias("execution_path"),
+        F.lit(None).cast("string").alias("evaluator_sha256"),
+        F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("duration_seconds"),
+        F.when(priced, F.col("value") * 2).alias("cost"),
+    )
+    return paired.runtime_groups(runs)
 
 
 @query("""WITH c AS (SELECT q.x AS quality, t.x AS toxic, count(l.doc_id) AS n FROM (VALUES (0), (1)) q(x) CROSS JOIN (VALUES (0), (1)) t(x) LEFT JOIN labels l ON l.quality = q.x AND l.toxic = t.x GROUP BY ALL)

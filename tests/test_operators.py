@@ -34,9 +34,32 @@ def test_runtime_statistics(spark):
     from ledgerlark.functions import numeric
 
     f = spark.createDataFrame([(float(i), None if i == 3 else 1.0) for i in range(1, 21)], "d double, c double")
-    r = f.agg(numeric.median_known(F.col("d")).alias("m"), numeric.nearest_rank(F.col("d"), 0.95).alias("p"), aggregates.known_sum(F.col("c"), F.lit("USD")).alias("c"), numeric.median_known(F.col("c")).alias("mc")).first()
-    assert tuple(r) == (10.5, 19.0, None, None)
-    assert f.filter("d < 20").agg(numeric.nearest_rank(F.col("d"), 0.95).alias("p")).first().p is None
+    r = f.agg(numeric.median_known(F.col("d")).alias("m"), aggregates.known_sum(F.col("c"), F.lit("USD")).alias("c"), numeric.median_known(F.col("c")).alias("mc")).first()
+    assert tuple(r) == (10.5, None, None)
+    runs = f.select(*[F.lit(None if k == "currency" else k).alias(k) for k in paired.RUNTIME], F.col("d").alias("duration_seconds"), F.col("c").alias("cost"))
+    got = paired.runtime_groups(runs).first()
+    assert (got.repetitions, got.observed_duration_count, got.median_seconds, got.p95_seconds, got.known_cost_count, got.median_cost) == (20, 20, 10.5, 19.0, 19, None)
+    got = paired.runtime_groups(runs.filter("duration_seconds > 3.5 and duration_seconds < 20")).first()
+    assert (got.repetitions, got.median_seconds, got.p95_seconds, got.known_cost_count, got.median_cost) == (16, 11.5, None, 16, 1.0)
+    assert paired.runtime_groups(runs.limit(0)).collect() == []
+
+
+def test_order_statistics_against_sorting(spark):
+    import math
+    import random
+
+    from ledgerlark.functions.numeric import nearest_rank
+    from ledgerlark.operators.ordered import order_statistics
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.choice([1, 2]), rng.choice([None, 5.0, rng.uniform(-9, 9), float(rng.randrange(4))])) for _ in range(3000)] + [("none", 1, None)]
+    frame = spark.createDataFrame(rows, "g string, h int, x double").repartition(6)
+    got = order_statistics(frame, ["g", "h"], "x", {"low": lambda n: F.lit(1), "p95": nearest_rank(0.95), "high": lambda n: n, "beyond": lambda n: n + 1}).collect()
+    want = {}
+    for g, h, x in rows:
+        if x is not None:
+            want.setdefault((g, h), []).append(x)
+    assert {(r.g, r.h): (r.n, r.low, r.p95, r.high, r.beyond) for r in got} == {k: (len(v), min(v), sorted(v)[math.ceil(0.95 * len(v) - 1e-9) - 1], max(v), None) for k, v in want.items()}
 
 
 def test_claim_counts_and_rollup(spark):
