@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,28 @@ def rollup(frame: DataFrame, sets: list[tuple[str, ...]], measures: list[Column]
     return out.withColumn("scope", scope).drop("__g")
 
 
+def three_state_rollup(frame: DataFrame, sets: list[tuple[str, ...]], names: list[str], verdict: str = "verdict", critical: str = "critical", ident: str = "claim_id") -> DataFrame:
+    """:func:`rollup` of :func:`claim_counts`.
+
+    Counts are summed over the finest keys first, so that only those rows are
+    repeated for each set; lists are made of the few rows that they hold.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    v, listed = F.col(verdict), [f"ids_critical_{s}" for s in STATES[1:]]
+    counts = [F.count(F.lit(1)).alias("n_claims"), F.count(v).alias("n_judged"), *[F.count_if(v == s).alias(f"n_{s}") for s in STATES], *[F.count_if((v == s) & F.col(critical)).alias(f"n_critical_{s}") for s in STATES[1:]]]
+    finest = frame.groupBy(*keys).agg(*counts)
+    sums = rollup(finest, sets, [F.sum(c).alias(c) for c in finest.columns if c not in keys], names)
+    some = frame.filter(v.isin(*STATES[1:]) & F.col(critical)).select(*keys, verdict, ident)
+    lists = rollup(some, sets, [F.array_sort(F.collect_list(F.when(v == s, F.col(ident)))).alias(f"ids_critical_{s}") for s in STATES[1:]], names)
+    lists = lists.withColumnsRenamed({k: f"__{k}" for k in [*keys, "scope"]})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "scope"]])
+    done, total = F.col("n_judged"), F.col("n_claims")
+    return sums.join(lists, same, "left").select(
+        "scope", *keys, "n_claims", "n_judged", (total - done).alias("n_pending"), *[x for s in STATES for x in (F.col(f"n_{s}"), ratio(F.col(f"n_{s}"), total, done == total).alias(f"rate_{s}"))],
+        *[f"n_critical_{s}" for s in STATES[1:]], *[F.coalesce(c, F.array().cast(lists.schema[c].dataType)).alias(c) for c in listed],
+    )
+
+
 def macro_micro(frame: DataFrame, group: list[str], unit: list[str], score: str, part: str, whole: str, complete: str) -> DataFrame:
     """Per group: the mean of the units' means, and sum(part)/sum(whole) if all rows are complete.
 

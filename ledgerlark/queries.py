@@ -314,7 +314,7 @@ SELECT CASE grouping_id(l_suppkey, l_linestatus) WHEN 0 THEN 'supplier and statu
     sha256(coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE v = 'unverifiable' AND crit), '')) AS ids_critical_unverifiable
 FROM c GROUP BY GROUPING SETS ((l_suppkey, l_linestatus), (l_suppkey), (l_linestatus), ())""")
 def three_state_rollup(spark, sf):
-    out = aggregates.rollup(_claims(spark, sf), [("l_suppkey", "l_linestatus"), ("l_suppkey",), ("l_linestatus",), ()], aggregates.claim_counts(), ["supplier and status", "supplier", "status", "all"])
+    out = aggregates.three_state_rollup(_claims(spark, sf), [("l_suppkey", "l_linestatus"), ("l_suppkey",), ("l_linestatus",), ()], ["supplier and status", "supplier", "status", "all"])
     return out.select("scope", "l_suppkey", "l_linestatus", "n_claims", "n_judged", "n_pending", "n_verified", "n_contradicted", "n_critical_contradicted", F.round("rate_verified", 9).alias("rate_verified"), F.sha2(F.array_join("ids_critical_unverifiable", ","), 256).alias("ids_critical_unverifiable"))
 
 

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlark.functions.nested import secret_name
-from ledgerlark.functions.text import BEARER, SECRET
+from ledgerlark.functions.nested import redacted_json
 from ledgerlark.operators.joins import violations
 from ledgerlark.sources.files import blobs, exists, inventory, json_lines, not_frozen
 
@@ -37,11 +36,20 @@ def read_text(spark: SparkSession, path: str) -> str:
     return rows[0][0] if rows else ""
 
 
+def _rename_over(spark: SparkSession, near, p) -> None:
+    """A rename that takes an existing file's place in one step."""
+    jvm = spark._jvm
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(near, p, options)
+
+
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> str:
     """Writes a small file whole and returns the SHA-256 of its bytes; an existing one is only replaced if asked.
 
-    The bytes go to a neighbour first and get their name by a rename, so no
-    reader sees half a file.
+    The bytes go to a neighbour first and get their name by a rename, over the
+    old file if that is replaced, so no reader sees half a file or none.
     """
     not_frozen(spark, path)
     body = text.encode()
@@ -52,44 +60,20 @@ def write_text(spark: SparkSession, path: str, text: str, replace: bool = False)
     out = fs.create(near, True)
     out.write(bytearray(body))
     out.close()
-    if replace and fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(near, p):
+    if replace:
+        _rename_over(spark, near, p)
+    elif not fs.rename(near, p):
         fs.delete(near, False)
         raise FileExistsError(path)
     return hashlib.sha256(body).hexdigest()
 
 
-def redacted(value: object, values: tuple[str, ...] = ()) -> object:
-    """A JSON document without secrets, by a stack of what is left to copy."""
-    import re
-
-    out: list = [None]
-    todo: list[tuple] = [(out, 0, value)]
-    while todo:
-        into, at, v = todo.pop()
-        if isinstance(v, str):
-            v = re.sub(SECRET, "[REDACTED]", re.sub(BEARER, "Bearer [REDACTED]", v))
-            for secret in values:
-                v = v.replace(secret, "[REDACTED]")
-        elif isinstance(v, dict):
-            new = dict.fromkeys(v, "[REDACTED]")
-            todo += [(new, k, x) for k, x in v.items() if not secret_name(str(k))]
-            v = new
-        elif isinstance(v, list):
-            new = [None] * len(v)
-            todo += [(new, i, x) for i, x in enumerate(v)]
-            v = new
-        into[at] = v
-    return out[0]
-
-
 def write_json(spark: SparkSession, path: str, document: dict, identity: dict[str, str] | None = None, replace: bool = False) -> str:
     """Writes a document; ``identity`` names fields that must equal the folders above (run_id, evaluation_id).  NaN is refused."""
     for name, want in (identity or {}).items():
         if document.get(name) != want:
             raise ValueError(f"{name} is {document.get(name)!r}, the folder is {want!r}")
-    return write_text(spark, path, json.dumps(redacted(document), ensure_ascii=False, allow_nan=False, indent=2) + "\n", replace)
+    return write_text(spark, path, redacted_json(json.dumps(document, ensure_ascii=False, allow_nan=False, indent=2)) + "\n", replace)
 
 
 def update_manifest(spark: SparkSession, path: str, fixed: tuple[str, ...], **changes: object) -> dict:
