@@ -48,7 +48,7 @@ def three_state_rollup(frame: DataFrame, sets: list[tuple[str, ...]], names: lis
     finest = frame.groupBy(*keys).agg(*counts)
     sums = rollup(finest, sets, [F.sum(c).alias(c) for c in finest.columns if c not in keys], names)
     some = frame.filter(v.isin(*STATES[1:]) & F.col(critical)).select(*keys, verdict, ident)
-    lists = rollup(some, sets, [F.array_sort(F.collect_list(F.when(v == s, F.col(ident)))).alias(f"ids_critical_{s}") for s in STATES[1:]], names)
+    lists = rollup(some, sets, [F.sort_array(F.collect_list(F.when(v == s, F.col(ident)))).alias(f"ids_critical_{s}") for s in STATES[1:]], names)
     lists = lists.withColumnsRenamed({k: f"__{k}" for k in [*keys, "scope"]})
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "scope"]])
     done, total = F.col("n_judged"), F.col("n_claims")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +47,30 @@ def by_member(left: DataFrame, array: str, right: DataFrame, key: str, how: str
     return each.join(right, F.col("__m") == right[key], how).drop("__m")
 
 
+def record_difference(left: DataFrame, right: DataFrame, every: bool = True) -> DataFrame:
+    """Rows of ``left`` without the records of ``right``, all columns compared and nulls equal.
+
+    ``every``: one record in ``right`` takes all its copies out of ``left``; else
+    as many copies as it has itself.  Equal records of a side are counted first,
+    so copies never meet one by one; sides meet by a hash of the record, and the
+    records themselves decide.
+    """
+    if left.columns != right.columns:
+        raise ValueError(f"columns differ: {left.columns} and {right.columns}")
+    record = F.struct(*[F.col(c) for c in left.columns])
+
+    def counted(side: DataFrame, of: str, n: str, h: str) -> DataFrame:
+        return side.select(record.alias(of)).groupBy(of).agg(F.count(F.lit(1)).alias(n)).withColumn(h, F.xxhash64(of))
+
+    a, b = counted(left, "__l", "__n", "__h"), counted(right, "__r", "__m", "__k")
+    same = (F.col("__h") == F.col("__k")) & F.col("__l").eqNullSafe(F.col("__r"))
+    if every:
+        kept = a.join(b, same, "left_anti").withColumn("__rest", F.col("__n"))
+    else:
+        kept = a.join(b, same, "left").withColumn("__rest", F.col("__n") - F.coalesce("__m", F.lit(0))).filter("__rest > 0")
+    return kept.select("__l", F.explode(F.sequence(F.lit(1), F.col("__rest")))).select("__l.*")
+
+
 def subset(part: Column, whole: Column) -> Column:
     """Every element of ``part`` is in ``whole``; null arrays are empty."""
     empty = lambda c: F.coalesce(c, F.array())
@@ -114,6 +137,8 @@ def _found(needles: DataFrame, hay: DataFrame, needle: str, text: str, block_byt
         held = spark.sparkContext.broadcast([r[needle] for r in rows])
 
         def run(batches, held=held):
+            import ahocorasick
+
             words = held.value
             places: dict[str, list[int]] = {}
             for i, w in enumerate(words):

@@ -1,12 +1,14 @@
 """Roll-ups by partial sums, redaction in linear time, and files replaced in one step."""
 
+import collections
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import nested
-from ledgerlark.operators import aggregates
+from ledgerlark.operators import aggregates, joins
 from ledgerlark.sources import runs
 
 
@@ -40,3 +42,19 @@ def test_a_document_is_written_without_secrets_and_replaced_whole(spark, tmp_pat
     runs.write_json(spark, path, {"b": 2}, replace=True)
     assert runs.read_text(spark, path).split() == ["{", '"b":', "2", "}"]
     assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["d.json"]
+
+
+def test_records_are_compared_whole(spark):
+    rng = random.Random(1)
+    make = lambda n: [(rng.choice([1, 2, None]), rng.choice(["a", None]), [rng.choice([0.5, None])]) for _ in range(n)] + [(9, "hot", [])] * n
+    left, right = make(60), make(12)
+    schema = "x int, y string, z array<double>"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    key = lambda rows: collections.Counter(map(repr, rows))
+    got = lambda f: key((r.x, r.y, r.z) for r in f.collect())
+    assert got(joins.record_difference(a, b, every=False)) == key(left) - key(right)
+    assert got(joins.record_difference(a, b)) == collections.Counter({k: n for k, n in key(left).items() if k not in key(right)})
+    assert got(joins.record_difference(a, b.limit(0))) == key(left)
+    assert joins.record_difference(a.limit(0), b).collect() == []
+    with pytest.raises(ValueError, match="columns"):
+        joins.record_difference(a, b.drop("z"))
