@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.session import cut
+from ledgerlark.session import kept
 
 
 def _rounds(n: int) -> int:
@@ -24,12 +24,12 @@ def nearest_above(nodes: DataFrame, ident: str, parent: str, value: Column) -> D
     ends (a loop without a value) is endless.  Identifiers must be unique.
     """
     state = nodes.select(F.col(ident).alias("node"), value.alias("val"), F.col(parent).alias("up"))
-    state = cut(state.withColumn("up", F.when(F.col("val").isNull(), F.col("up"))))
+    state = kept(state.withColumn("up", F.when(F.col("val").isNull(), F.col("up"))))
     for _ in range(_rounds(state.count())):
         if state.filter("up is not null").isEmpty():
             break
         above = state.select(F.col("node").alias("n"), F.col("val").alias("v"), F.col("up").alias("u"))
-        state = cut(state.join(above, F.col("up") == F.col("n"), "left").select("node", F.coalesce("val", "v").alias("val"), F.col("u").alias("up")))
+        state = kept(state.join(above, F.col("up") == F.col("n"), "left").select("node", F.coalesce("val", "v").alias("val"), F.col("u").alias("up")))
     return state.select(F.col("node").alias(ident), F.col("val").alias("value"), F.col("up").isNotNull().alias("endless"))
 
 
@@ -44,12 +44,12 @@ def ranked_chains(nodes: DataFrame, ident: str, follows: str) -> DataFrame:
     ``follows`` is the node before it in its chain, null at the start; no node
     is followed by two.  The nodes of a loop are chains of their own.
     """
-    state = cut(nodes.select(F.col(ident).alias("node"), F.coalesce(F.col(follows), F.col(ident)).alias("head"), F.when(F.col(follows).isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col(follows).alias("up")))
+    state = kept(nodes.select(F.col(ident).alias("node"), F.coalesce(F.col(follows), F.col(ident)).alias("head"), F.when(F.col(follows).isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col(follows).alias("up")))
     for _ in range(_rounds(state.count())):
         if state.filter("up is not null").isEmpty():
             break
         above = state.select(F.col("node").alias("n"), F.col("head").alias("h"), F.col("steps").alias("s"), F.col("up").alias("u"))
         on = state.join(above, F.col("up") == F.col("n"), "left")
-        state = cut(on.select("node", F.coalesce("h", "head").alias("head"), (F.col("steps") + F.coalesce("s", F.lit(0))).alias("steps"), F.col("u").alias("up")))
+        state = kept(on.select("node", F.coalesce("h", "head").alias("head"), (F.col("steps") + F.coalesce("s", F.lit(0))).alias("steps"), F.col("u").alias("up")))
     loop = F.col("up").isNotNull()
     return state.select(F.col("node").alias(ident), F.when(loop, F.col("node")).otherwise(F.col("head")).alias("chain"), F.when(loop, 0).otherwise(F.col("steps")).cast("long").alias("place"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.operators.chains import endless
-from ledgerlark.session import cut
+from ledgerlark.session import kept
 
 
 @dataclass
@@ -66,7 +66,7 @@ def marks(keys: list[Keys], rules: list[Refers]) -> DataFrame:
 
 def broken(keys: list[Keys], rules: list[Refers]) -> DataFrame:
     """(rule, row, value): references to nothing, and (``duplicate <kind>``, key, number) of keys defined twice."""
-    all_ = cut(marks(keys, rules))
+    all_ = kept(marks(keys, rules))
     lost = all_.filter("bits & 1 = 0").select(F.col("kind").alias("k"), F.col("key").alias("lost"), "bits")
     out = [all_.filter(F.col("kind").isin([k.kind for k in keys if k.unique]) & (F.col("defined") > 1)).select(F.concat(F.lit("duplicate "), "kind").alias("rule"), F.col("key").alias("row"), F.col("defined").cast("string").alias("value"))]
     bits = lost.agg(F.bit_or("bits")).first()[0] or 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.text import normal_statement
 from ledgerlark.plans.review import lineage_class
-from ledgerlark.session import cut
+from ledgerlark.session import kept
 
 
 def upstream_samples(samples: DataFrame, invocations: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -39,15 +39,15 @@ def connect(samples: DataFrame, claims: DataFrame, invocations: DataFrame, conte
     upstream claims (``review.lineage_class``).  Without a link a claim is new if its sample
     has upstream samples and none of them failed.
     """
-    up = cut(upstream_samples(samples, invocations, contexts))
+    up = kept(upstream_samples(samples, invocations, contexts))
     state = up.groupBy("sample_id").agg((~F.bool_or("failed")).alias("has_upstream"))
     said = claims.select("claim_id", "sample_id", "position", "relation_key", normal_statement(F.col("text")).alias("said"))
     lines = samples.select(F.col("sample_id").alias("r_sample"), F.explode("reference_lines").alias("line")).filter(F.trim("line") != "")
     lines = lines.select("r_sample", normal_statement(F.col("line")).alias("r_line"), F.lit(True).alias("r")).distinct()
     said = said.join(lines, (F.col("sample_id") == F.col("r_sample")) & (F.col("said") == F.col("r_line")), "left")
-    said = cut(said.select("claim_id", "sample_id", "position", "relation_key", "said", F.coalesce("r", F.lit(False)).alias("is_reference")))
+    said = kept(said.select("claim_id", "sample_id", "position", "relation_key", "said", F.coalesce("r", F.lit(False)).alias("is_reference")))
     theirs = said.select(F.col("claim_id").alias("upstream_claim_id"), F.col("sample_id").alias("upstream_id"), F.col("relation_key").alias("u_key"), F.col("said").alias("upstream_text"), F.col("position").alias("place"))
-    found = cut(said.drop("position").join(up, "sample_id").join(theirs, "upstream_id").filter("relation_key = u_key"))
+    found = kept(said.drop("position").join(up, "sample_id").join(theirs, "upstream_id").filter("relation_key = u_key"))
     repeated = F.col("said") == F.col("upstream_text")
     candidate = F.when(repeated, "inherited").when(F.col("is_reference"), "corrected").otherwise("unknown")
     links = found.select("claim_id", "upstream_claim_id", F.when(repeated, "repeated").otherwise("changed").alias("relation"), "basis", candidate.alias("candidate"))

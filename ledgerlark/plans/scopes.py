@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.chains import ranked_chains
-from ledgerlark.session import cut
+from ledgerlark.session import kept
 
 
 @dataclass
@@ -45,25 +45,25 @@ def delivered_edges(contexts: DataFrame, invocations: DataFrame) -> DataFrame:
 
 def reach(samples: DataFrame, invocations: DataFrame, edges: DataFrame) -> Reach:
     """The walks of samples(sample_id, invocation_id) over edges(invocation_id, upstream_id); loops are no harm."""
-    edges = cut(edges.distinct())
+    edges = kept(edges.distinct())
     one_up = edges.groupBy("invocation_id").agg(F.count(F.lit(1)).alias("n"), F.min("upstream_id").alias("upstream_id")).filter("n = 1")
     one_down = edges.groupBy("upstream_id").agg(F.count(F.lit(1)).alias("m"), F.min("invocation_id").alias("used_by")).filter("m = 1")
     links = one_up.join(one_down, "upstream_id").select("upstream_id", F.col("used_by").alias("before"))
     nodes = invocations.select("invocation_id").distinct().join(links, F.col("invocation_id") == F.col("upstream_id"), "left").select("invocation_id", "before")
-    places = cut(ranked_chains(nodes, "invocation_id", "before"))
+    places = kept(ranked_chains(nodes, "invocation_id", "before"))
     at = places.select(F.col("invocation_id").alias("__n"), F.col("chain").alias("to"), F.col("place").alias("at"))
     inside = links.select(F.col("before").alias("invocation_id"), "upstream_id")
     across = edges.join(inside, ["invocation_id", "upstream_id"], "left_anti").join(places, "invocation_id").join(at, F.col("upstream_id") == F.col("__n"))
     # Links inside a loop's nodes, which are chains of their own, lead across too.
     loops = inside.join(places, "invocation_id").join(at, F.col("upstream_id") == F.col("__n")).filter("chain <> to")
-    hops = cut(across.select("chain", "place", "to", "at").unionByName(loops.select("chain", "place", "to", "at")))
-    entered = cut(samples.join(places, "invocation_id").groupBy("sample_id", "chain").agg(F.min("place").alias("first")))
+    hops = kept(across.select("chain", "place", "to", "at").unionByName(loops.select("chain", "place", "to", "at")))
+    entered = kept(samples.join(places, "invocation_id").groupBy("sample_id", "chain").agg(F.min("place").alias("first")))
     fresh = entered
     while not fresh.isEmpty():
         step = fresh.join(hops, (fresh["chain"] == hops["chain"]) & (hops["place"] >= fresh["first"])).groupBy("sample_id", F.col("to").alias("chain")).agg(F.min("at").alias("first"))
         old = entered.select(F.col("sample_id").alias("__s"), F.col("chain").alias("__c"), F.col("first").alias("__f"))
-        fresh = cut(step.join(old, (F.col("sample_id") == F.col("__s")) & (F.col("chain") == F.col("__c")), "left").filter("__f is null or first < __f").select("sample_id", "chain", "first"))
-        entered = cut(entered.unionByName(fresh).groupBy("sample_id", "chain").agg(F.min("first").alias("first")))
+        fresh = kept(step.join(old, (F.col("sample_id") == F.col("__s")) & (F.col("chain") == F.col("__c")), "left").filter("__f is null or first < __f").select("sample_id", "chain", "first"))
+        entered = kept(entered.unionByName(fresh).groupBy("sample_id", "chain").agg(F.min("first").alias("first")))
     return Reach(entered, places)
 
 

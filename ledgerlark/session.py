@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,11 @@ def cut(frame: DataFrame) -> DataFrame:
     """``frame`` computed once and kept in the shared folder, its lineage cut."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """``frame`` written once to the shared folder as a table and read back: its lineage is cut and its size is known to later joins."""
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
