@@ -2,23 +2,26 @@
 
 All rolling word k-gram hashes of a document are joined to the positions of
 the same k-grams in the templates.  A hit votes for the diagonal (position in
-the document minus position in the template); a run of hits on one diagonal is
-one copy without insertions.  Diagonals of one template that differ by at most
-``drift`` and stand at neighbouring places are merged into a span, first upward
-(inserted words raise the diagonal), then downward (lost words lower it), and a
-span is verified by the share of the template's k-grams that it holds in order.
+the document minus position in the template).  A diagonal may hold several
+copies, or the two ends of one, so its votes are split into runs of
+neighbouring places.  Runs of one template are chained: a run may follow one
+that ends before it in the document and in the template and whose diagonal
+differs by at most ``drift``, up (inserted words) or down (lost words); what
+overlaps counts once.  The best chain is the span, and it is verified by the
+share of the template's k-grams that it holds in order.
 
-Phrases are templates that must stand whole: a diagonal with every k-gram of
-the phrase is one exact place.
+Phrases are templates that must stand whole: a run with every k-gram of the
+phrase is one exact place.
 
 The template table is broadcast after a check of its size (``BROADCAST_GRAMS``
 rows); larger template sets use a shuffled join.  Documents are never joined
 with each other or with themselves: after the join only hits are shuffled, by
-document.
+document.  Runs that are too far apart to follow each other are parted before
+any list is made, and lists without enough votes are not chained.
 
 Defined results: null text counts as empty; repeated rows each get their own
 row; null ids pass through; documents without words have n_words 0, no labels
-and score 0.
+and score 0; other columns of ``docs`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,10 +69,11 @@ def grams(words: list[str], seed: int = SEED) -> list[int]:
 
 def _grams(data, offsets, seed=SEED):
     """Word offsets of the rows; k-gram hashes by first word (some cross rows)."""
+    data = np.where((data >= ord("A")) & (data <= ord("Z")), data | 32, data).astype(np.uint8)
     start, end, at = K.words(data, offsets, K.WORD)
     if len(start) < GRAM:
         return at, np.zeros(0, np.uint64)
-    return at, K.rolling_hash(K.running(K.word_hashes(data, start, end, seed, lower=True)), GRAM)
+    return at, K.rolling_hash(K.running(K.strong_hashes(data, start, end, seed)), GRAM)
 
 
 def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
@@ -84,6 +88,23 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, s
     return F.broadcast(out) if len(rows) <= BROADCAST_GRAMS else out
 
 
+def best_chain(runs: Column, reach: Column, drift: int) -> Column:
+    """Votes of the best chain of ``runs``, structs (lo, hi, tlo, thi) sorted by place; only runs within ``reach`` places are kept open."""
+
+    def follow(state: Column, run: Column) -> Column:
+        diagonal, size = run["lo"] - run["tlo"], run["hi"] - run["lo"] + 1
+        over = lambda o: F.greatest(F.lit(0), o["hi"] - run["lo"] + 1, o["thi"] - run["tlo"] + 1)
+        before = F.filter(state["open"], lambda o: (F.abs(o["diagonal"] - diagonal) <= drift) & (over(o) < size) & (o["hi"] < run["hi"]) & (o["thi"] < run["thi"]))
+        votes = F.greatest(size, size + F.coalesce(F.array_max(F.transform(before, lambda o: o["votes"] - over(o))), F.lit(0)))
+        still = F.filter(state["open"], lambda o: o["hi"] + reach >= run["lo"])
+        ended = F.struct(run["hi"].alias("hi"), run["thi"].alias("thi"), diagonal.alias("diagonal"), votes.alias("votes"))
+        return F.struct(F.greatest(state["best"], votes).alias("best"), F.concat(still, F.array(ended)).alias("open"))
+
+    none = F.from_json(F.lit('{"best": 0, "open": []}'), "best int, open array<struct<hi: int, thi: int, diagonal: int, votes: int>>")
+    start = F.struct(F.coalesce(none["best"], F.lit(0)).alias("best"), none["open"].alias("open"))
+    return F.aggregate(runs, start, follow, lambda state: state["best"])
+
+
 def joined_labels(column: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(column)), ",")
 
@@ -117,22 +138,28 @@ def label_documents(docs: DataFrame, phrases: dict[str, str] = BASE, notices: di
     # The first k-gram's row (or the empty row) stands for the document itself.
     head = F.coalesce(F.col("pos"), F.lit(0)) == 0
     hits = exploded.join(table, "gram", "left").filter(F.col("tid").isNotNull() | head)
+    keys = ["__uid", "doc_id", "n_words", "tid"]
     votes = hits.groupBy("__uid", "doc_id", "n_words", F.coalesce("tid", F.lit(-1)).alias("tid"), F.coalesce(F.col("pos") - F.col("tpos"), F.lit(0)).alias("diagonal")).agg(
-        F.count("tid").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("tpos").alias("tlo"), F.max("tpos").alias("thi"), F.max("tlen").alias("tlen"), F.max("label").alias("label"), F.max("exact").alias("exact")
+        F.collect_set("tpos").alias("at"), F.max("tlen").alias("tlen"), F.max("label").alias("label"), F.max("exact").alias("exact")
+    )
+    # A diagonal's places lie within the template, so these arrays are no longer than it.
+    at = F.array_sort("at")
+    first = F.filter(at, lambda x: ~F.array_contains("at", x - 1))
+    last = F.filter(at, lambda x: ~F.array_contains("at", x + 1))
+    runs = votes.select(*keys, "diagonal", "tlen", "label", "exact", F.inline_outer(F.arrays_zip(first.alias("tlo"), last.alias("thi"))))
+    runs = runs.withColumns({"lo": F.col("diagonal") + F.col("tlo"), "hi": F.col("diagonal") + F.col("thi")})
+    ordered = Window.partitionBy(*keys).orderBy("lo", "tlo")
+    reached = F.max("hi").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.col("tlen") + drift
+    apart = F.coalesce(F.col("exact") | (F.col("lo") - reached > reach), F.lit(True)).cast("int")
+    part = F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    size = F.col("thi") - F.col("tlo") + 1
+    spans = runs.withColumn("apart", apart).withColumn("part", part).groupBy(*keys, "part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "tlo", "hi", "thi")))).alias("runs"), F.sum(size).alias("votes"), F.min("diagonal").alias("diagonal"), F.max("tlen").alias("tlen"), F.max("label").alias("label"), F.max("exact").alias("exact")
     )
-    ordered = Window.partitionBy("__uid", "doc_id", "n_words", "tid").orderBy("diagonal")
-    step = F.col("diagonal") - F.lag("diagonal").over(ordered)
-    over = F.col("tlo") <= F.lag("thi").over(ordered)
-    alone = F.coalesce(F.col("exact") | (step > drift) | over, F.lit(True)).cast("int")
-    sums = [F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("tlo").alias("tlo"), F.max("thi").alias("thi"), F.min("diagonal").alias("diagonal"), F.max("last").alias("last"), F.max("tlen").alias("tlen"), F.max("label").alias("label"), F.max("exact").alias("exact")]
-    span = lambda w: F.sum("alone").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    merged = votes.withColumns({"last": F.col("diagonal"), "alone": alone}).withColumn("span", span(ordered)).groupBy("__uid", "doc_id", "n_words", "tid", "span").agg(*sums)
-    # Lost words lower the diagonal: the same from the highest diagonal down.
-    downward = Window.partitionBy("__uid", "doc_id", "n_words", "tid").orderBy(F.desc("last"), "span")
-    step = F.lag("diagonal").over(downward) - F.col("last")
-    over = F.col("tlo") <= F.lag("thi").over(downward)
-    alone = F.coalesce(F.col("exact") | (step > drift) | over, F.lit(True)).cast("int")
-    merged = merged.withColumn("alone", alone).withColumn("span", span(downward)).groupBy("__uid", "doc_id", "n_words", "tid", "span").agg(*sums).withColumn("share", F.least(F.lit(1.0), F.col("votes") / (F.col("tlen") - GRAM + 1)))
+    whole = F.col("tlen") - GRAM + 1
+    chained = F.when(F.col("exact"), F.col("votes")).when(F.col("votes") >= whole * min_share, best_chain(F.col("runs"), reach, drift)).otherwise(0)
+    merged = spans.withColumn("share", F.least(F.lit(1.0), chained / whole))
     place = F.col("exact") & (F.col("share") == 1.0)
     good = place | (~F.col("exact") & (F.col("share") >= min_share))
     return (

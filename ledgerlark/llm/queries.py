@@ -42,24 +42,24 @@ def _op3_sql() -> str:
     rows = ", ".join(f"({i}, '{t}', '{x}', {e})" for i, (t, x, e) in enumerate(both))
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(GRAM))
     return rf"""
-WITH docs AS (SELECT row_number() OVER () AS uid, doc_id,
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS uid, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 templates(tid, txt, label, exact) AS (VALUES {rows}),
 tw AS (SELECT tid, label, exact, string_split(txt, ' ') AS w FROM templates),
 tg AS (SELECT tid, label, exact, len(w) AS tlen, i - 1 AS tpos, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM tw)),
 dg AS (SELECT uid, i - 1 AS pos, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM docs)),
-votes AS (SELECT uid, tid, pos - tpos AS diagonal, count(*) AS votes, min(tpos) AS tlo, max(tpos) AS thi, max(tlen) AS tlen, max(label) AS label, bool_or(exact) AS exact
-    FROM dg JOIN tg USING (g) GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN exact OR lag(thi) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {DRIFT} OR tlo <= lag(thi) OVER o THEN 1 ELSE 0 END AS new
-    FROM votes WINDOW o AS (PARTITION BY uid, tid ORDER BY diagonal)),
-grouped AS (SELECT *, sum(new) OVER (PARTITION BY uid, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
-up AS (SELECT uid, tid, span, min(diagonal) AS diagonal, max(diagonal) AS top, sum(votes) AS votes, min(tlo) AS tlo, max(thi) AS thi, max(tlen) AS tlen, max(label) AS label, bool_or(exact) AS exact
-    FROM grouped GROUP BY uid, tid, span),
-fallen AS (SELECT *, CASE WHEN exact OR lag(thi) OVER o IS NULL OR lag(top) OVER o - top > {DRIFT} OR tlo <= lag(thi) OVER o THEN 1 ELSE 0 END AS fresh
-    FROM up WINDOW o AS (PARTITION BY uid, tid ORDER BY top DESC, span)),
-chained AS (SELECT *, sum(fresh) OVER (PARTITION BY uid, tid ORDER BY top DESC, span ROWS UNBOUNDED PRECEDING) AS chain FROM fallen),
-spans AS (SELECT uid, tid, chain, min(diagonal) AS diagonal, max(label) AS label, bool_or(exact) AS exact, least(1.0, sum(votes) / (max(tlen) - {GRAM - 1})::DOUBLE) AS share
-    FROM chained GROUP BY uid, tid, chain),
+hits AS (SELECT DISTINCT uid, tid, pos, tpos, pos - tpos AS diagonal, tlen, label, exact FROM dg JOIN tg USING (g)),
+islands AS (SELECT *, tpos - row_number() OVER (PARTITION BY uid, tid, diagonal ORDER BY tpos) AS island FROM hits),
+runs AS (SELECT uid, tid, diagonal, min(pos) AS lo, max(pos) AS hi, min(tpos) AS tlo, max(tpos) AS thi, count(*) AS size, max(tlen) - {GRAM - 1} AS whole, max(label) AS label, bool_or(exact) AS exact
+    FROM islands GROUP BY uid, tid, diagonal, island),
+able AS (SELECT * FROM runs SEMI JOIN (SELECT uid, tid FROM runs WHERE NOT exact GROUP BY uid, tid HAVING sum(size) >= {MIN_SHARE} * max(whole)) USING (uid, tid)),
+edges AS (SELECT a.uid, a.tid, a.lo AS alo, a.tlo AS atlo, b.lo, b.tlo, b.size - greatest(0, a.hi - b.lo + 1, a.thi - b.tlo + 1) AS gain
+    FROM able a JOIN able b ON a.uid = b.uid AND a.tid = b.tid AND abs(a.diagonal - b.diagonal) <= {DRIFT} AND a.hi < b.hi AND a.thi < b.thi
+    AND (a.lo, a.tlo) < (b.lo, b.tlo) AND greatest(0, a.hi - b.lo + 1, a.thi - b.tlo + 1) < b.size),
+chains(uid, tid, lo, tlo, votes) AS (SELECT uid, tid, lo, tlo, size::BIGINT FROM able
+    UNION SELECT e.uid, e.tid, e.lo, e.tlo, c.votes + e.gain FROM chains c JOIN edges e ON c.uid = e.uid AND c.tid = e.tid AND c.lo = e.alo AND c.tlo = e.atlo),
+spans AS (SELECT uid, tid, diagonal, label, exact, size / whole::DOUBLE AS share FROM runs WHERE exact
+    UNION ALL SELECT uid, tid, NULL, max(label), false, least(1.0, max(votes) / max(whole)::DOUBLE) FROM chains JOIN able USING (uid, tid, lo, tlo) GROUP BY uid, tid),
 kept AS (SELECT *, exact AND share = 1.0 AS place FROM spans WHERE (exact AND share = 1.0) OR (NOT exact AND share >= {MIN_SHARE})),
 per AS (SELECT uid, count(*) FILTER (WHERE place) AS n_base, min(diagonal) FILTER (WHERE place) AS f, max(diagonal) FILTER (WHERE place) AS l,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS ls, max(share) AS score FROM kept GROUP BY uid)

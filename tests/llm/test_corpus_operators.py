@@ -213,6 +213,24 @@ def test_notice_without_a_word(spark):
     assert got[2].score > 0.6
 
 
+def test_lost_and_inserted_words_in_one_notice(spark):
+    """Both orders of an insertion and a loss, copies side by side, ends without a middle, and the same two words hashed apart."""
+    w = next(t for t, label in license_scan.NOTICES.items() if label == "mit").split(" ")
+    lost_first = [*w[:6], *w[7:13], "odd", *w[13:]]
+    lost_last = [*w[:6], "odd", *w[6:13], *w[14:]]
+    texts = [lost_first, lost_last, [*lost_first, *lost_last], [*w[:5], *["x"] * 10, *w[15:]], [*w[13:], *w[:13]], [*w[:6], "odd", *w[6:], *["y"] * 40, *w]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in license_scan.label_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(6)] == ["mit", "mit", "mit", "", "mit", "mit"]
+    assert [round(got[i].score * 18) for i in (0, 1, 2, 5)] == [13, 13, 13, 18]
+    a, b = "abbabaabbaababba", "baababbaabbabaab"
+    for _ in range(3):
+        a, b = a + b, b + a
+    for _ in range(4):
+        a, b = a + b, b + a
+    assert license_scan.grams(["one", a, "two"]) != license_scan.grams(["one", b, "two"])
+
+
 def test_edited_notices_by_sql(spark):
     """Lost, inserted and replaced words at every place of the notices; the operator and its SQL agree, and one edit keeps the label."""
     rng = random.Random(3)
