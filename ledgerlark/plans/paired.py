@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,11 +64,15 @@ def overall(report_: DataFrame, primary: list[str], metrics: list[str], better:
 
 
 def changed_settings(before: DataFrame, after: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(key, field, before, after): fields of two manifests that differ, null-safe, as text."""
-    fields = [c for c in before.columns if c != key and c not in ignore]
-    long_ = lambda f, name: f.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.to_json(F.struct(c)).alias("v")) for c in fields])).alias("x")).select(key, "x.field", F.col("x.v").alias(name))
-    both = long_(before, "before").join(long_(after, "after"), [key, "field"])
-    return both.filter(~F.col("before").eqNullSafe(F.col("after")))
+    """(key, field, before, after): fields of two manifests that differ, null-safe, as text.
+
+    A manifest, or a field, of one side only differs where the other side has a value; nulls are equal to nothing there.
+    """
+    fields = sorted({*before.columns, *after.columns} - {key, *ignore})
+    long_ = lambda f, name: f.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.to_json(F.struct(c)).alias("v")) for c in fields if c in f.columns])).alias("x")).select(key, "x.field", F.col("x.v").alias(name))
+    both = long_(before, "before").join(long_(after, "after"), [key, "field"], "full_outer")
+    both = both.withColumns({s: F.coalesce(s, F.lit("{}")) for s in ("before", "after")})
+    return both.filter(F.col("before") != F.col("after"))
 
 
 def gate_problems(pairs: DataFrame) -> DataFrame:
@@ -89,6 +94,94 @@ def gate_problems(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in checks.items()]))).alias("problem"))
 
 
+def first_problem(checks: dict[str, Column]) -> Column:
+    """The name of the first check that is true, else null."""
+    return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), name) for name, c in checks.items()])
+
+
+def _differ(c: str) -> Column:
+    return ~F.col(f"before_{c}").eqNullSafe(F.col(f"after_{c}"))
+
+
+def _flag(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(False))
+
+
+def comparisons(pairs: DataFrame) -> DataFrame:
+    """One row a pair of evaluations: pair_id, problem, changed, complete (the last two null with a problem).
+
+    Columns: pair_id, and before_ and after_ of: run_id, mode, dataset,
+    references, evaluator, frozen, inputs, evidence (hashes), content (of the
+    evidence), intact (an isolated run's own check), status.  Isolated runs may
+    only differ in their snapshots' hashes if both are intact and their inputs
+    and evidence's content are the same.
+    """
+    changed = _differ("inputs") | _differ("evidence")
+    apart = changed & (F.col("before_mode") == "isolated")
+    problem = first_problem({
+        "same run": ~_differ("run_id"),
+        "another mode": _differ("mode"),
+        "another dataset": _differ("dataset"),
+        "other references": _differ("references"),
+        "another evaluator": _differ("evaluator"),
+        "not frozen": ~(_flag("before_frozen") & _flag("after_frozen")),
+        "isolated run not intact": apart & ~(_flag("before_intact") & _flag("after_intact")),
+        "isolated content differs": apart & (_differ("inputs") | _differ("content")),
+    })
+    whole = F.coalesce((F.col("before_status") == "completed") & (F.col("after_status") == "completed"), F.lit(False))
+    return pairs.withColumn("problem", problem).select("pair_id", "problem", F.when(F.col("problem").isNull(), changed).alias("changed"), F.when(F.col("problem").isNull(), whole).alias("complete"))
+
+
+JUDGES = ("factual", "grounding", "coverage")
+
+
+def reevaluation_problems(pairs: DataFrame, reason: str | None, judges: tuple[str, ...] = ()) -> DataFrame:
+    """(pair_id, problem): the first reason why a pair may not be evaluated again; null if it may.
+
+    Columns: pair_id, and before_ and after_ of: run_id, mode, dataset,
+    references, frozen, package (kept samples and claims), package_mode, and
+    <judge>_configuration of JUDGES.  ``judges`` are those at hand: none that an
+    evaluation had may be dropped, and those of claims need a kept package.
+    """
+    checks = {"no reason": F.lit(not (reason or "").strip()), "same run": ~_differ("run_id"), "another mode": _differ("mode"), "another dataset": _differ("dataset"), "other references": _differ("references")}
+    for side in ("before", "after"):
+        checks[f"{side}: not frozen"] = ~_flag(f"{side}_frozen")
+        for judge in JUDGES:
+            if judge not in judges:
+                checks[f"{side}: {judge} judge dropped"] = F.col(f"{side}_{judge}_configuration").isNotNull()
+        checks[f"{side}: isolated package"] = _flag(f"{side}_package") & (F.col(f"{side}_package_mode") == "isolated")
+        if {"factual", "grounding"} & set(judges):
+            checks[f"{side}: no package kept"] = ~_flag(f"{side}_package")
+    return pairs.select("pair_id", first_problem(checks).alias("problem"))
+
+
+def reevaluate(pairs: DataFrame, samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], evaluator: str, reason: str, judges: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides of each admitted pair scored by one scorer: (pairs as evaluated, results, refused).
+
+    pairs as for :func:`reevaluation_problems` and :func:`comparisons`, with
+    before_ and after_evaluation_id; samples(evaluation_id, ...).  ``scorer``
+    takes samples and gives their rows with metric_name, status and value; it
+    sees both sides at once, so none can be scored by another version.  Old
+    evaluations stay: new ids are a hash of the old one, the reason and the
+    evaluator, so a repeated run gives the same ids.  An evaluation is
+    completed if it has results and all are.  refused: (pair_id, problem).
+    """
+    checked = pairs.join(reevaluation_problems(pairs, reason, judges), "pair_id")
+    refused = checked.filter("problem is not null").select("pair_id", "problem")
+    old = lambda s: F.col(f"{s}_evaluation_id")
+    new = lambda s: F.sha2(F.concat_ws("\n", old(s), F.lit(reason), F.lit(evaluator)), 256)
+    fine = checked.filter("problem is null").drop("problem")
+    ids = fine.select(F.explode(F.array(*[F.struct(old(s).alias("evaluation_id"), new(s).alias("new_id")) for s in ("before", "after")])).alias("x")).select("x.*").distinct()
+    results = scorer(samples.join(ids, "evaluation_id").withColumnRenamed("evaluation_id", "previous_evaluation_id").withColumnRenamed("new_id", "evaluation_id"))
+    status = results.groupBy("evaluation_id").agg(F.when(F.bool_and(F.coalesce(F.col("status") == "completed", F.lit(False))), "completed").otherwise("partial").alias("status"))
+    out = fine
+    for s in ("before", "after"):
+        mine = status.select(F.col("evaluation_id").alias("__id"), F.col("status").alias("__status"))
+        out = out.withColumns({f"{s}_previous_evaluation_id": old(s), f"{s}_evaluation_id": new(s)}).join(mine, F.col(f"{s}_evaluation_id") == F.col("__id"), "left")
+        out = out.withColumns({f"{s}_status": F.coalesce("__status", F.lit("missing")), f"{s}_evaluator": F.lit(evaluator), f"{s}_frozen": F.lit(True)}).drop("__id", "__status")
+    return out.withColumn("reason", F.lit(reason)), results, refused
+
+
 def workflow_success(checks: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, succeeded): the run ended well and all its checks passed or do not apply."""
     per = checks.groupBy("run_id").agg(F.bool_and(F.coalesce(F.col("result").isin("pass", "not_applicable"), F.lit(False))).alias("__ok"))

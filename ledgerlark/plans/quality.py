@@ -60,16 +60,6 @@ def verdicts(comparisons: DataFrame) -> DataFrame:
     return comparisons.groupBy("claim_id").agg(fold_verdict(r).alias("verdict"), F.when(F.bool_or(r == "error"), "error").otherwise("completed").alias("status"), selected.alias("selected"), (F.bool_or(r == "supports") & F.bool_or(r == "contradicts")).alias("conflict"))
 
 
-def support(documents: DataFrame) -> DataFrame:
-    """Grounding of a claim by documents: supported, contradicted, unsupported (also on conflict), or error."""
-    r = F.col("relation")
-    proof = (F.col("quote") == F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))) & (F.trim("quote") != "")
-    final = F.when(r == "unsupported", r).when(~F.coalesce(proof, F.lit(False)), "error").when(~F.col("gates"), "unsupported").otherwise(r)
-    d = documents.withColumn("final", final)
-    yes, no = F.bool_or(F.col("final") == "supported"), F.bool_or(F.col("final") == "contradicted")
-    return d.groupBy("claim_id").agg(F.when(F.bool_or(F.col("final") == "error"), "error").when(yes & no, "unsupported").when(yes, "supported").when(no, "contradicted").otherwise("unsupported").alias("support"), (yes & no).alias("conflict"))
-
-
 def coverage_verdict() -> Column:
     """fulfilled / missing / incorrect of a required item; columns as booleans."""
     c = F.col
@@ -140,3 +130,20 @@ def item_facts(items: DataFrame, facts: DataFrame) -> DataFrame:
     each = by_member(items.select("item_id", "as_of_date", "reference_ids"), "reference_ids", facts.select("reference_id", "fact_id", "review_status", "fact_date"), "reference_id", "left")
     fine = F.coalesce((F.col("review_status") == "verified") & (F.col("fact_date") <= F.col("as_of_date")), F.lit(False))
     return each.groupBy("item_id").agg(F.array_sort(F.collect_list(F.when(fine, F.col("fact_id")))).alias("facts"))
+
+
+def beside_recall(samples: DataFrame, results: DataFrame, summaries: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row a sample: its coverage beside its factual recall, two measures that are never mixed.
+
+    samples(sample_id, case_id, stage); results(sample_id, metric_name,
+    position, status, value), the last of a sample counts; summaries as from
+    :func:`coverage_scopes`; cases(case_id, required_item_ids).  A sample without
+    a result, a summary or a case keeps nulls, or an empty list of items.
+    """
+    recall = results.filter("metric_name = 'factual_recall'").groupBy("sample_id").agg(F.max_by(F.struct("status", "value"), "position").alias("factual_recall"))
+    counts = [c for c in summaries.columns if c.startswith("n_")]
+    own = summaries.filter("scope = 'sample'").select("sample_id", "stage", F.struct(*counts, "coverage").alias("required_information"))
+    items = cases.select("case_id", "required_item_ids")
+    out = samples.select("sample_id", "case_id", "stage").join(recall, "sample_id", "left").join(own, ["sample_id", "stage"], "left").join(items, "case_id", "left")
+    none = F.array().cast(items.schema["required_item_ids"].dataType)
+    return out.select("sample_id", "case_id", "stage", F.coalesce("required_item_ids", none).alias("required_item_ids"), "factual_recall", "required_information")

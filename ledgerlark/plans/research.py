@@ -40,13 +40,16 @@ FOLLOW_UPS = {"high": "{} 관련 강점을 검증할 수 있는 실제 고객 
 EVIDENCE_NOTE = "{} 관련 정성 근거가 확인되며, 세부 검증은 추가 실사가 필요하다."
 # Words that show a summary is still the page's own, and the text in its place.
 PAGE_WORDS = (" provides ", "receiving a ", " and is currently ")
+# The overview of a company without evidence, and what stands for its empty parts.
+OVERVIEW = "{0}는 {1}을 중심으로 {2}을 겨냥하는 {3} 스타트업이다."
+OVERVIEW_PRODUCT, OVERVIEW_CUSTOMERS = "AI semiconductor 제품", "목표 고객"
 DECISION = "%s는 %s 단계에서 DD-Worthiness Score %d점을 기록했으며, %s 의견을 받았다."
 DECISION_NOTE = "%s는 %s 단계에서 DD-Worthiness Score %d점을 기록했으며, %s 의견을 받은 투자 검토 대상이다."
 
 
 def fill(template: str, *values: Column) -> Column:
     """A template with {} places as an expression."""
-    return F.format_string(template.replace("%", "%%").replace("{0}", "%1$s").replace("{1}", "%2$s").replace("{}", "%s"), *values)
+    return F.format_string(template.replace("%", "%%").replace("{}", "%s").replace("{0}", "%1$s").replace("{1}", "%2$s").replace("{2}", "%3$s").replace("{3}", "%4$s"), *values)
 
 
 def company_queries(entities: DataFrame, name: str) -> DataFrame:
@@ -96,6 +99,46 @@ def market_research(markets: DataFrame, evidence: DataFrame, domain: str) -> Dat
     return out.join(references(evidence, domain), domain, "left").fillna({}).withColumn("references", F.coalesce("references", F.array().cast("array<string>")))
 
 
+#: The summaries of a company: the categories whose evidence makes each, best first, and the profile's column that stands in.
+COMPANY_SUMMARIES = {
+    "company_overview": (("Technology & Product", "Market Attractiveness"), None),
+    "business_model_status": (("Traction & Commercialization",), "business_model"),
+    "product_and_technology": (("Technology & Product",), "technology_summary"),
+    "traction_summary": (("Traction & Commercialization",), "traction_summary"),
+    "team_summary": (("Team & Founders",), "team_summary"),
+    "competition_summary": (("Competitive Advantage",), "competition_summary"),
+    "risk_summary": (("Execution & Financing Risk",), "risk_summary"),
+}
+
+
+def company_research(profiles: DataFrame, evidence: DataFrame, name: str) -> DataFrame:
+    """One row a company: its stage, seven summaries and references.
+
+    profiles(name, stage, industry, product_summary, customer_focus,
+    references and the columns of COMPANY_SUMMARIES); evidence(name, pos,
+    category, title, url, content).  A summary is the localised first non-empty
+    content of its categories, else the profile's own text; references are the
+    evidence's, else the profile's.  All seven come from one aggregation.
+    """
+    some = F.col("content") != ""
+    found = []
+    for out, (categories, _) in COMPANY_SUMMARIES.items():
+        place = F.array_position(F.array(*map(F.lit, categories)), F.col("category"))
+        found.append(F.min_by("content", F.when(some & F.col("category").isin(*categories), F.struct(place, "pos", "content"))).alias(f"__{out}"))
+    j = profiles.join(evidence.groupBy(name).agg(*found), name, "left").join(references(evidence, name).withColumnRenamed("references", "__refs"), name, "left")
+    some_text = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    overview = fill(OVERVIEW, F.col(name).cast("string"), some_text("product_summary", OVERVIEW_PRODUCT), some_text("customer_focus", OVERVIEW_CUSTOMERS), F.col("industry"))
+    # One expression over a list: seven copies of it would be slow to compile.
+    texts = []
+    for out, (_, own) in COMPANY_SUMMARIES.items():
+        fallback = overview if own is None else F.coalesce(own, F.lit(""))
+        texts.append(F.struct(F.coalesce(f"__{out}", fallback).alias("text"), fallback.alias("fallback")))
+    j = j.withColumn("__s", F.transform(F.array(*texts), lambda x: localized(x["text"], x["fallback"])))
+    cells = [F.col("__s")[i].alias(out) for i, out in enumerate(COMPANY_SUMMARIES)]
+    refs = F.coalesce("__refs", "references", F.array().cast("array<string>"))
+    return j.select(name, "stage", *cells, refs.alias("references"))
+
+
 def references(evidence: DataFrame, by: str) -> DataFrame:
     """(by, references): ``title - url`` of each row, each once, in order."""
     line = F.concat(F.col("title"), F.lit(" - "), F.col("url"))

@@ -80,32 +80,94 @@ def append_problems(ledger: DataFrame) -> DataFrame:
     Columns: target_id, seq, review_id, previous_id, reviewer, status
     (proposed, confirmed, adjudicated), label, provenance, reviewed_at,
     resolves (review ids).
+
+    No row carries its past.  Before an adjudication as many opinions are
+    current as reviewers have voted; those that it resolves are joined by their
+    id, and one is current if its reviewer's next vote is not earlier.
     """
     w = Window.partitionBy("target_id").orderBy("seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    past = F.collect_list(F.struct("review_id", "reviewer", "status", "label", "seq")).over(before)
-    r = ledger.withColumns({"__last": F.lag("review_id").over(w), "__time": F.lag("reviewed_at").over(w), "__origin": F.first("provenance").over(w), "__past": past})
-    votes = F.filter("__past", lambda p: p["status"] != "proposed")
-    # A reviewer's current opinion: none of theirs is newer.
-    current = F.filter(votes, lambda p: ~F.exists(votes, lambda q: (q["reviewer"] == p["reviewer"]) & (q["seq"] > p["seq"])))
-    ids = lambda xs: F.transform(xs, lambda p: p["review_id"])
-    settled = F.filter("__past", lambda p: F.array_contains("resolves", p["review_id"]))
-    distinct = lambda f: F.size(F.array_distinct(F.transform(settled, lambda p: p[f])))
+    vote = F.coalesce(F.col("status") != "proposed", F.lit(False))
+    own = Window.partitionBy("target_id", "reviewer", "__vote").orderBy("seq")
+    r = ledger.withColumns({"__last": F.lag("review_id").over(w), "__time": F.lag("reviewed_at").over(w), "__origin": F.first("provenance").over(w), "__vote": vote})
+    r = r.withColumns({"__next": F.lead("seq").over(own), "__voter": F.col("__vote") & (F.row_number().over(own) == 1)})
+    r = r.withColumn("__voters", F.coalesce(F.sum(F.col("__voter").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     adjudicated = F.col("status") == "adjudicated"
+    asked = r.filter(adjudicated).select(F.col("target_id").alias("__t"), F.col("seq").alias("__s"), F.col("reviewer").alias("__by"), F.explode(F.array_distinct("resolves")).alias("__id"))
+    held = r.select("target_id", "review_id", "seq", "reviewer", "label", "status", "__vote", "__next")
+    found = asked.join(held, (F.col("__t") == F.col("target_id")) & (F.col("__id") == F.col("review_id")) & (F.col("seq") < F.col("__s")))
+    several = lambda c: ~F.min(F.struct(c)).eqNullSafe(F.max(F.struct(c)))
+    settled = found.groupBy("__t", "__s").agg(
+        F.count(F.lit(1)).alias("__n"), several("reviewer").alias("__reviewers"), several("label").alias("__labels"), F.count_if(F.col("__vote") & (F.col("__next").isNull() | (F.col("__next") >= F.col("__s")))).alias("__current"),
+        F.bool_or(F.col("reviewer") == F.col("__by")).alias("__self"), F.bool_or(F.col("status") == "proposed").alias("__proposal"),
+    )
+    r = r.join(settled, (F.col("target_id") == F.col("__t")) & (F.col("seq") == F.col("__s")), "left").fillna({"__n": 0, "__current": 0, "__reviewers": False, "__labels": False, "__self": False, "__proposal": False})
     problem = (
         F.when(F.col("provenance") != F.col("__origin"), "mixed provenance")
         .when(~F.col("previous_id").eqNullSafe(F.col("__last")), "not linked to the latest revision")
         .when(F.col("reviewed_at") < F.col("__time"), "time moves backwards")
-        .when(adjudicated & (F.size(F.array_except(ids(current), "resolves")) > 0), "current opinion not resolved")
-        .when(adjudicated & ((F.size(settled) != F.size(F.array_distinct("resolves"))) | (distinct("reviewer") < 2)), "too few independent reviewers")
-        .when(adjudicated & (distinct("label") < 2), "no disagreement")
-        .when(adjudicated & F.exists(settled, lambda p: p["reviewer"] == F.col("reviewer")), "adjudicator is a reviewer")
-        .when(adjudicated & F.exists(settled, lambda p: p["status"] == "proposed"), "resolves a proposal")
+        .when(adjudicated & (F.col("__current") < F.col("__voters")), "current opinion not resolved")
+        .when(adjudicated & ((F.col("__n") != F.size(F.array_distinct("resolves"))) | ~F.col("__reviewers")), "too few independent reviewers")
+        .when(adjudicated & ~F.col("__labels"), "no disagreement")
+        .when(adjudicated & F.col("__self"), "adjudicator is a reviewer")
+        .when(adjudicated & F.col("__proposal"), "resolves a proposal")
         .when(~adjudicated & (F.size("resolves") > 0), "only adjudications resolve")
     )
     return r.select("target_id", "seq", problem.alias("problem")).filter("problem is not null")
 
 
+# Kinds that a reviewer may give to the facts of a text.
+KINDS = ("fact", "opinion", "mixed", "score", "decision")
+
+
+def target_problems(ledger: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, seq, problem): reviews that do not fit what they review, or whose id is taken.
+
+    ledger: target_id, seq (place in the ledger), review_id, evaluation_id,
+    target_kind, source_sha256, automatic and human (JSON texts).  targets, one
+    row each: target_id, evaluation_id, target_kind, source_sha256, automatic,
+    label_space (JSON texts; null or empty: none).  A label must be one of the
+    label space, with its type; an extraction lists its facts and kinds; a
+    metric says whether it is an error, with a score of 0 to 1 or none.
+    """
+    t = targets.select("target_id", F.struct("evaluation_id", "target_kind", "source_sha256", "automatic", "label_space").alias("__t"))
+    taken = ledger.groupBy("review_id").agg(F.count(F.lit(1)).alias("__n"), F.min("seq").alias("__first")).filter("__n > 1")
+    r = ledger.join(t, "target_id", "left").join(taken.select(F.col("review_id").alias("__id"), "__first"), F.col("review_id").eqNullSafe(F.col("__id")), "left")
+    h = F.try_parse_json(F.col("human"))
+    part = lambda path: F.try_variant_get(h, path, "variant")
+    kind = lambda path: F.coalesce(F.schema_of_variant(part(path)), F.lit("VOID"))
+    words = lambda path: F.try_variant_get(h, path, "array<string>")
+    listed = lambda path: kind(path).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(F.coalesce(words(path), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    fine = lambda c: F.coalesce(c, F.lit(False))
+    shape = fine(listed("$.facts") & listed("$.kinds"))
+    content = fine(F.forall(words("$.facts"), lambda x: x.rlike(r"(?U)\S"))) & fine(F.forall(words("$.kinds"), lambda x: x.isin(*KINDS)))
+    score = F.try_variant_get(h, "$.score", "double")
+    scored = kind("$.score").rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & ((kind("$.score") == "VOID") | fine(score.between(0, 1)))
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"__t.{c}"))
+    labels = F.coalesce("__t.label_space", F.array().cast("array<string>"))
+    free, extraction = F.size(labels) == 0, F.col("target_kind") == "extraction"
+    problem = (
+        F.when(F.col("__t").isNull() | ~same("evaluation_id") | ~same("target_kind"), "unknown target")
+        .when(~same("source_sha256") | ~same("automatic"), "another automatic result or source")
+        .when(~free & ~fine(F.array_contains(labels, F.col("human"))), "label outside the label space")
+        .when(free & extraction & ~shape, "no lists of facts and kinds")
+        .when(free & extraction & ~content, "invalid facts or kinds")
+        .when(free & ~extraction & (kind("$.error") != "BOOLEAN"), "no error flag")
+        .when(free & ~extraction & ~scored, "score outside 0 to 1")
+        .when(F.col("seq") > F.col("__first"), "review id taken")
+    )
+    return r.select("target_id", "seq", problem.alias("problem")).filter("problem is not null")
+
+
+def decision_problems(ledger: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, seq, problem): the first reason against each row of a ledger: its target, then the order of its reviews.
+
+    Columns as of :func:`target_problems` and :func:`append_problems`; the label is the human result.
+    """
+    fit = target_problems(ledger, targets).withColumnRenamed("problem", "__fit")
+    order = append_problems(ledger.withColumn("label", F.col("human"))).withColumnRenamed("problem", "__order")
+    return fit.join(order, ["target_id", "seq"], "full_outer").select("target_id", "seq", F.coalesce("__fit", "__order").alias("problem"))
+
+
 def reliability(targets: DataFrame, opinions: DataFrame) -> DataFrame:
     """Per review group: targets, settled human labels, conflicts, agreement with the automatic label; human and synthetic apart.
 

@@ -93,6 +93,45 @@ def sum_scale(entities: DataFrame, dimensions: list[str], position: str, thresho
     return out.withColumn("decision", F.when(F.col("rank").isNotNull(), "selected").when(F.col("total_score") >= threshold, "hold: outside the top").otherwise("hold: below the threshold"))
 
 
+#: The six dimensions of the sum scale, in the order in which they are asked.
+DIMENSIONS = ("technology", "market", "business", "team", "risk", "competition")
+
+
+def dimension_requests(companies: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """One row a company and dimension: the columns of ``companies``, dimension, request.
+
+    companies(domain, company, context); a template has {domain}, {company} and
+    {context}, each replaced as text, a null one by nothing.
+    """
+    filled = []
+    for name in DIMENSIONS:
+        text = F.lit(templates[name])
+        # The context goes last: braces in it are text.
+        for part in ("domain", "company", "context"):
+            text = F.replace(text, F.lit("{" + part + "}"), F.coalesce(F.col(part).cast("string"), F.lit("")))
+        filled.append(F.struct(F.lit(name).alias("dimension"), text.alias("request")))
+    return companies.withColumn("__d", F.explode(F.array(*filled))).select("*", "__d.*").drop("__d")
+
+
+def rank_companies(companies: DataFrame, replies: DataFrame, position: str) -> DataFrame:
+    """``companies`` with a score a dimension, total_score, rank and problem.
+
+    replies(company, dimension, score): one a dimension, 1 to 5.  A company with
+    a missing, repeated or impossible score has no total and no rank, and its
+    problem; the others are ranked by total, ties by ``position``.
+    """
+    fine = F.when(F.col("score").between(1, 5), F.col("score"))
+    cells = [c for d in DIMENSIONS for c in (F.count_if(F.col("dimension") == d).alias(f"__{d}"), F.max(F.when(F.col("dimension") == d, fine)).cast("int").alias(f"{d}_score"))]
+    j = companies.join(replies.groupBy("company").agg(*cells), "company", "left")
+    each = lambda make: F.array_compact(F.array(*[F.when(make(d), d) for d in DIMENSIONS]))
+    repeated = each(lambda d: F.col(f"__{d}") > 1)
+    absent = each(lambda d: F.col(f"{d}_score").isNull())
+    problem = F.when(F.size(repeated) > 0, F.concat(F.lit("repeated: "), F.array_join(repeated, ", "))).when(F.size(absent) > 0, F.concat(F.lit("no score: "), F.array_join(absent, ", ")))
+    j = j.withColumn("problem", problem).withColumn("total_score", F.when(F.col("problem").isNull(), sum((F.col(f"{d}_score") for d in DIMENSIONS), F.lit(0)))).drop(*[f"__{d}" for d in DIMENSIONS])
+    whole = global_rank(j.filter("problem is null"), [F.desc("total_score"), F.col(position)])
+    return whole.unionByName(j.filter("problem is not null").withColumn("rank", F.lit(None).cast("long")))
+
+
 def evidence_signal(entities: DataFrame, evidence: DataFrame, keys: list[str], text: str, fallback: str, words: tuple = STRONG) -> DataFrame:
     """Signal 2..5 of each entity from its evidence; ``fallback`` column where there is none."""
     low = F.lower(text)
