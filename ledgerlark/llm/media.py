@@ -7,7 +7,8 @@ archives; the task of a range reads the archive's central directory, takes the
 members whose local header starts in its range, and streams them as Arrow
 batches.  A member that fails is read again by its offset, without the others
 of its range, and ends as a row with ``error`` set and null content if it goes
-on failing.
+on failing, also where its archive cannot be opened again; so does one whose
+stored image cannot be decoded.
 
 Folders are URIs of any file system that ``pyarrow.fs`` opens.  A writing task
 gives its archive a name of its own, so a second attempt never touches the
@@ -15,7 +16,9 @@ first one's file, and only the archives that successful attempts report are
 read.  The driver holds one path and size for each archive.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal
-texts give equal media; repeated rows and null ids pass through.
+texts give equal media; repeated rows and null ids pass through.  Ids are longs
+or, if their column is no integer, strings.  Only the text and id columns are
+read, so other columns' names do not matter.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ import time
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from ledgerlark.llm.batches import bounded
 from ledgerlark.llm.shared import shared_folder
@@ -160,29 +164,38 @@ class ArchiveReader(DataSourceReader):
         with fs.open_input_file(path) as stream:
             own = [m for m in directory(stream, part.size) if part.start <= m[3] < part.end]
         rows: list[tuple] = []
-        held, stream = 0, fs.open_input_file(path)
+        held, stream = 0, None
         try:
             for name, crc, size, offset in own:
                 content, error = None, None
                 for attempt in range(RETRIES):
                     try:
+                        stream = stream or fs.open_input_file(path)
                         content, error = member(stream, name, crc, size, offset), None
                         break
-                    except (OSError, ValueError) as e:
+                    except (OSError, ValueError, struct.error) as e:
                         error = f"{type(e).__name__}: {e}"[:300]
+                        # A new stream for the next attempt, which may fail to open too.
+                        stream = closed(stream)
                         time.sleep(0.05 * 2**attempt)
-                        stream = fs.open_input_file(path)
                 rows.append((name, part.path, offset, content, error))
                 held += len(content or b"")
                 if held > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows, held = [], 0
         finally:
-            stream.close()
+            closed(stream)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def closed(stream) -> None:
+    """Closes what may be closed; its own failure says nothing about what was read."""
+    if stream is not None:
+        with suppress(OSError, ValueError):
+            stream.close()
+
+
 def member(stream, name: str, crc: int, size: int, offset: int) -> bytes:
     """One member by its offset, checked against the directory."""
     stream.seek(offset)
@@ -258,33 +271,40 @@ def features(samples: bytes) -> str:
     return f"mean={mean:.3f};dev={float(share @ (level - mean) ** 2) ** 0.5:.3f};entropy={float(-(seen * np.log2(seen)).sum()):.4f};step={step:.3f}"
 
 
-MEASURED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+MEASURED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
-def measure(media: DataFrame) -> DataFrame:
-    """Reads each stored image back and computes its digests and features."""
+def measure(media: DataFrame, id_type: str = "long") -> DataFrame:
+    """Reads each stored image back and computes its digests and features; ids are of ``id_type`` (long or string)."""
+    schema = f"doc_id {id_type}, {MEASURED}"
+    kinds = [pa.int64() if c.split()[1] == "long" else pa.string() for c in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
             rows = []
             for name, content, error in zip(batch.column("name").to_pylist(), batch.column("content"), batch.column("error").to_pylist(), strict=True):
-                _, number, size = name.removesuffix(".png").split("/")
-                key = (int(number) if number else None, int(size))
+                # A string id may itself hold slashes.
+                ident, _, size = name.partition("/")[2].removesuffix(".png").rpartition("/")
+                key = (None if ident == "" else int(ident) if id_type == "long" else ident, int(size))
+                if error is None:
+                    stored = content.as_py()
+                    try:
+                        body = decode_png(stored)
+                    except (ValueError, struct.error, zlib.error) as e:
+                        error = f"{type(e).__name__}: {e}"[:300]
                 if error is not None:
                     rows.append((*key, None, None, None, None, None, None, error))
                     continue
-                stored = content.as_py()
-                body = decode_png(stored)
                 rows.append((*key, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(body), None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MEASURED.split(", ")])
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
-    return media.select("name", "content", "error").mapInArrow(run, MEASURED)
+    return media.select("name", "content", "error").mapInArrow(run, schema)
 
 
 def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Stores the payloads of ``docs`` (a job of its own) and measures what is read back."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
-    return measure(read_archives(spark, write_archives(docs, text, doc_id, folder), range_bytes))
+    id_type = "long" if isinstance(docs.schema[doc_id].dataType, IntegralType) else "string"
+    return measure(read_archives(spark, write_archives(docs, text, doc_id, folder), range_bytes), id_type)
