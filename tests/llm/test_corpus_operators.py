@@ -370,6 +370,60 @@ def test_every_language_is_learnt(spark):
     assert langid.learn(docs).langs == [f"l{k:03d}" for k in range(520)]
 
 
+def test_one_id_or_one_text_is_still_learnt(spark):
+    a, b = [d for d in range(100) if zlib.crc32(str(d).encode()) % 4 != 2][:2]
+    one = [(a, f"kalomi tuka {i} lo", "aa") for i in range(2000)] + [(b, "schein gutver ein", "bb")] * 2000
+    docs = spark.createDataFrame(one, "doc_id long, text string, lang string")
+    net = langid.learn(docs, per_lang=50)
+    assert net.langs == ["aa", "bb"]
+    got = {(r.lang, r.lang_pred) for r in langid.predict(docs, net).collect()}
+    assert got == {("aa", "aa"), ("bb", "bb")}
+
+
+def test_network_against_plain_convolution_and_differences():
+    rng = np.random.default_rng(1)
+    par = langid.initial(rng, 4)
+    par["bias"] = rng.normal(0, 0.1, par["bias"].shape)
+    net = langid.network(list("abcd"), {k: v.astype(np.float32) for k, v in par.items()})
+    texts = [b"", b"a", b"some words", bytes(rng.integers(1, 256, 500, np.uint8)), bytes(rng.integers(1, 256, 128, np.uint8))]
+    places = langid.LENGTH - max(langid.WIDTHS) + 1
+
+    def plain(window):
+        best = np.full(langid.FILTERS * len(langid.WIDTHS), -np.inf)
+        for p in range(places):
+            for k, w in enumerate(langid.WIDTHS):
+                for f in range(langid.FILTERS):
+                    v = sum(float(net.emb[window[p + j]] @ net.conv[w][j][:, f]) for j in range(w)) + float(net.bias[k * langid.FILTERS + f])
+                    best[k * langid.FILTERS + f] = max(best[k * langid.FILTERS + f], v)
+        z = np.maximum(best, 0) @ net.out + net.out_bias
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    want = []
+    for t in texts:
+        total, a = np.zeros(4), 0
+        while True:
+            part = t[a : a + langid.LENGTH]
+            total += plain(part.ljust(langid.LENGTH, b"\0")) * max(1, len(part))
+            a += places
+            if a + max(langid.WIDTHS) - 1 >= len(t):
+                break
+        want.append(total / total.sum())
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = langid.Predictor(net).probabilities(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert np.allclose(got, want, atol=1e-4)
+    x, y = rng.integers(0, 256, (6, langid.LENGTH)), rng.integers(0, 4, 6)
+    _, grad = langid.loss_gradients(par, x, y)
+    for name in ("out", "ob", "bias", "emb", *langid.WIDTHS):
+        flat = np.flatnonzero(np.abs(grad[name].ravel()) > 1e-6)[:8]
+        for i in flat:
+            moved = []
+            for h in (1e-5, -1e-5):
+                other = {k: v.copy() for k, v in par.items()}
+                other[name].ravel()[i] += h
+                moved.append(langid.loss_gradients(other, x, y)[0])
+            assert abs((moved[0] - moved[1]) / 2e-5 - grad[name].ravel()[i]) < 1e-4
+
+
 # --- 6 and 8 ------------------------------------------------------------------
 
 
@@ -591,6 +645,40 @@ def test_members_by_range_and_retry(spark, tmp_path):
     assert len(out) == 120
 
 
+def test_media_of_other_ids_and_broken_images(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([("a/b", "abc", 1), ("", "abc", 2), (None, None, 3)], "doc_id string, text string, error int")
+    out = media.media_columns(frame).collect()
+    stored = {r.media_sha256: r for r in out}
+    assert sorted((r.doc_id or "", r.n_bytes) for r in out) == [("", 0), ("", 3), ("a/b", 3)] and len(stored) == 2
+    image = media.encode_png(media.payload(b"abc"))
+    row = stored[hashlib.sha256(image).hexdigest()]
+    assert row.media_bytes == len(image) and row.feature == media.features(media.payload(b"abc"))
+    samples = media.payload(b"abc")
+    mean = sum(samples) / 64
+    assert row.feature.startswith(f"mean={mean:.3f};dev={(sum((x - mean) ** 2 for x in samples) / 64) ** 0.5:.3f};")
+    names = [f"0/{i}/3.png" for i in range(4)]
+    broken = spark.createDataFrame(list(zip(names, [image, image[:20], b"x", b""], [None] * 4, strict=True)), "name string, content binary, error string")
+    got = {r.doc_id: r for r in media.measure(broken).collect()}
+    assert got[0].error is None and all(got[i].error and got[i].payload_sha256 is None and got[i].n_bytes == 3 for i in (1, 2, 3))
+    # A file system that fails to open again: every member becomes a row with its error.
+    archives = media.write_archives(frame, "text", "doc_id", f"file://{tmp_path}/m")
+    path, size = archives[0]
+    real, local = media.filesystem(path)
+
+    class Once:
+        opened = 0
+
+        def open_input_file(self, name):
+            Once.opened += 1
+            if Once.opened > 1:
+                raise OSError("gone")
+            return real.open_input_file(name)
+
+    monkeypatch.setattr(media, "filesystem", lambda uri: (Once(), local))
+    rows = [r for b in media.ArchiveReader([path], [size], 1 << 20).read(media.Range(path, size, 0, size)) for r in b.to_pylist()]
+    assert rows and all(r["content"] is None and "gone" in r["error"] for r in rows)
+
+
 # --- 10 -----------------------------------------------------------------------
 
 
