@@ -186,6 +186,18 @@ def test_company_research(spark):
     assert got["b"].team_summary == "" and got["b"].references == [] and "p" in got["b"].company_overview
 
 
+def test_companies_that_share_evidence(spark):
+    own = sorted({c for _, c in research.COMPANY_SUMMARIES.values() if c})
+    text = "창업팀은 충분한 경험을 갖추고 있으며 양산을 준비하고 있고 고객과의 계약도 여러 건 진행하고 있다."
+    profiles = spark.createDataFrame([(n, k, "Seed", None, None, None, ["r"], *[text] * len(own)) for n, k in (("a", 1), ("b", 1), ("c", None), ("d", 2))], "name string, market int, stage string, industry string, product_summary string, customer_focus string, references array<string>, " + ", ".join(f"{c} string" for c in own))
+    evidence = spark.createDataFrame([(1, i, "Team & Founders", f"t{i % 3}", "u", text.replace("창업팀", f"창업팀{i}")) for i in range(9)], "market int, pos int, category string, title string, url string, content string")
+    listed = {r.name: r for r in research.company_research(profiles, evidence, "name", by="market").collect()}
+    assert listed["a"].team_summary == listed["b"].team_summary == text.replace("창업팀", "창업팀0") and listed["c"].team_summary == text
+    assert {k: r.references for k, r in listed.items()} == {"a": ["t0 - u", "t1 - u", "t2 - u"], "b": ["t0 - u", "t1 - u", "t2 - u"], "c": ["r"], "d": ["r"]}
+    counted = {r.name: r.n_references for r in research.company_research(profiles, evidence, "name", by="market", counted=True).collect()}
+    assert counted == {"a": 3, "b": 3, "c": 1, "d": 1}
+
+
 def test_dimensions(spark):
     c = spark.createDataFrame([("d", "a", "{company}", 1), ("d", "b", None, 2), ("d", "c", "z", 3)], "domain string, company string, context string, pos int")
     asked = scoring.dimension_requests(c, dict.fromkeys(scoring.DIMENSIONS, "{domain} {company} {context}"))
