@@ -506,8 +506,8 @@ SELECT event_id, u.p AS pointer, u.t AS text, u.s::INT AS start_at, u.e::INT AS
 def json_text_units(spark, sf):
     e = table(spark, sf, "events")
     raw = F.concat(F.lit('{"company_name": "c'), F.col("user_id").cast("string"), F.lit('", "team": {"note": "t'), F.col("event_id").cast("string"), F.lit('"}, "url": "x", "references": ["r"], "l/1": [1.5, "m/n"]}'))
-    users = [f"c{r[0]}" for r in e.select("user_id").distinct().filter("user_id % 2 = 0").collect()]
-    return nested.scoped_units(e.select("event_id", raw.alias("raw")), "raw", sorted(users)).drop("entity")
+    users = e.filter("user_id % 2 = 0").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("company")).distinct()
+    return nested.scoped_units(e.select("event_id", raw.alias("raw")), "raw", users).drop("entity")
 
 
 @query("""SELECT event_id, [{pointer: '/a/score', value: event_id::DOUBLE}, {pointer: '/b/0/rating', value: -0.5}] AS scores, [concat('c', user_id), 'z'] AS companies, CASE WHEN event_id % 2 = 0 THEN 'n' ELSE concat('c', user_id) END AS first FROM events""")

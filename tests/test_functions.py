@@ -117,3 +117,17 @@ def test_json_walk_offsets(spark):
     assert one(spark, nested.unwrapped(F.col("s"), "a"), s='{"data":{"a":"1"}}') == "1"
     assert one(spark, nested.redact_json(F.col("s")), s='{"api_key":"k","x":["Bearer abc"]}') == '{"api_key":"[REDACTED]","x":["Bearer [REDACTED]"]}'
     assert one(spark, nested.secret_key(F.col("s")), s="X-Api-Key")
+
+
+def test_units_of_companies_in_a_table(spark):
+    raw = json.dumps({"acme": {"note": "one", "b/c": {"name": "zeta", "x": "two"}}, "company_name": "zeta", "last": "three", "acme2": "four", "p": {"q": {"r": {"s": "five"}}}})
+    frame = spark.createDataFrame([(1, raw)], "k int, j string")
+    names = ["zeta", "p/q", "acme", "acme2", "s", "q/r"]
+    old = {u[1]: next((c for c in names if f"/{c}/" in u[0]), u[4] if u[4] in names else None) for u in nested.walk(raw)}
+    assert {r.text: r.company_id for r in nested.scoped_units(frame, "j", names).collect()} == old
+    # Of several names in a path the first of the list holds, and the least of a table.
+    several = nested.scoped_units(frame, "j", ["q/r", "p/q"]).filter("text = 'five'").first().company_id, nested.scoped_units(frame, "j", spark.createDataFrame([("q/r",), ("p/q",), (None,), ("p/q",)], "c string")).filter("text = 'five'").first().company_id
+    assert several == ("q/r", "p/q")
+    # Names are a table in the plan: many of them make no longer expression, and no unit is doubled by a repeated one.
+    many = spark.range(200_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("c")).unionByName(spark.createDataFrame([("zeta",), ("zeta",)], "c string"))
+    assert {r.text: r.company_id for r in nested.scoped_units(frame, "j", many).collect()} == {"one": "zeta", "zeta": "zeta", "two": "zeta", "three": "zeta", "four": "zeta", "five": "zeta"}
