@@ -87,21 +87,41 @@ def tfidf(docs: DataFrame, ident: str, text: str, features: int = 50_000) -> Dat
     return weighted.join(norm, ident).select(ident, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-#: Queries that meet all rows at once; a block's matrix is what is broadcast.
-BLOCK = 128
-
-
-def best_of(sims: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of each column of a batch: (query, id, similarity); a row is not its own neighbour."""
-    sims = np.where(ids[:, None] == queries[None, :], -np.inf, np.round(sims, 9))
-    out = []
-    for j in range(sims.shape[1]):
-        column = sims[:, j]
-        some = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k]) if len(column) > k else np.arange(len(column))
-        some = some[np.lexsort((ids[some], -column[some]))][:k]
-        some = some[column[some] > -np.inf]
-        out.append((np.repeat(queries[j], len(some)), ids[some], column[some]))
-    return tuple(np.concatenate([o[x] for o in out]) for x in range(3))
+#: Queries that meet all rows in one pass; a block's matrix is what is broadcast.
+BLOCK = 2048
+#: Similarities that a task holds at once.
+CELLS = 1 << 20
+
+
+class Best:
+    """The k best rows of each query so far, by similarity (rounded to nine digits) and id; a row is not its own neighbour."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.least = np.full(len(queries), -np.inf)
+        self.found: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def add(self, sims: np.ndarray, ids: np.ndarray) -> None:
+        # Rows that cannot be among the best go by their similarity as it is; only the others are rounded.
+        i, j = np.nonzero(sims >= (self.least - 2e-9)[None, :])
+        s = sims[i, j]
+        some = (ids[i] != self.queries[j]) & (s > -np.inf)
+        if not some.any():
+            return
+        i, j, s = i[some], j[some], np.round(s[some], 9)
+        q, r, s = (np.concatenate(pair) for pair in zip(self.found, (j, ids[i], s)))
+        order = np.lexsort((r, -s, q))
+        q, r, s = q[order], r[order], s[order]
+        first = np.searchsorted(q, q)
+        held = np.arange(len(q)) - first < self.k
+        last = np.arange(len(q)) - first == self.k - 1
+        self.least[q[last]] = s[last]
+        self.found = q[held], r[held], s[held]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, similarity)."""
+        q, r, s = self.found
+        return self.queries[q], r, s
 
 
 def _blocks(queries: DataFrame, ident: str, block: int) -> Iterator[list]:
@@ -112,18 +132,21 @@ def _blocks(queries: DataFrame, ident: str, block: int) -> Iterator[list]:
 
 
 def _search(vectors: DataFrame, blocks: Iterator, ident: str, k: int, similar) -> DataFrame:
-    """Each block of queries goes over all rows; a batch gives its k best of each query, then the k best of all."""
+    """Each block of queries goes over all rows; a task gives its k best of each query, then the k best of all."""
     spark, found = vectors.sparkSession, None
     for ids, matrix in blocks:
         held = spark.sparkContext.broadcast((ids, matrix))
 
         def run(batches, held=held):
             ids, matrix = held.value
+            best, step = Best(ids, k), max(1, CELLS // len(ids))
             for batch in batches:
-                if batch.num_rows:
-                    own = np.asarray(batch.column(ident))
-                    q, i, s = best_of(similar(batch, matrix), own, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query", ident, "similarity"])
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    best.add(similar(part, matrix), np.asarray(part.column(ident)))
+            q, i, s = best.rows()
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query", ident, "similarity"])
 
         part = vectors.mapInArrow(run, f"query long, {ident} long, similarity double")
         found = part if found is None else found.unionByName(part)
@@ -132,43 +155,72 @@ def _search(vectors: DataFrame, blocks: Iterator, ident: str, k: int, similar) -
     return top_k_per(found, ["query"], [F.desc("similarity"), F.col(ident)], k)
 
 
+#: A term of more than this share of a block's queries is cheaper in the dense product.
+FREQUENT = 0.08
+#: Pairs of a row's and a query's weights that are laid out at once.
+PAIRS = 1 << 20
+
+
+def query_matrix(terms: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """A block's queries by term: the terms, the place of each in the dense part (-1: none), the dense part, and the rest as (start, count, query, weight)."""
+    every = np.concatenate(terms)
+    query = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
+    known, at = np.unique(every, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, query, weight = at[order], query[order], np.concatenate(weights)[order]
+    count = np.bincount(at, minlength=len(known))
+    frequent = count > FREQUENT * len(terms)
+    place = np.where(frequent, np.cumsum(frequent) - 1, -1)
+    dense = np.zeros((int(frequent.sum()), len(terms)))
+    here = frequent[at]
+    dense[place[at[here]], query[here]] = weight[here]
+    return known, place, dense, np.cumsum(count) - count, np.where(frequent, 0, count), query.astype(np.int32), weight
+
+
+def sparse_products(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, matrix: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The sums of products of sparse rows (in order of row) with a :func:`query_matrix`: frequent terms by a dense product, pairs of the others one by one."""
+    known, place, dense, start, count, query, qweight = matrix
+    n = dense.shape[1]
+    at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+    hit = known[at] == term
+    row, at, weight = row[hit], at[hit], weight[hit]
+    own = place[at] >= 0
+    some = np.zeros((rows, len(dense)))
+    some[row[own], place[at[own]]] = weight[own]
+    out = some @ dense
+    row, at, weight = row[~own], at[~own], weight[~own]
+    pairs = np.concatenate([[0], np.cumsum(count[at])])
+    i = 0
+    while i < len(row):
+        j = max(i + 1, int(np.searchsorted(pairs, pairs[i] + PAIRS, "right")) - 1)
+        each = np.repeat(np.arange(i, j), count[at[i:j]])
+        to = start[at[each]] + np.arange(len(each)) - (pairs[each] - pairs[i])
+        base = row[i]
+        sums = np.bincount((row[each] - base) * n + query[to], weight[each] * qweight[to], minlength=(row[j - 1] - base + 1) * n)
+        out[base : row[j - 1] + 1] += sums.reshape(-1, n)
+        i = j
+    return out
+
+
 def sparse_top(weights: DataFrame, queries: DataFrame, ident: str, k: int, block: int = BLOCK) -> DataFrame:
     """(query, ident, similarity, rank) of sparse vectors (ident, term, weight) with a similarity above zero.
 
     A block's queries become a matrix over their own terms; terms that no query
-    of the block has cost nothing.
+    of the block has cost nothing, rare ones only the pairs that share them.
     """
     rows = cut(weights.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights")))
 
     def matrices():
         of = queries.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
         for part in _blocks(of, ident, block):
-            known = np.unique(np.concatenate([np.array(r.terms, np.int64) for r in part]))
-            matrix = np.zeros((len(known), len(part)))
-            for j, r in enumerate(part):
-                matrix[np.searchsorted(known, r.terms), j] = r.weights
-            yield np.array([r[ident] for r in part]), (known, matrix)
-
-    def similar(batch, held):
-        known, matrix = held
+            yield np.array([r[ident] for r in part]), query_matrix([np.array(r.terms, np.int64) for r in part], [np.array(r.weights) for r in part])
+
+    def similar(batch, matrix):
         lists = batch.column("terms")
-        term, weight = np.asarray(lists.flatten()), np.asarray(batch.column("weights").flatten())
         row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-        at = np.minimum(np.searchsorted(known, term), len(known) - 1)
-        hit = known[at] == term
-        out = np.zeros((batch.num_rows, matrix.shape[1]))
-        row, at, weight = row[hit], at[hit], weight[hit]
-        # Rows are in order: sums of runs, a bounded number of products at a time.
-        edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(edge, edge[i] + (1 << 14), "right")) - 1)
-            full = np.flatnonzero(np.diff(edge[i : j + 1])) + i
-            if len(full):
-                part = slice(edge[i], edge[j])
-                out[full] = np.add.reduceat(matrix[at[part]] * weight[part, None], edge[full] - edge[i], axis=0)
-            i = j
-        return np.where(out > 0, out, -np.inf)
+        out = sparse_products(row, np.asarray(lists.flatten()), np.asarray(batch.column("weights").flatten()), batch.num_rows, matrix)
+        out[out <= 0] = -np.inf
+        return out
 
     return _search(rows, matrices(), ident, k, similar)
 
