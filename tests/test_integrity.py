@@ -108,3 +108,21 @@ def test_roles_of_long_chains(spark):
     calls = spark.range(5000).select(F.col("id").alias("invocation_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.when(F.col("id") == 0, "plan.go").when(F.col("id") == 4000, "stop.it").otherwise("x.y").alias("operation"))
     got = workflow.nearest_role(calls, {"plan": "planner", "stop": None})
     assert {(r.role, r["count"]) for r in got.groupBy("role").count().collect()} == {("planner", 4000), (None, 1000)}
+
+
+def test_rounds_end_with_the_longest_walk_that_ends(spark, monkeypatch):
+    # Loops of one, three and five nodes with tails, and ways of up to 40 links that end.
+    up = {f"s{i}": f"s{max(0, i - 1)}" for i in range(30)} | {f"a{i}": f"a{(i + 1) % 3}" for i in range(3)} | {f"b{i}": f"b{(i + 1) % 5}" for i in range(5)} | {"t": "a1", "u": "t"} | {f"w{i}": f"w{i - 1}" if i else None for i in range(41)} | {f"x{i}": f"x{i - 1}" if i else "gone" for i in range(17)}
+    frame = spark.createDataFrame([*up.items(), *[(f"l{i}", f"l{i}") for i in range(2000)]], "id string, up string").repartition(3)
+    made = []
+    monkeypatch.setattr(chains, "kept", lambda f, real=chains.kept: made.append(f) or real(f))
+    loops = {k for k in up if k[0] in "sabtu"} | {f"l{i}" for i in range(2000)}
+    assert {r.id for r in chains.endless(frame, "id", "up").collect()} == loops
+    # The longest way that ends has 40 links: eight tables, where 2,000 loops asked for thirteen.
+    assert len(made) <= 8
+    made.clear()
+    assert {r.id for r in chains.nearest_above(frame, "id", "up", F.lit(None).cast("int")).filter("endless").collect()} == loops and len(made) <= 8
+    made.clear()
+    one = frame.filter("id not like 't%' and id not like 'u%' and id not like 's%' and up is distinct from 'gone'")
+    got = {r.id: (r.chain, r.place) for r in chains.ranked_chains(one, "id", "up").collect()}
+    assert all(got[f"w{i}"] == ("w0", i) for i in range(41)) and got["a2"] == ("a2", 0) and got["l7"] == ("l7", 0) and len(made) <= 8
