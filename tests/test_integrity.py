@@ -62,6 +62,35 @@ def test_scopes_against_a_walk(spark, seed):
     assert {tuple(r) for r in scopes.claim_documents(claims, documents).collect()} == {("k1", b, d) for s, b, d in want_docs if s == "again"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_scope_totals_against_their_pairs(spark, seed):
+    rng = random.Random(seed)
+    n = 80
+    # Long chains with places that share their numbers, side ways and loops back.
+    up = {i: sorted({i - 1} - {-1} | {rng.randrange(n) for _ in range(rng.choice([0, 0, 0, 1]))}) for i in range(n)}
+    calls = spark.createDataFrame([(i, 1, rng.choice([0, 0, 0, 0, 0, 0, 5]), [i % 13, rng.randrange(30)]) for i in range(n)], "invocation_id long, started_at long, ended_at long, evidence_ids array<long>")
+    contexts = spark.createDataFrame([(1000 + i, i, [rng.randrange(40)], up[i]) for i in range(n)], "context_id long, invocation_id long, evidence_ids array<long>, upstream_ids array<long>")
+    samples = spark.createDataFrame([(i, i) for i in range(0, n, 3)] + [(500, 3), (501, 999)], "sample_id long, invocation_id long")
+    documents, upstream = scopes.document_scopes(samples, calls, contexts)
+    pairs = documents.unionByName(upstream.select("sample_id", F.lit("upstream").alias("basis"), F.col("upstream_id").alias("document_id")))
+    want = {tuple(r) for r in pairs.groupBy("sample_id", "basis").agg(F.count(F.lit(1)), F.sum("document_id")).collect()}
+    got = [tuple(r) for r in scopes.scope_totals(samples, calls, contexts).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_scope_totals_form_no_pairs(spark):
+    n = 3000
+    frame = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    calls = frame.select(F.col("id").alias("invocation_id"), F.lit(0).alias("started_at"), F.lit(0).alias("ended_at"), F.array("id").alias("evidence_ids"))
+    contexts = frame.select(F.col("id").alias("context_id"), F.col("id").alias("invocation_id"), F.array().cast("array<bigint>").alias("evidence_ids"), F.array_compact(F.array("up")).alias("upstream_ids"))
+    samples = frame.select(F.col("id").alias("sample_id"), F.col("id").alias("invocation_id"))
+    got = {(r.sample_id, r.basis): (r.n, r.total) for r in scopes.scope_totals(samples, calls, contexts).collect()}
+    assert got[(n - 1, "source")] == (n, n * (n - 1) // 2) and got[(n - 1, "upstream")] == (n - 1, (n - 2) * (n - 1) // 2) and got[(7, "source")] == (8, 28)
+    # All calls are one chain, which has one entry a place, not one for each sample and call.
+    places, hops = scopes._chained(calls, scopes.delivered_edges(contexts, calls))
+    assert scopes._entries(places.select(F.col("chain").alias("root")).distinct(), places, hops).count() == n
+
+
 def test_claims_are_connected_within_what_was_delivered(spark):
     samples = spark.createDataFrame(
         [("s1", "i1", "intermediate", "A", "team", [], "completed", None), ("s2", "i2", "intermediate", "A", "team", ["c2"], "completed", ["It grew to 5. "]), ("s3", "i3", "final", "A", "team", ["c3"], "completed", None), ("s4", "i4", "intermediate", "B", "team", ["c2"], "completed", None), ("s5", "i3", "intermediate", "A", "team", [], "error", None)],
