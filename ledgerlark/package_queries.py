@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlark.plans import packages
 from ledgerlark.queries import query
 from ledgerlark.session import kept, table
 
+#: Lines that one sum of :func:`line_starts` runs over.
+RUN = 256
+
+
+def line_starts(lengths: Column) -> Column:
+    """Where each line of a text starts, by the lines' lengths: in the row itself, sums of whole runs and of the lines before in the own run."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / RUN).cast("int")), lambda b: total(F.slice(lengths, b * RUN + 1, F.lit(RUN))))
+    upto = F.transform(runs, lambda _, b: total(F.slice(runs, F.lit(1), b)))
+    return F.transform(lengths, lambda _, i: F.get(upto, F.floor(i / RUN).cast("int")) + total(F.slice(lengths, F.floor(i / RUN).cast("int") * RUN + 1, i % RUN)) + i)
+
 
 @query("""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, text, string_split(text, chr(10))[1] AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 f AS (SELECT *, doc_id || '/0' AS id FROM d WHERE trim(line) <> '')
@@ -27,9 +38,10 @@ def package_audit(spark, sf):
     k, name = F.col("doc_id"), F.col("doc_id").cast("string")
     docs = table(spark, sf, "documents").filter("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("request"), "text")
     docs = docs.withColumns({"out": F.concat(F.lit("out/"), name), "sha": F.sha2("text", 256), "in": F.concat(F.lit("in/"), name), "in_sha": F.sha2("request", 256)})
-    lines = docs.select("doc_id", "out", "sha", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    before = F.coalesce(F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    lines = lines.withColumn("start", before).filter(F.trim("line") != "")
+    # Lines are made in the row of their document: no exchange, and ids may repeat.
+    docs = docs.withColumn("each", F.split("text", "\n"))
+    starts = line_starts(F.col("lengths"))
+    lines = docs.withColumn("lengths", F.transform("each", F.length)).select("doc_id", "out", "sha", F.posexplode(F.arrays_zip(F.col("each").alias("line"), starts.alias("start"))).alias("i", "l")).select("doc_id", "out", "sha", "i", "l.line", "l.start").filter(F.trim("line") != "")
     place = lambda quote, start, path: F.struct(path.alias("path"), F.col("sha").alias("sha256"), start.alias("start"), (start + F.length("line")).cast("int").alias("end"), quote.alias("quote"))
     first = lambda n, rest: (F.col("i") == 0) & (k % n == rest)
     ident, fact = F.concat(name, F.lit("/"), F.col("i").cast("string")), F.col("i") % 2 == 0
@@ -45,9 +57,9 @@ def package_audit(spark, sf):
     stated = F.when(first(13, 4), F.concat("line", F.lit(" x"))).otherwise(F.col("line"))
     facts = lines.filter(fact)
     claims = facts.select(ident.alias("claim_id"), *scoped(name.alias("sample_id"), name.alias("invocation_id"), stated.alias("atomic_statement"), *company), F.array(own).alias("occurrences"))
-    told = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", ident.alias("claim"), "line"))).alias("told"))
-    s = docs.join(told, "doc_id", "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<i: int, claim: string, line: string>>")))
-    s = s.withColumns({"response": F.array_join(F.transform("told", lambda x: x["line"]), "\n"), "line": F.get(F.split("text", "\n"), 0)})
+    counted = F.transform("each", lambda x, i: F.struct(i.alias("i"), F.concat(name, F.lit("/"), i.cast("string")).alias("claim"), x.alias("line")))
+    s = docs.withColumn("told", F.filter(counted, lambda x: (x["i"] % 2 == 0) & (F.trim(x["line"]) != "")))
+    s = s.withColumns({"response": F.array_join(F.transform("told", lambda x: x["line"]), "\n"), "line": F.get("each", 0)})
     none = F.lit(None).cast("string")
     there = place(F.col("line"), F.lit(0), F.when(k % 29 == 8, "other").otherwise(F.col("out")))
     samples = s.select(
@@ -60,6 +72,6 @@ def package_audit(spark, sf):
     texts = docs.select(F.col("out").alias("path"), F.col("sha").alias("sha256"), "text").unionByName(docs.select(F.col("in").alias("path"), F.col("in_sha").alias("sha256"), F.col("request").alias("text")))
     nothing = spark.createDataFrame([], "path string, sha256 string")
     cases = spark.createDataFrame([], "case_id string, company_id string, section_id string, as_of_date string, reference string, reference_ids array<string>")
-    # A package is a folder of tables: each is made once and read by many rules.
-    package = {"samples": kept(samples), "claims": kept(claims), "atoms": kept(atoms), "units": kept(units)}
-    return packages.audit(package, {"invocations": kept(calls), "texts": kept(texts), "artifacts": nothing, "cases": cases}, {"run_id": "r", "evaluation_id": "e", "mode": "end_to_end"})
+    # Of the package only the samples are written; the other tables are rows of the documents, read again by each rule.
+    package = {"samples": kept(samples), "claims": claims, "atoms": atoms, "units": units}
+    return packages.audit(package, {"invocations": calls, "texts": texts, "artifacts": nothing, "cases": cases}, {"run_id": "r", "evaluation_id": "e", "mode": "end_to_end"})

@@ -3,7 +3,9 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlark import package_queries
 from ledgerlark.plans import packages
 
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -123,3 +125,19 @@ def test_saved_and_checked(spark, tmp_path):
     path.write_text(path.read_text().replace("second", "third"))
     path.with_name(f".{path.name}.crc").unlink()
     assert [(r.file.split("/")[0], r.problem) for r in packages.file_problems(spark, folder).collect()] == [("claims", "changed")]
+
+
+def test_lines_start_where_the_text_says(spark):
+    texts = ["", "\n", "a", "ab\n\nc\n", "\n".join("x" * (i % 7) for i in range(1000))]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("each", F.split("text", "\n")).withColumn("lengths", F.transform("each", F.length))
+    for r in frame.select("text", "each", package_queries.line_starts(F.col("lengths")).alias("starts")).collect():
+        assert len(r.starts) == r.text.count("\n") + 1
+        assert [r.text[a : a + len(x)] for a, x in zip(r.starts, r.each)] == r.text.split("\n")
+        assert all(a == 0 or r.text[a - 1] == "\n" for a in r.starts)
+
+
+def test_documents_with_one_id_keep_their_own_lines(spark, tmp_path):
+    docs = [(2, "one\ntwo\nthree", "s"), (2, "four and more\nfive", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rules = {(r.rule, r.row, r.value) for r in package_queries.package_audit(spark, str(tmp_path)).collect()}
+    assert not [r for r in rules if r[0] == "atom position"]
