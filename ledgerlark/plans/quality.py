@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.numeric import numeric_relation, quantity, ratio
 from ledgerlark.operators.aggregates import item_state
 from ledgerlark.operators.joins import by_member, sized
+from ledgerlark.session import dealt, tasks_of
 
 
 def eligible_facts(samples: DataFrame, facts: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
@@ -94,11 +95,12 @@ def coverage_scopes(rows: DataFrame, items: DataFrame) -> DataFrame:
     item_id, company_id, section_id, applicable; an applicable one that no row
     of a broad scope has enlarges its denominator and keeps its rate unknown.
 
-    One pass groups by all scopes and item, a second folds the items.
+    One pass groups by the broad scopes and item, a second folds the items.  Samples are
+    as many as the rows are; they are dealt to tasks of a fixed size and folded there.
     """
     keys = ["sample_id", "case_id", "company_id", "section_id"]
     state = item_state()
-    sets = [[F.col(c) for c in (*of, "stage", "item_id")] for of in SCOPES.values()]
+    sets = [[F.col(c) for c in (*of, "stage", "item_id")] for name, of in SCOPES.items() if name != "sample"]
     every = [*keys, "stage", "item_id"]
     folded = rows.groupingSets(sets, *[F.col(c) for c in every]).agg(F.grouping_id(*every).alias("g"), state.alias("state"))
     bits = {name: sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c in keys and c not in of) for name, of in SCOPES.items()}
@@ -120,9 +122,11 @@ def coverage_scopes(rows: DataFrame, items: DataFrame) -> DataFrame:
     s = F.col("state")
     n = F.count_if(s != "not_applicable")
     whole = (F.count_if(s.isin("unjudged", "unrepresented")) == 0) & (n > 0)
-    return folded.unionByName(absent).groupBy("scope", *keys, "stage").agg(
-        n.alias("n_items"), *[F.count_if(s == x).alias(f"n_{x}") for x in ("fulfilled", "missing", "incorrect", "unjudged", "unrepresented")], ratio(F.count_if(s == "fulfilled"), n, whole).alias("coverage")
-    )
+    counts = [n.alias("n_items"), *[F.count_if(s == x).alias(f"n_{x}") for x in ("fulfilled", "missing", "incorrect", "unjudged", "unrepresented")], ratio(F.count_if(s == "fulfilled"), n, whole).alias("coverage")]
+    each = dealt(rows, tasks_of(rows), "sample_id").groupBy("sample_id", "stage", "item_id").agg(state.alias("state")).groupBy("sample_id", "stage").agg(*counts)
+    out = folded.unionByName(absent).groupBy("scope", *keys, "stage").agg(*counts)
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in keys[1:]]
+    return out.unionByName(each.select(F.lit("sample").alias("scope"), "sample_id", *none, *each.columns[1:]))
 
 
 def item_facts(items: DataFrame, facts: DataFrame) -> DataFrame:

@@ -207,3 +207,15 @@ def test_dimensions(spark):
     assert got == {"a": (2, 18, None), "b": (1, 30, None), "c": (None, None, "no score: risk")}
     again = replies.unionByName(replies.filter("company = 'a'"))
     assert scoring.rank_companies(c, again, "pos").filter("company = 'a'").first().problem.startswith("repeated: technology")
+
+
+def test_samples_are_folded_in_tasks_of_a_fixed_size(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 500).alias("sample_id"), (F.col("id") % 500 % 7).alias("case_id"), (F.col("id") % 3).alias("company_id"), F.lit("x").alias("section_id"), F.lit("s").alias("stage"), (F.col("id") % 3).cast("string").alias("item_id"), F.lit(True).alias("applicable"), F.lit("completed").alias("status"), F.when(F.col("id") % 2 == 0, "fulfilled").otherwise("missing").alias("verdict"))
+    items = rows.select("item_id", "company_id", "section_id", "applicable").distinct()
+    asked = []
+    monkeypatch.setattr(quality, "tasks_of", lambda frame: asked.append(frame.count()) or 7)
+    out = quality.coverage_scopes(rows, items)
+    assert asked == [3000]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [sample_id" in plan and ", 7" in plan
+    assert {r.scope: r["count"] for r in out.groupBy("scope").count().collect()} == {"sample": 500, "case": 7, "company": 3, "section": 1, "company_section": 3, "report": 1}
