@@ -8,7 +8,7 @@ from ledgerlark.functions import dates, hashing, nested, numeric
 from ledgerlark.operators import aggregates, joins, ordered
 from ledgerlark.plans import claims, dataset, grounding, paired, quality, records, research, retrieval, review, workflow
 from ledgerlark.queries import query
-from ledgerlark.session import table
+from ledgerlark.session import dealt, table, tasks_of
 
 _LINE = "l_orderkey * 10 + l_linenumber"
 
@@ -115,7 +115,9 @@ un AS (SELECT s, count(*) AS u FROM c WHERE n % 2 = 1 GROUP BY 1)
 
 
 def _cited(spark, sf):
-    li = _lines(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "P", "error").otherwise("pending").alias("sample_status")), "l_orderkey")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "P", "error").otherwise("pending").alias("sample_status"))
+    tasks = tasks_of(orders, grounding.SAMPLES_A_TASK)
+    li = dealt(_lines(spark, sf), tasks, "l_orderkey").join(dealt(orders, tasks, "l_orderkey"), "l_orderkey")
     support = F.when(F.col("l_discount") > 0.09, "error").when(F.col("l_returnflag") == "A", "supported").when(F.col("l_returnflag") == "R", "contradicted").otherwise("unsupported")
     return li.withColumns({"support": support, "claim_id": F.col("id"), "sample_id": F.col("l_orderkey")})
 

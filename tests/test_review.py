@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ledgerlark.plans import paired, quality, research, review, scoring, support
+from ledgerlark.plans import grounding, paired, quality, research, review, scoring, support
 
 CLAIM = "claim_id int, claim string, company_id string"
 DOC = "claim_id int, document_id string, text string, company_ids array<string>"
@@ -219,3 +219,18 @@ def test_samples_are_folded_in_tasks_of_a_fixed_size(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [sample_id" in plan and ", 7" in plan
     assert {r.scope: r["count"] for r in out.groupBy("scope").count().collect()} == {"sample": 500, "case": 7, "company": 3, "section": 1, "company_section": 3, "report": 1}
+
+
+def test_grounding_of_samples_in_tasks_of_a_fixed_size(spark, monkeypatch):
+    samples = spark.createDataFrame([("a", "pending"), ("b", "error"), ("c", "pending")], "sample_id string, evaluation_status string")
+    results = spark.createDataFrame([("a", b, "completed", b == "source_evidence") for b in grounding.BASES] + [("b", "source_evidence", "missing", None)], "sample_id string, basis string, status string, grounded boolean")
+    citations = spark.createDataFrame([("k1", "a", "completed", "supported")], "claim_id string, sample_id string, status string, verdict string")
+    claims = spark.createDataFrame([("k1", "a"), ("k2", "a"), ("k3", "b")], "claim_id string, sample_id string")
+    monkeypatch.setattr(grounding, "tasks_of", lambda frame, rows: 5)
+    out = grounding.grounding_summary(samples, results, citations, claims)
+    assert {(r.sample_id, r.basis, r.total, r.grounded, r.n_supported, r.n_uncited, r.grounding_status, r.citation_status) for r in out.collect()} == {
+        ("a", "source_evidence", 1, 1, 1, 1, "completed", "completed"), ("a", "delivered_context", 1, 0, 1, 1, "completed", "completed"),
+        ("b", "source_evidence", 1, 0, 0, 1, "partial", "partial"), ("b", "delivered_context", 0, 0, 0, 1, "partial", "partial"),
+        ("c", "source_evidence", 0, 0, 0, 0, "not_applicable", "not_applicable"), ("c", "delivered_context", 0, 0, 0, 0, "not_applicable", "not_applicable"),
+    }
+    assert ", 5" in out._jdf.queryExecution().optimizedPlan().toString()
