@@ -8,7 +8,7 @@ from ledgerlark.functions import dates, hashing, nested, numeric
 from ledgerlark.operators import aggregates, joins, ordered
 from ledgerlark.plans import claims, dataset, grounding, paired, quality, records, research, retrieval, review, workflow
 from ledgerlark.queries import query
-from ledgerlark.session import dealt, table, tasks_of
+from ledgerlark.session import dealt, kept, table, tasks_of
 
 _LINE = "l_orderkey * 10 + l_linenumber"
 
@@ -235,6 +235,8 @@ def dataset_violations(spark, sf):
     sup = table(spark, sf, "supplier")
     sources = sup.filter("s_suppkey % 19 <> 0").select(F.col("s_suppkey").alias("source_id"), F.array("s_nationkey").alias("company_ids"), F.expr("date_add(date'1993-01-01', cast(s_suppkey % 1000 as int))").alias("published_date"))
     li = _once(spark, sf).join(sup.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    # Many rules read the tables: each is made once.
+    li = kept(li)
     n, part = F.col("l_linenumber"), F.col("l_partkey")
     facts = li.select(
         F.col("id").alias("fact_id"), F.col("id").alias("reference_id"), F.when(F.col("l_orderkey") % 11 == 0, 99).otherwise(F.col("s_nationkey")).alias("company_id"), F.lit("s").alias("section_id"), F.to_date("l_shipdate").alias("as_of_date"), F.to_date("l_shipdate").alias("source_as_of_date"),
@@ -246,7 +248,7 @@ def dataset_violations(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
     cases = orders.filter("case_id % 13 <> 0").join(own, F.col("case_id") == F.col("l_orderkey"), "left").select("case_id", F.lit(5).alias("company_id"), F.lit("s").alias("section_id"), "reference_ids", "required_item_ids")
     reviews = orders.filter("case_id % 13 <> 1").unionByName(orders.filter("case_id % 13 = 2"))
-    return dataset.violations(sources, facts, items, cases, reviews, "1")
+    return dataset.violations(sources, facts, kept(items), kept(cases), reviews, "1")
 
 
 @query(f"""WITH {_ONCE} SELECT o_orderkey AS case_id, string_agg(concat('line ', l_linenumber), chr(10) ORDER BY l_linenumber DESC) FILTER (WHERE l_returnflag = 'A') AS reference, coalesce(list(id ORDER BY id) FILTER (WHERE l_returnflag <> 'A'), []) AS excluded FROM orders JOIN once ON l_orderkey = o_orderkey GROUP BY 1""")

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ledgerlark import evaluation_queries
 from ledgerlark.plans import grounding, paired, quality, research, review, scoring, support
 
 CLAIM = "claim_id int, claim string, company_id string"
@@ -234,3 +235,8 @@ def test_grounding_of_samples_in_tasks_of_a_fixed_size(spark, monkeypatch):
         ("c", "source_evidence", 0, 0, 0, 0, "not_applicable", "not_applicable"), ("c", "delivered_context", 0, 0, 0, 0, "not_applicable", "not_applicable"),
     }
     assert ", 5" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dataset_tables_are_made_once(spark):
+    got = evaluation_queries.dataset_violations(spark, "/root/testdata/sf0.001")
+    assert not [f for f in got.inputFiles() if "lineitem" in f]
