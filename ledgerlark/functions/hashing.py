@@ -28,9 +28,21 @@ def canonical_json(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
+def canonical_texts(texts: Column) -> Column:
+    """:func:`canonical_json` of an array of texts, without Python: Spark writes them so, but for capitals in the escapes of control characters."""
+    json = F.to_json(texts)
+    # A pair of backslashes begins no escape; JSON has no raw control characters, so one can stand for it.
+    lower = F.replace(json, F.lit("\\\\"), F.lit("\x01"))
+    for c in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        lower = F.replace(lower, F.lit(f"\\u{c:04X}"), F.lit(f"\\u{c:04x}"))
+    return F.when(F.contains(json, F.lit("\\u00")), F.replace(lower, F.lit("\x01"), F.lit("\\\\"))).otherwise(json)
+
+
 def stable_id(prefix: str, *values: Column) -> Column:
     """prefix_ and 24 digits of the hash of the JSON array of the values."""
-    return F.concat(F.lit(prefix + "_"), F.left(sha256(canonical_json(F.to_json(F.array(*[v.cast("string") for v in values])))), F.lit(24)))
+    ident = F.concat(F.lit(prefix + "_"), F.left(sha256(canonical_texts(F.array(*[v.cast("string") for v in values]))), F.lit(24)))
+    # Never null, and said to be so: else a join by it would compute it once more to look for nulls.
+    return F.coalesce(ident, F.lit(""))
 
 
 def fingerprint(parts: Column) -> Column:

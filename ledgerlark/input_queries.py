@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlark.plans import inputs
@@ -11,16 +12,17 @@ from ledgerlark.session import table
 METRICS = ("factual_precision", "faithfulness", "context_recall")
 
 
-def _tables(spark, sf):
-    """Orders as samples; each order is also a search whose candidates are its lines, and uses its own and its customer's first."""
+def _tables(spark, sf, contexts=True):
+    """Orders as samples, with or without their contexts; each order is also a search whose candidates are its lines, and uses its own and its customer's first."""
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
     key = F.col("l_orderkey").cast("string")
     ident = F.concat_ws("-", key, "l_linenumber", "l_partkey", "l_suppkey")
     lines = li.select(key.alias("retrieval_id"), (-F.col("l_linenumber")).alias("rank"), ident.alias("context_id"), F.col("l_returnflag").alias("text"), F.col("l_suppkey").alias("evidence_id"), "l_orderkey", "l_linenumber")
+    # A window, not a join: it costs nothing where the searches of a sample are not read.
+    s = o.select("o_orderkey", "o_orderpriority", "o_orderstatus", F.min("o_orderkey").over(Window.partitionBy("o_custkey")).alias("first"))
     given = lines.filter("l_linenumber % 2 = 1 and l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("context_id")).alias("context_ids"))
     k = F.col("o_orderkey")
-    s = o.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").join(first, "o_custkey").join(given, "o_orderkey", "left")
+    s = s.join(given, "o_orderkey", "left") if contexts else s.withColumn("context_ids", F.lit(None).cast("array<string>"))
     other = F.when(F.col("first") != k, F.array(k.cast("string"), F.col("first").cast("string"))).otherwise(F.array(k.cast("string")))
     samples = s.select(
         k.cast("string").alias("sample_id"), F.concat(F.lit("i"), k.cast("string")).alias("invocation_id"), F.when(k % 5 == 1, "error").otherwise("pending").alias("evaluation_status"),
@@ -53,10 +55,10 @@ def inputs_by_search(spark, sf):
 SELECT o.o_orderkey::VARCHAR AS sample_id, CASE WHEN o.o_orderkey % 3 = 1 THEN 0.25 END AS faithfulness, CASE WHEN o.o_orderkey % 3 = 1 THEN 0.75 END AS non_support, coalesce(searches, '') AS searches FROM o LEFT JOIN n USING (o_orderkey)""")
 def search_diagnostics(spark, sf):
     """Each sample's results with its searches nested in order."""
-    samples, _, retrievals, candidates = _tables(spark, sf)
+    samples, _, retrievals, candidates = _tables(spark, sf, contexts=False)
     k = F.col("sample_id").cast("long")
     faith = samples.filter(k % 3 == 1).select("sample_id", F.lit("faithfulness").alias("metric_name"))
-    recall = inputs.searches(samples, retrievals, candidates).filter(k % 6 != 2).select(F.col("retrieval_sample_id").alias("sample_id"), F.lit("context_recall").alias("metric_name"))
+    recall = inputs.asked(samples).filter(k % 6 != 2).select(inputs.search_sample(F.col("sample_id"), F.col("retrieval_id")).alias("sample_id"), F.lit("context_recall").alias("metric_name"))
     results = faith.unionByName(recall).withColumns({"status": F.lit("completed"), "value": F.lit(0.25)})
     got = inputs.diagnostics(samples, retrievals, candidates, results)
     one = lambda x: F.concat(x["retrieval_id"], F.lit("="), F.array_join(F.transform(F.coalesce(x["candidates"], F.array().cast("array<struct<rank: int, context_id: string, text: string, evidence_id: string>>")), lambda c: c["context_id"]), "|"), F.coalesce(F.concat(F.lit(":"), x["context_recall"]["status"]), F.lit("")))

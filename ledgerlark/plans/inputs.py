@@ -28,21 +28,36 @@ def _texts(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
+def gathered(rows: DataFrame, key: str, item: Column, name: str) -> DataFrame:
+    """(key, name): the sorted items of each key.  Rows are moved first: lists begun before that would hold one row each."""
+    return rows.repartition(key).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(name))
+
+
 def listed(candidates: DataFrame) -> DataFrame:
     """(retrieval_id, candidates): each search's candidates by rank, ties by context."""
-    item = F.struct("rank", F.col("context_id").cast("string").alias("context_id"), F.col("text").alias("text"), F.col("evidence_id").cast("string").alias("evidence_id"))
-    return candidates.groupBy(F.col("retrieval_id").cast("string").alias("retrieval_id")).agg(F.array_sort(F.collect_list(item)).alias("candidates"))
+    rows = candidates.select(F.col("retrieval_id").cast("string").alias("retrieval_id"), "rank", F.col("context_id").cast("string").alias("context_id"), F.col("text").alias("text"), F.col("evidence_id").cast("string").alias("evidence_id"))
+    return gathered(rows, "retrieval_id", F.struct("rank", "context_id", "text", "evidence_id"), "candidates")
+
+
+def search_sample(sample: Column, retrieval: Column) -> Column:
+    return stable_id("retrieval_sample", sample, retrieval)
 
 
-def search_sample(sample: str, retrieval: str) -> Column:
-    return stable_id("retrieval_sample", F.col(sample), F.col(retrieval))
+def asked(samples: DataFrame, *others: str | Column) -> DataFrame:
+    """(sample_id, others, pos, retrieval_id): a row for each search that a sample lists."""
+    return samples.select("sample_id", *others, F.posexplode(_texts("retrieval_ids")).alias("pos", "retrieval_id"))
+
+
+def brought(asks: DataFrame, retrievals: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``asks`` with query and candidates of their searches; those of unknown searches leave."""
+    known = retrievals.select(F.col("retrieval_id").cast("string").alias("retrieval_id"), "query").join(listed(candidates), "retrieval_id", "left")
+    return asks.join(known, "retrieval_id")
 
 
 def searches(samples: DataFrame, retrievals: DataFrame, candidates: DataFrame) -> DataFrame:
     """(sample_id, pos, retrieval_id, retrieval_sample_id, query, candidates): a row for each search of each sample."""
-    asked = samples.select("sample_id", F.posexplode(_texts("retrieval_ids")).alias("pos", "retrieval_id"))
-    known = retrievals.select(F.col("retrieval_id").cast("string").alias("retrieval_id"), "query").join(listed(candidates), "retrieval_id", "left")
-    return asked.join(known, "retrieval_id").withColumn("retrieval_sample_id", search_sample("sample_id", "retrieval_id"))
+    found = brought(asked(samples), retrievals, candidates)
+    return found.withColumn("retrieval_sample_id", search_sample(F.col("sample_id"), F.col("retrieval_id")))
 
 
 def metric_inputs(samples: DataFrame, contexts: DataFrame, retrievals: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -81,10 +96,15 @@ def diagnostics(samples: DataFrame, retrievals: DataFrame, candidates: DataFrame
 
     results(sample_id, metric_name, status, value); a search's are under its retrieval sample.
     """
-    wide = results.groupBy(F.col("sample_id").cast("string").alias("of")).agg(*[F.max(F.when(F.col("metric_name") == m, F.struct("status", "value"))).alias(m) for m in ("faithfulness", *BY_SEARCH)])
-    found = searches(samples, retrievals, candidates).join(wide.drop("faithfulness"), F.col("retrieval_sample_id") == F.col("of"), "left")
-    nested = found.groupBy(F.col("sample_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("pos", "retrieval_sample_id", "retrieval_id", "query", "candidates", *BY_SEARCH))).alias("searches"))
-    out = samples.select("sample_id").join(wide.select("of", "faithfulness"), F.col("sample_id").cast("string") == F.col("of"), "left").join(nested, F.col("sample_id") == F.col("s"), "left")
+    def of(*metrics: str) -> DataFrame:
+        best = [F.max(F.when(F.col("metric_name") == m, F.struct("status", "value"))).alias(m) for m in metrics]
+        return results.filter(F.col("metric_name").isin(*metrics)).groupBy(F.col("sample_id").cast("string").alias("of")).agg(*best)
+
+    # Results meet the searches before these have their candidates, whose lists are moved but once.
+    asks = asked(samples).withColumn("retrieval_sample_id", search_sample(F.col("sample_id"), F.col("retrieval_id")))
+    asks = asks.join(of(*BY_SEARCH), F.col("retrieval_sample_id") == F.col("of"), "left").drop("of").withColumnRenamed("sample_id", "s")
+    nested = gathered(brought(asks, retrievals, candidates), "s", F.struct("pos", "retrieval_sample_id", "retrieval_id", "query", "candidates", *BY_SEARCH), "searches")
+    out = samples.select("sample_id").join(of("faithfulness"), F.col("sample_id").cast("string") == F.col("of"), "left").join(nested, F.col("sample_id") == F.col("s"), "left")
     value, status = F.col("faithfulness.value"), F.col("faithfulness.status")
     empty = F.from_json(F.lit("[]"), nested.schema["searches"].dataType)
     return out.select("sample_id", value.alias("faithfulness"), status.alias("faithfulness_status"), non_support(value, status).alias("non_support"), F.coalesce("searches", empty).alias("searches"))

@@ -102,6 +102,15 @@ def test_hashes(spark):
     a, b = one(spark, hashing.canonical_json(F.col("s")), s='{"b": 1.0, "a": "é"}'), one(spark, hashing.canonical_json(F.col("s")), s="{bad")
     assert (a, b) == ('{"a":"é","b":1.0}', None)
     assert one(spark, hashing.stable_id("x", F.col("s")), s="v").startswith("x_")
+
+
+def test_texts_are_canonical_without_python(spark):
+    texts = [*map(chr, range(0x300)), "\u2028", "😀", "", None, "\\u001F", "\\\x1f", "\x1f\\u000B\"", "\x01\\", "\\\\\x0b"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in ("\\", "\x1e", "u001F")], "a string, b string").select(F.array("a", "b").alias("x"))
+    both = pairs.select(hashing.canonical_texts(F.col("x")).alias("own"), hashing.canonical_json(F.to_json("x")).alias("python"))
+    assert both.filter("not (own <=> python)").collect() == []
+    plan = pairs.select(hashing.stable_id("x", F.col("x")[0], F.col("x")[1]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
     assert one(spark, hashing.fingerprint(F.array(F.lit("b"), F.lit("a"))), s="") == one(spark, hashing.fingerprint(F.array(F.lit("a"), F.lit("b"))), s="")
 
 

@@ -31,3 +31,14 @@ def test_inputs_and_diagnostics(spark):
     assert (rows["b"].faithfulness, rows["b"].searches) == (None, [])
     empty = tables(spark, [])
     assert inputs.metric_inputs(*empty).count() == 0 and inputs.diagnostics(empty[0], empty[2], empty[3], results).count() == 0
+
+
+def test_lists_of_candidates_are_moved_once(spark):
+    t = tables(spark, [("a", "ia", "pending", ALL, "u", "resp", "ref", None, None, ["c1"], ["r1", "r1"])])
+    results = spark.createDataFrame([("a", "faithfulness", "completed", 0.75)], "sample_id string, metric_name string, status string, value double")
+    got = inputs.diagnostics(t[0], t[2], t[3], results)
+    assert [[c.context_id for c in x.candidates] for x in got.first().searches] == [["y", "x"], ["y", "x"]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the candidates, once for the searches of a sample; no join has the lists between them but that which brings them.
+    after = plan[: plan.index("collect_list(struct(rank")]
+    assert plan.count("collect_list(") == 2 and "Python" not in plan and "context_recall" not in after[after.index("Join Inner") :].split("Aggregate")[-1]
