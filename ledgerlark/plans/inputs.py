@@ -68,27 +68,31 @@ def metric_inputs(samples: DataFrame, contexts: DataFrame, retrievals: DataFrame
     """
     s = samples.filter("evaluation_status = 'pending'")
     none = F.array().cast("array<string>")
-    metric = s.withColumn("metric_name", F.explode("supported")).withColumns({c: _texts(c) for c in ("reference_ids", "evidence_ids", "context_ids")}).withColumn("origin_id", F.col("invocation_id"))
-    plain = metric.filter(F.col("metric_name").isin(*PLAIN)).withColumns({"context_kind": F.lit("none"), "context_ids": none, "contexts": none}).select(OUT)
+    name = F.col("metric_name")
 
-    faith = metric.filter("metric_name = 'faithfulness'").withColumns({"reference": F.lit(None).cast("string"), "reference_ids": none})
-    given = faith.select(F.col("sample_id").alias("s"), F.posexplode("context_ids").alias("pos", "id")).join(contexts.select(F.col("context_id").cast("string").alias("id"), F.col("text").alias("text")), "id")
-    given = given.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "text"))).alias("given"))
-    faith = faith.join(given, F.col("sample_id") == F.col("s"), "left")
-    has = F.size("context_ids") > 0
+    # Given texts meet their sample before its metrics part, and only those of samples that are judged by them.
+    faithful = F.array_contains("supported", "faithfulness")
+    own = s.select("sample_id", "invocation_id", "supported", "user_input", "response", "reference", *[_texts(c).alias(c) for c in ("reference_ids", "evidence_ids", "context_ids")])
+    given = own.filter(faithful).select(F.col("sample_id").alias("s"), F.posexplode("context_ids").alias("pos", "id")).join(contexts.select(F.col("context_id").cast("string").alias("id"), F.col("text").alias("text")), "id")
     got = F.coalesce("given", F.array().cast("array<struct<pos: int, id: string, text: string>>"))
-    faith = faith.withColumn("contexts", F.when(has, F.transform(got, lambda x: x["text"])).otherwise(F.array("user_input")))
-    faith = faith.withColumn("context_kind", F.when(has, "delivered").otherwise("received_input"))
-    faith = faith.withColumn("context_ids", F.when(has, F.transform(got, lambda x: x["id"])).otherwise(F.array(F.concat(F.lit("received_"), "invocation_id")))).select(OUT)
-
-    judged = metric.filter(F.col("metric_name").isin(*BY_SEARCH)).select("sample_id", "metric_name", "response", "reference", "reference_ids")
-    found = searches(s, retrievals, candidates)
+    has = F.size("context_ids") > 0
+    metric = own.join(gathered(given, "s", F.struct("pos", "id", "text"), "given"), F.col("sample_id") == F.col("s"), "left")
+    metric = metric.withColumn("metric_name", F.explode("supported")).filter(name.isin(*PLAIN, "faithfulness"))
+    faith = name == "faithfulness"
+    metric = metric.withColumn("context_kind", F.when(~faith, "none").when(has, "delivered").otherwise("received_input"))
+    metric = metric.withColumn("contexts", F.when(~faith, none).when(has, F.transform(got, lambda x: x["text"])).otherwise(F.array("user_input")))
+    metric = metric.withColumn("context_ids", F.when(~faith, none).when(has, F.transform(got, lambda x: x["id"])).otherwise(F.array(F.concat(F.lit("received_"), "invocation_id"))))
+    metric = metric.withColumns({"reference": F.when(~faith, F.col("reference")), "reference_ids": F.when(faith, none).otherwise(F.col("reference_ids")), "origin_id": F.col("invocation_id")}).select(OUT)
+
+    # What a judge of searches reads of the sample goes with each search, so that no list of candidates is moved to it.
+    judges = F.filter("supported", lambda m: m.isin(*BY_SEARCH))
+    asks = asked(s.withColumn("judges", judges).filter(F.size("judges") > 0), "judges", "response", "reference", _texts("reference_ids").alias("reference_ids"))
     listed_of = lambda field: F.coalesce(F.transform("candidates", lambda x: x[field]), none)
-    by_search = judged.join(found, "sample_id").select(
-        F.col("retrieval_sample_id").alias("sample_id"), "metric_name", F.col("query").alias("user_input"), "response", "reference", "reference_ids", listed_of("evidence_id").alias("evidence_ids"),
+    found = brought(asks, retrievals, candidates).withColumn("metric_name", F.explode("judges")).select(
+        search_sample(F.col("sample_id"), F.col("retrieval_id")).alias("sample_id"), "metric_name", F.col("query").alias("user_input"), "response", "reference", "reference_ids", listed_of("evidence_id").alias("evidence_ids"),
         F.col("retrieval_id").alias("origin_id"), F.lit("retrieved").alias("context_kind"), listed_of("context_id").alias("context_ids"), listed_of("text").alias("contexts"),
     )
-    return plain.unionByName(faith).unionByName(by_search)
+    return metric.unionByName(found)
 
 
 def diagnostics(samples: DataFrame, retrievals: DataFrame, candidates: DataFrame, results: DataFrame) -> DataFrame:

@@ -42,3 +42,16 @@ def test_lists_of_candidates_are_moved_once(spark):
     # Once for the candidates, once for the searches of a sample; no join has the lists between them but that which brings them.
     after = plan[: plan.index("collect_list(struct(rank")]
     assert plan.count("collect_list(") == 2 and "Python" not in plan and "context_recall" not in after[after.index("Join Inner") :].split("Aggregate")[-1]
+
+
+def test_judged_searches_bring_their_sample_along(spark):
+    both = ["context_recall", "faithfulness", "context_precision"]
+    rows = [("a", "ia", "pending", both, "u", "resp", "ref", ["f"], ["e1"], ["c1"], ["r1"]), ("b", "ib", "pending", ["factual_recall"], "u", "resp", "ref", None, None, ["c1"], ["r1"]), ("c", "ic", "pending", None, "u", None, None, None, None, None, ["r1"])]
+    t = tables(spark, rows)
+    got = inputs.metric_inputs(*t)
+    assert sorted((r.metric_name, r.origin_id, r.reference, r.reference_ids, r.evidence_ids, r.contexts) for r in got.collect()) == [
+        ("context_precision", "r1", "ref", ["f"], ["e", "e"], ["ty", "tx"]), ("context_recall", "r1", "ref", ["f"], ["e", "e"], ["ty", "tx"]),
+        ("factual_recall", "ib", "ref", [], [], []), ("faithfulness", "ia", None, [], ["e1"], ["one"]),
+    ]
+    # Texts to ids, those to samples, lists to searches, searches to those asked: no list of candidates is joined again.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4
