@@ -50,6 +50,42 @@ def test_spans_by_time_across_restarts(spark, tmp_path):
     assert sorted(done + left, key=str) == [("a", 1, 5, 1, "succeeded"), ("a", 15, None, 0, "failed"), ("b", 20, 61, 1, "succeeded"), ("c", 62, None, 0, "failed")]
 
 
+def test_a_key_is_read_and_written_once_a_call():
+    """Each call of the state is a message to the JVM: with many keys they are what a stream takes its time for."""
+
+    class Store:
+        def __init__(self):
+            self.value, self.timers, self.calls = None, set(), []
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                if name in ("get", "exists"):
+                    return self.value if name == "get" else self.value is not None
+                if name in ("update", "clear"):
+                    self.value = args[0] if args else None
+                elif name == "registerTimer":
+                    self.timers.add(args[0])
+                elif name == "deleteTimer":
+                    self.timers.discard(args[0])
+                return self
+
+            return call
+
+    store, pairing = Store(), spans.Pairing(*NAMES)
+    pairing.init(store)
+
+    def advance(events, mark):
+        store.calls.clear()
+        rows = [(r.status, r.retries) for r in pairing._advance(("k",), events, mark)]
+        return rows, sorted(store.calls), store.timers
+
+    assert advance([(5_000_500, 2, "retry"), (1_000_000, 1, "start")], 0) == ([], ["get", "registerTimer", "update"], {5001})
+    assert advance([(4_000_000, 3, "retry")], 1000) == ([], ["get", "update"], {5001})
+    assert advance([(9_000_000, 4, "end")], 2000) == ([], ["deleteTimer", "get", "registerTimer", "update"], {9000})
+    assert advance([], 9000) == ([("succeeded", 2)], ["clear", "deleteTimer", "get"], set())
+
+
 @pytest.mark.parametrize("where", ["before the rename", "before the manifest"])
 def test_a_killed_batch_is_published_once(spark, tmp_path, monkeypatch, where):
     folder, schema = f"file://{tmp_path}", "k string, n long"
