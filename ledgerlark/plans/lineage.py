@@ -38,21 +38,22 @@ def connect(samples: DataFrame, claims: DataFrame, invocations: DataFrame, conte
     relation and their samples are; candidates of several links are folded in the order of the
     upstream claims (``review.lineage_class``).  Without a link a claim is new if its sample
     has upstream samples and none of them failed.
+
+    All that concerns a claim's sample is met by the sample, upstream claims by sample and
+    relation; claims are folded where they have met, so none is moved for its id.
     """
     up = kept(upstream_samples(samples, invocations, contexts))
     state = up.groupBy("sample_id").agg((~F.bool_or("failed")).alias("has_upstream"))
     said = claims.select("claim_id", "sample_id", "position", "relation_key", normal_statement(F.col("text")).alias("said"))
     lines = samples.select(F.col("sample_id").alias("r_sample"), F.explode("reference_lines").alias("line")).filter(F.trim("line") != "")
-    lines = lines.select("r_sample", normal_statement(F.col("line")).alias("r_line"), F.lit(True).alias("r")).distinct()
-    said = said.join(lines, (F.col("sample_id") == F.col("r_sample")) & (F.col("said") == F.col("r_line")), "left")
-    said = kept(said.select("claim_id", "sample_id", "position", "relation_key", "said", F.coalesce("r", F.lit(False)).alias("is_reference")))
+    lines = lines.groupBy("r_sample").agg(F.collect_set(normal_statement(F.col("line"))).alias("r_lines"))
+    said = said.join(lines, F.col("sample_id") == F.col("r_sample"), "left").withColumn("is_reference", F.coalesce(F.array_contains("r_lines", F.col("said")), F.lit(False))).drop("r_sample", "r_lines")
+    said = kept(said.join(state, "sample_id", "left"))
     theirs = said.select(F.col("claim_id").alias("upstream_claim_id"), F.col("sample_id").alias("upstream_id"), F.col("relation_key").alias("u_key"), F.col("said").alias("upstream_text"), F.col("position").alias("place"))
-    found = kept(said.drop("position").join(up, "sample_id").join(theirs, "upstream_id").filter("relation_key = u_key"))
+    offered = theirs.join(up.select(F.col("sample_id").alias("for"), "upstream_id", "basis"), "upstream_id").drop("upstream_id").withColumn("linked", F.lit(True))
+    same = (F.col("sample_id") == F.col("for")) & (F.col("relation_key") == F.col("u_key"))
     repeated = F.col("said") == F.col("upstream_text")
     candidate = F.when(repeated, "inherited").when(F.col("is_reference"), "corrected").otherwise("unknown")
-    links = found.select("claim_id", "upstream_claim_id", F.when(repeated, "repeated").otherwise("changed").alias("relation"), "basis", candidate.alias("candidate"))
-    pairs = found.select("claim_id", F.col("place").alias("position"), F.col("said").alias("text"), "upstream_text", "is_reference", F.lit(True).alias("has_upstream"))
-    bare = said.join(found.select("claim_id").distinct(), "claim_id", "left_anti").join(state, "sample_id", "left")
-    none = F.lit(None)
-    bare = bare.select("claim_id", none.cast(claims.schema["position"].dataType).alias("position"), F.col("said").alias("text"), none.cast("string").alias("upstream_text"), "is_reference", F.coalesce("has_upstream", F.lit(False)).alias("has_upstream"))
-    return links, lineage_class(pairs.unionByName(bare))
+    links = said.drop("position").join(offered, same).select("claim_id", "upstream_claim_id", F.when(repeated, "repeated").otherwise("changed").alias("relation"), "basis", candidate.alias("candidate"))
+    pairs = said.drop("position").join(offered, same, "left").select("sample_id", "relation_key", "claim_id", F.col("place").alias("position"), F.col("said").alias("text"), "upstream_text", "is_reference", F.coalesce("linked", "has_upstream", F.lit(False)).alias("has_upstream"))
+    return links, lineage_class(pairs, "sample_id", "relation_key")

@@ -36,17 +36,18 @@ def final_opinions(reviews: DataFrame) -> DataFrame:
     return settled.unionByName(open_.select("target_id", state.alias("state"), F.when(state == "confirmed", F.col("label")).alias("label"), F.coalesce("n_opinions", F.lit(0)).cast("int").alias("n_opinions")))
 
 
-def lineage_class(pairs: DataFrame) -> DataFrame:
+def lineage_class(pairs: DataFrame, *within: str) -> DataFrame:
     """inherited / corrected / unknown / new of each downstream claim from its ordered upstream candidates.
 
     Columns: claim_id, position, text, upstream_text (null without a candidate),
     is_reference, has_upstream.  Candidates are folded in order, starting at
-    unknown: unknown takes the next, an equal one keeps it, another resets it.
+    unknown: unknown takes the next, an equal one keeps it, another resets it.  ``within``
+    names columns that a claim has one value of and that ``pairs`` is already dealt by.
     """
     kind = F.when(F.col("upstream_text") == F.col("text"), "inherited").when(F.col("is_reference"), "corrected").otherwise("unknown")
     c = pairs.withColumn("kind", kind)
     listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("upstream_text").isNotNull(), F.struct("position", "kind")))), lambda x: x["kind"])
-    per = c.groupBy("claim_id").agg(listed.alias("kinds"), F.bool_or("has_upstream").alias("has_upstream"))
+    per = c.groupBy(*within, "claim_id").agg(listed.alias("kinds"), F.bool_or("has_upstream").alias("has_upstream"))
     fold = F.aggregate("kinds", F.lit("unknown"), lambda a, k: F.when((a == "unknown") | (a == k), k).otherwise("unknown"))
     return per.select("claim_id", F.when(F.size("kinds") > 0, fold).when(F.col("has_upstream"), "new").otherwise("unknown").alias("lineage"))
 

@@ -110,6 +110,9 @@ def test_claims_are_connected_within_what_was_delivered(spark):
         ("f", "c", "repeated", "reevaluation", "inherited"),
         ("h", "e", "changed", "reevaluation", "unknown"),
     }
+    # Linked claims meet once, by sample and relation, and are folded there: no join by claim.
+    plan = origins._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "LeftAnti" not in plan and "Union" not in plan
     # Nothing upstream: unknown; a failed upstream sample: unknown; else new.
     assert dict(map(tuple, origins.collect())) == {"a": "unknown", "b": "unknown", "c": "corrected", "d": "inherited", "e": "new", "f": "inherited", "g": "unknown", "h": "unknown", "i": "unknown"}
 
