@@ -8,13 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.functions.text import REFERENCE_HEADINGS, section_of
 from ledgerlark.operators.ordered import top_k_per
-from ledgerlark.session import cut
+from ledgerlark.session import cut, kept
 from ledgerlark.sources.files import exists
 
 
@@ -68,12 +68,11 @@ def chunks(docs: DataFrame, text: str, size: int = 1200, overlap: int = 150, sep
 
 def terms(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, term, tf): lower-cased words of two characters or more, and their bigrams."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     less = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
     grams = lambda w: F.concat(w, F.zip_with(F.slice(w, 1, less(w)), F.slice(w, 2, less(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
     # Texts are dealt by document, so that their many terms need not be.
     # Inside a lambda the words are found once, however often they are named.
-    both = docs.select(ident, text).repartition(ident).select(ident, F.explode(F.flatten(F.transform(F.array(words), grams))).alias("term"))
+    both = docs.select(ident, text).repartition(ident).select(ident, F.explode(F.flatten(F.transform(F.array(_words(text)), grams))).alias("term"))
     return both.groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -87,25 +86,241 @@ def tfidf(docs: DataFrame, ident: str, text: str, features: int = 50_000) -> Dat
     return weighted.join(norm, ident).select(ident, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-#: Queries that meet all rows in one pass; a block's matrix is what is broadcast.
-BLOCK = 2048
-#: Similarities that a task holds at once.
-CELLS = 1 << 20
+#: Counters that bound the totals of the terms that fall into them; they only spare terms that cannot be among the features.
+SLOTS = 1 << 20
+#: Terms that a task counts at once, and how many of the most frequent of them it tells.
+COUNTED, TOLD = 1 << 22, 1 << 16
+#: Bytes that Python gets at once, and words that it takes of them.
+BATCH_BYTES, WORDS = 16 << 20, 1 << 19
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
+def _bigram(a: Column, b: Column) -> Column:
+    """The hash of two words that follow each other, from theirs; :func:`_terms_of` makes the same."""
+    return F.shiftleft(a, 1).bitwiseOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b)
+
+
+def _pieces(batches: Iterator) -> Iterator:
+    """Parts of the batches whose words and their order fit a core's cache, by their average; a longer text is held alone."""
+    for batch in batches:
+        step = max(1, batch.num_rows * WORDS // max(1, len(batch.column("texts").flatten().flatten())))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each value of an ordered array begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+
+
+def _terms_of(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term) of each word and each bigram of a batch, as hashes; no bigram crosses from a text to the next one of the same id."""
+    texts = batch.column("texts")
+    each = texts.flatten()
+    words = np.asarray(each.flatten())
+    text = np.repeat(np.arange(len(each), dtype=np.int32), np.asarray(each.value_lengths()))
+    row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.asarray(texts.value_lengths()))[text]
+    first = words[:-1].view(np.uint64)
+    follows = text[1:] == text[:-1]
+    grams = (((first << np.uint64(1)) | (first >> np.uint64(63))).view(np.int64) ^ words[1:])[follows]
+    return np.concatenate([row, row[1:][follows]]), np.concatenate([words, grams])
+
+
+def _hashed_words(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, int]:
+    """((ident, texts), number of ids): the hashes of the words of each id's texts, kept as a table."""
+    conf, size = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(size, None) is None or not 0 < int(conf.get(size)) <= BATCH_BYTES:
+        conf.set(size, str(BATCH_BYTES))
+    rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(ident)).first()
+    # One file may hold all texts: they are dealt before they are read word by word.
+    own = F.coalesce(F.transform(_words(text), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>")).alias("words")
+    each = docs.select(ident, text).repartition(ident).select(ident, own)
+    each = each.select(ident, F.array("words").alias("texts")) if rows == ids else each.groupBy(ident).agg(F.collect_list("words").alias("texts"))
+    return kept(each, "zstd"), ids
+
+
+def _bounds(words: DataFrame, features: int) -> tuple[np.ndarray, int]:
+    """(slots, least): the sum of the totals of the terms of each slot, and a total that ``features`` terms reach at least."""
+    pieces = 64
+
+    def run(batches):
+        slots, held, counted = np.zeros(SLOTS, np.int64), [], 0
+
+        def told():
+            term, total = np.unique(np.concatenate(held), return_counts=True)
+            if len(term) > TOLD:
+                most = np.argpartition(-total, TOLD)[:TOLD]
+                term, total = term[most], total[most]
+            nothing = [pa.nulls(len(term), t) for t in (pa.int32(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(term), pa.array(total.astype(np.int64)), *nothing], names=["term", "total", "piece", "slots"])
+
+        def sums():
+            part = [x.astype(np.int32).tobytes() for x in np.split(slots, pieces)]
+            nothing = [pa.nulls(pieces, pa.int64()) for _ in range(2)]
+            return pa.RecordBatch.from_arrays([*nothing, pa.array(range(pieces), pa.int32()), pa.array(part, pa.binary())], names=["term", "total", "piece", "slots"])
+
+        for batch in _pieces(batches):
+            _, term = _terms_of(batch)
+            if slots.max() + len(term) >= 1 << 31:
+                yield sums()
+                slots[:] = 0
+            slots += np.bincount(term & (SLOTS - 1), minlength=SLOTS)
+            held, counted = [*held, term], counted + len(term)
+            if counted >= COUNTED:
+                yield told()
+                held, counted = [], 0
+        if counted:
+            yield told()
+        yield sums()
+
+    def added(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, x in zip(batch.column("piece").to_pylist(), batch.column("slots")):
+                out[piece] = out.get(piece, 0) + np.frombuffer(x.as_buffer(), np.int32).astype(np.int64)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["piece", "slots"])
+
+    found = kept(words.mapInArrow(run, "term long, total long, piece int, slots binary"), "zstd")
+    slots = np.zeros((pieces, SLOTS // pieces), np.int64)
+    for r in found.filter("piece is not null").select("piece", "slots").repartition(16, "piece").mapInArrow(added, "piece int, slots binary").collect():
+        slots[r.piece] += np.frombuffer(r.slots, np.int64)
+    # What tasks have told of a term is a part of its total.
+    most = found.filter("term is not null").groupBy("term").agg(F.sum("total").alias("total")).orderBy(F.desc("total")).limit(features)
+    n, least = most.agg(F.count(F.lit(1)), F.min("total")).first()
+    return slots.reshape(-1), least if n == features else 1
+
+
+def _named(docs: DataFrame, ident: str, text: str, tied: DataFrame, some: int) -> DataFrame:
+    """(term, name) of tied terms (term, ident), by the texts of the one id that each was seen in; ``some``: how many they are."""
+    ids = tied.select(F.col(ident).alias("__id")).distinct()
+    docs = docs.select(ident, text).join(F.broadcast(ids) if some <= 100_000 else ids, F.col(ident).eqNullSafe(F.col("__id")), "left_semi")
+    one = lambda w: F.struct(w.alias("name"), F.xxhash64(w).alias("term"))
+    two = lambda a, b: F.struct(F.concat(a["name"], F.lit(" "), b["name"]).alias("name"), _bigram(a["term"], b["term"]).alias("term"))
+    less = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    both = lambda w: F.concat(w, F.zip_with(F.slice(w, 1, less(w)), F.slice(w, 2, less(w)), two))
+    each = docs.select(F.explode(F.flatten(F.transform(F.array(F.transform(_words(text), one)), both))).alias("t")).select("t.term", "t.name")
+    return each.join(tied.select("term"), "term", "left_semi").distinct()
+
+
+def _chosen(docs: DataFrame, ident: str, text: str, words: DataFrame, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(term, df) of the ``features`` most frequent terms, of equal totals those first by name; the most widespread first."""
+    slots, least = _bounds(words, features)
+    able = np.packbits(slots >= least)
+
+    def run(batches):
+        may = np.unpackbits(able).astype(bool)
+        for batch in _pieces(batches):
+            row, term = _terms_of(batch)
+            some = may[term & (SLOTS - 1)]
+            known, at = np.unique(term[some], return_inverse=True)
+            # The pairs of a term and a row; np.unique would hash them, which takes much longer.
+            pair = np.sort(at * np.int64(batch.num_rows) + row[some])
+            of, row = np.divmod(pair[_runs(pair)], batch.num_rows)
+            first = np.searchsorted(of, np.arange(len(known)))
+            columns = [pa.array(known), pa.array(np.bincount(at, minlength=len(known))), pa.array(np.bincount(of, minlength=len(known))), batch.column(ident).take(pa.array(row[first]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "total", "df", ident])
+
+    of = words.schema[ident].dataType.simpleString()
+    counts = words.mapInArrow(run, f"term long, total long, df long, `{ident}` {of}").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"), F.min(ident).alias(ident))
+    counts = kept(counts.filter(F.col("total") >= least))
+    last = counts.select("total").orderBy(F.desc("total")).limit(features).agg(F.min("total")).first()[0]
+    if last is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sure, tied = counts.filter(F.col("total") > last), counts.filter(F.col("total") == last)
+    free, some = features - sure.count(), tied.count()
+    if some > free:
+        names = _named(docs, ident, text, tied, some).orderBy("name").limit(free)
+        tied = tied.join(F.broadcast(names.select("term")), "term", "left_semi")
+    found = sure.select("term", "df").unionByName(tied.select("term", "df")).toArrow()
+    term, df = found.column("term").to_numpy(), found.column("df").to_numpy()
+    order = np.lexsort((term, -df))
+    return term[order], df[order]
+
+
+def places(terms: np.ndarray, bits: int = 20):
+    """A function that gives the place of each value among the distinct ``terms``, or -1."""
+    mask = (1 << bits) - 1
+    table = np.full(1 << bits, -1, np.int32)
+    table[terms & mask] = np.arange(len(terms))
+    lost = np.flatnonzero(table[terms & mask] != np.arange(len(terms)))
+    lost = lost[np.argsort(terms[lost])]
+    names = terms[lost]
+
+    def find(t: np.ndarray) -> np.ndarray:
+        if not len(terms):
+            return np.full(len(t), -1, np.int32)
+        at = table[t & mask]
+        out = np.where((at >= 0) & (terms[at] == t), at, -1)
+        if len(lost):
+            miss = np.flatnonzero(out < 0)
+            k = np.minimum(np.searchsorted(names, t[miss]), len(lost) - 1)
+            here = names[k] == t[miss]
+            out[miss[here]] = lost[k[here]]
+        return out
+
+    return find
+
+
+def term_counts(docs: DataFrame, ident: str, text: str, features: int = 50_000) -> tuple[DataFrame, np.ndarray]:
+    """((ident, terms, counts), idf): the terms of :func:`tfidf` by their place, the most widespread first, and the smoothed IDF of each.
+
+    Terms are told apart by 64-bit hashes of their words, and only those that may be among
+    the features are counted one by one; a table keeps one row a document.
+    """
+    words, n = _hashed_words(docs, ident, text)
+    term, df = _chosen(docs, ident, text, words, features)
+
+    def run(batches):
+        find = places(term)
+        for batch in _pieces(batches):
+            row, t = _terms_of(batch)
+            at = find(t)
+            pair = np.sort(row[at >= 0] * np.int64(max(1, len(term))) + at[at >= 0])
+            start = _runs(pair)
+            row, at = np.divmod(pair[start], max(1, len(term)))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (at, np.diff(np.append(start, len(pair))))]
+            found = pa.RecordBatch.from_arrays([batch.column(ident), *lists], names=[ident, "terms", "counts"])
+            yield found.filter(pa.array(np.diff(ends) > 0))
+
+    of = words.schema[ident].dataType.simpleString()
+    found = words.filter(F.col(ident).isNotNull()).mapInArrow(run, f"`{ident}` {of}, terms array<int>, counts array<int>")
+    return kept(found, "zstd"), np.log((1.0 + n) / (1.0 + df)) + 1
+
+
+#: Queries of a block, whose matrix meets rows at once; queries and terms of a pass over all rows, which are broadcast.
+BLOCK, QUERIES, TERMS = 2048, 1 << 14, 6 << 20
+#: Rows that meet a block at once, and rows that a task gathers for it.
+ROWS, GATHERED = 2048, 8192
+#: Groups of like queries; it makes their blocks share few terms with the rows of other groups.
+GROUPS, HEADS = 4, 512
 
 
 class Best:
-    """The k best rows of each query so far, by similarity (rounded to nine digits) and id; a row is not its own neighbour."""
+    """The k best rows of each query so far, by similarity (rounded to nine digits) and id; a row is not its own neighbour, nor one whose similarity is not above the floor."""
 
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
-        self.least = np.full(len(queries), -np.inf)
+    def __init__(self, queries: np.ndarray, k: int, floor: float = -np.inf):
+        self.queries, self.k, self.floor = queries, k, floor
+        self.least = np.full(len(queries), floor)
         self.found: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
-    def add(self, sims: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, sims: np.ndarray, ids: np.ndarray, exact=None, off: float = 0.0) -> None:
+        """``sims`` are right up to ``off`` (and zero if they are); ``exact`` gives those of (row, query)."""
         # Rows that cannot be among the best go by their similarity as it is; only the others are rounded.
-        i, j = np.nonzero(sims >= (self.least - 2e-9)[None, :])
-        s = sims[i, j]
-        some = (ids[i] != self.queries[j]) & (s > -np.inf)
+        off = off + 2e-9
+        least = self._from(self.least - off, sims)
+        if np.count_nonzero(sims >= least) > 4 * self.k * len(least) and len(sims) > self.k + 1:
+            # One of the rows may be the query itself.
+            least = np.fmax(least, self._from(np.partition(sims, -self.k - 1, axis=0)[-self.k - 1] - 2 * off, sims))
+        i, j = np.nonzero(sims >= least)
+        own = ids[i] == self.queries[j]
+        i, j = i[~own], j[~own]
+        s = sims[i, j] if exact is None else exact(i, j)
+        some = s > self.floor
         if not some.any():
             return
         i, j, s = i[some], j[some], np.round(s[some], 9)
@@ -118,35 +333,54 @@ class Best:
         self.least[q[last]] = s[last]
         self.found = q[held], r[held], s[held]
 
+    def _from(self, least: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """The bounds in the type of ``sims``, above the floor."""
+        return np.maximum(least, np.nextafter(sims.dtype.type(self.floor), sims.dtype.type(np.inf))).astype(sims.dtype)
+
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, similarity)."""
         q, r, s = self.found
         return self.queries[q], r, s
 
 
-def _blocks(queries: DataFrame, ident: str, block: int) -> Iterator[list]:
-    n = -(-queries.count() // block)
+def _passes(queries: DataFrame, ident: str, n: int) -> Iterator[pa.Table]:
+    """The queries in ``n`` parts."""
     for b in range(n):
-        part = queries.filter(F.pmod(F.xxhash64(ident), F.lit(n)) == b)
-        yield part.orderBy(ident).collect()
+        yield queries.filter(F.pmod(F.xxhash64(ident), F.lit(n)) == b).orderBy(ident).toArrow()
+
 
+def _gathered(batches: Iterator) -> Iterator:
+    """Batches of more rows, so that a block's matrix is not made for a few."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+        if rows >= GATHERED or size >= 2 * BATCH_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows, size = [], 0, 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def _search(vectors: DataFrame, blocks: Iterator, ident: str, k: int, similar) -> DataFrame:
-    """Each block of queries goes over all rows; a task gives its k best of each query, then the k best of all."""
+
+def _search(vectors: DataFrame, passes: Iterator, ident: str, k: int, similar, floor: float = -np.inf) -> DataFrame:
+    """Each pass takes its blocks of queries over all rows; a task gives its k best of each query, then the k best of all.
+
+    A pass is the ids of each block and what ``similar`` needs of all blocks; of that and a batch, ``similar``
+    yields (ids of rows, number of a block, similarities, and what :meth:`Best.add` takes besides).
+    """
     spark, found = vectors.sparkSession, None
-    for ids, matrix in blocks:
-        held = spark.sparkContext.broadcast((ids, matrix))
+    for blocks, matrix in passes:
+        held = spark.sparkContext.broadcast((blocks, matrix))
 
         def run(batches, held=held):
-            ids, matrix = held.value
-            best, step = Best(ids, k), max(1, CELLS // len(ids))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    best.add(similar(part, matrix), np.asarray(part.column(ident)))
-            q, i, s = best.rows()
-            if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query", ident, "similarity"])
+            blocks, matrix = held.value
+            best, ready = [Best(ids, k, floor) for ids in blocks], similar(matrix)
+            for batch in _gathered(batches):
+                for ids, b, *sims in ready(batch):
+                    best[b].add(sims[0], ids, *sims[1:])
+            for each in best:
+                q, i, s = each.rows()
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query", ident, "similarity"])
 
         part = vectors.mapInArrow(run, f"query long, {ident} long, similarity double")
         found = part if found is None else found.unionByName(part)
@@ -155,92 +389,202 @@ def _search(vectors: DataFrame, blocks: Iterator, ident: str, k: int, similar) -
     return top_k_per(found, ["query"], [F.desc("similarity"), F.col(ident)], k)
 
 
-#: A term of more than this share of a block's queries is cheaper in the dense product.
-FREQUENT = 0.08
-#: Pairs of a row's and a query's weights that are laid out at once.
-PAIRS = 1 << 20
+#: A term of more than this share of a block's queries may be cheaper in the dense product; it is if this many of a row's and a query's meet.
+FREQUENT, MEET = 0.02, 0.003
+#: Pairs of a row's and a query's weights that are laid out at once: their sums stay in a core's cache.
+PAIRS = 1 << 17
 
 
-def query_matrix(terms: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """A block's queries by term: the terms, the place of each in the dense part (-1: none), the dense part, and the rest as (start, count, query, weight)."""
+def query_matrix(terms: list[np.ndarray], weights: list[np.ndarray], known: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """A block's queries by term: the terms (or those of all blocks), the start and count of each, those that may be frequent, and all (query, weight) by term; the queries' number last."""
     every = np.concatenate(terms)
-    query = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
-    known, at = np.unique(every, return_inverse=True)
+    query = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) for x in terms])
+    known = np.unique(every) if known is None else known
+    at = np.searchsorted(known, every)
     order = np.argsort(at, kind="stable")
-    at, query, weight = at[order], query[order], np.concatenate(weights)[order]
-    count = np.bincount(at, minlength=len(known))
-    frequent = count > FREQUENT * len(terms)
-    place = np.where(frequent, np.cumsum(frequent) - 1, -1)
-    dense = np.zeros((int(frequent.sum()), len(terms)))
-    here = frequent[at]
-    dense[place[at[here]], query[here]] = weight[here]
-    return known, place, dense, np.cumsum(count) - count, np.where(frequent, 0, count), query.astype(np.int32), weight
-
-
-def sparse_products(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, matrix: tuple[np.ndarray, ...]) -> np.ndarray:
-    """The sums of products of sparse rows (in order of row) with a :func:`query_matrix`: frequent terms by a dense product, pairs of the others one by one."""
-    known, place, dense, start, count, query, qweight = matrix
-    n = dense.shape[1]
-    at = np.minimum(np.searchsorted(known, term), len(known) - 1)
-    hit = known[at] == term
-    row, at, weight = row[hit], at[hit], weight[hit]
-    own = place[at] >= 0
-    some = np.zeros((rows, len(dense)))
-    some[row[own], place[at[own]]] = weight[own]
-    out = some @ dense
-    row, at, weight = row[~own], at[~own], weight[~own]
-    pairs = np.concatenate([[0], np.cumsum(count[at])])
-    i = 0
+    count = np.bincount(at, minlength=len(known)).astype(np.int32)
+    return known, (np.cumsum(count) - count).astype(np.int32), np.flatnonzero(count > FREQUENT * len(terms)), count, query[order], np.concatenate(weights)[order], len(terms)
+
+
+def _laid(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of runs of ``count`` from ``start`` on, one after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _products(row: np.ndarray, at: np.ndarray, weight: np.ndarray, rows: int, matrix: tuple, kind=np.float64) -> tuple:
+    """(sums, exact, off) of rows (in order of row) whose terms are places among the matrix's: terms frequent on both sides by a dense product of that kind, pairs of the others one by one."""
+    _, start, often, count, query, qweight, n = matrix
+    place = np.full(len(count), -1, np.int32)
+    dense = often[np.bincount(at, minlength=len(count))[often] * count[often].astype(float) > MEET * rows * n]
+    place[dense] = np.arange(len(dense))
+    some, own = place[at] >= 0, (count[at] > 0) & (place[at] < 0)
+    left, right = np.zeros((rows, len(dense))), np.zeros((n, len(dense)))
+    left[row[some], place[at[some]]] = weight[some]
+    to = _laid(start[dense], count[dense])
+    right[query[to], np.repeat(np.arange(len(dense)), count[dense])] = qweight[to]
+    out = left.astype(kind) @ right.astype(kind).T
+    row, at, weight = row[own], at[own], weight[own]
+    pairs = np.concatenate([[0], np.cumsum(count[at], dtype=np.int64)])
+    rest, i = np.zeros((rows, n)), 0
     while i < len(row):
         j = max(i + 1, int(np.searchsorted(pairs, pairs[i] + PAIRS, "right")) - 1)
-        each = np.repeat(np.arange(i, j), count[at[i:j]])
-        to = start[at[each]] + np.arange(len(each)) - (pairs[each] - pairs[i])
+        each = count[at[i:j]]
+        to = _laid(start[at[i:j]], each)
         base = row[i]
-        sums = np.bincount((row[each] - base) * n + query[to], weight[each] * qweight[to], minlength=(row[j - 1] - base + 1) * n)
-        out[base : row[j - 1] + 1] += sums.reshape(-1, n)
+        sums = np.bincount(np.repeat((row[i:j] - base) * n, each) + query[to], np.repeat(weight[i:j], each) * qweight[to], minlength=(row[j - 1] - base + 1) * n)
+        rest[base : row[j - 1] + 1] += sums.reshape(-1, n)
         i = j
+    out += rest
+
+    def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        step = max(1, (1 << 20) // max(1, len(dense)))
+        return np.concatenate([np.empty(0), *[np.einsum("ij,ij->i", left[i[a : a + step]], right[j[a : a + step]]) for a in range(0, len(i), step)]]) + rest[i, j]
+
+    # The error of a sum of products in that kind, by the lengths of both sides.
+    length = lambda m: np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0))
+    off = (len(dense) + 8) * np.finfo(kind).eps * (length(left) * length(right) + rest.max(initial=0))
+    return out, exact, off
+
+
+def sparse_products(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, matrix: tuple) -> np.ndarray:
+    """The sums of products of sparse rows (in order of row) with a :func:`query_matrix`."""
+    at = places(matrix[0])(term)
+    return _products(row[at >= 0], at[at >= 0], weight[at >= 0], rows, matrix)[0]
+
+
+def _heads(row: np.ndarray, place: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """The weights of the terms by which rows are told apart."""
+    out = np.zeros((rows, HEADS), np.float32)
+    out[row[place >= 0], place[place >= 0]] = weight[place >= 0]
     return out
 
 
-def sparse_top(weights: DataFrame, queries: DataFrame, ident: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(query, ident, similarity, rank) of sparse vectors (ident, term, weight) with a similarity above zero.
+def _centres(heads: np.ndarray, groups: int) -> np.ndarray:
+    """The middles of groups of like rows: the first and those least like the ones before, moved some times.  No result depends on them."""
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-9)
+    heads = unit(heads)
+    middle = heads[:1]
+    while len(middle) < groups:
+        middle = np.vstack([middle, heads[[np.argmin((heads @ middle.T).max(axis=1))]]])
+    for _ in range(8):
+        own = np.argmax(heads @ middle.T, axis=1)
+        middle = unit(np.vstack([heads[own == g].sum(axis=0) if (own == g).any() else middle[g] for g in range(groups)]))
+    return middle
+
+
+def _sparse_passes(queries: DataFrame, ident: str, weigh) -> Iterator:
+    """Passes of :func:`_search`: queries in blocks of like ones, with all that tells a row's group."""
+    count, size = queries.agg(F.count(F.lit(1)), F.sum(F.size("terms"))).first()
+    for part in _passes(queries, ident, max(-(-count // QUERIES), -(-(size or 0) // TERMS))):
+        part = part.combine_chunks().to_batches()
+        if not part or not part[0].num_rows:
+            continue
+        row, term, weight = weigh(part[0])
+        ids, n = np.asarray(part[0].column(ident)), part[0].num_rows
+        known, at = np.unique(term, return_inverse=True)
+        place = np.full(len(known), -1, np.int32)
+        most = np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")[:HEADS]
+        place[most] = np.arange(len(most))
+        heads = _heads(row, place[at], weight, n)
+        middle = _centres(heads[:: max(1, n // BLOCK)], max(1, min(GROUPS, n // 64)))
+        group = np.argmax(heads @ middle.T, axis=1)
+        ends = np.searchsorted(row, np.arange(n + 1))
+        blocks, matrices = [], []
+        for g in range(len(middle)):
+            own = np.flatnonzero(group == g)
+            for some in np.array_split(own, -(-len(own) // BLOCK)) if len(own) else []:
+                blocks.append(ids[some])
+                lists = [[x[ends[i] : ends[i + 1]] for i in some] for x in (term, weight)]
+                matrices.append(query_matrix(*lists, known)[1:])
+        yield blocks, (known, place, middle, matrices)
+
+
+def _sparse_search(vectors: DataFrame, queries: DataFrame, ident: str, k: int, weigh) -> DataFrame:
+    """(query, ident, similarity, rank) of sparse vectors, of which ``weigh`` gives (row, term, weight) of a batch, with a similarity above zero.
 
     A block's queries become a matrix over their own terms; terms that no query
-    of the block has cost nothing, rare ones only the pairs that share them.
+    of the block has cost nothing, rare ones only the pairs that share them.  Dense products
+    are made in single precision, and what may be among the best by them once more in double.
     """
-    rows = cut(weights.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights")))
-
-    def matrices():
-        of = queries.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
-        for part in _blocks(of, ident, block):
-            yield np.array([r[ident] for r in part]), query_matrix([np.array(r.terms, np.int64) for r in part], [np.array(r.weights) for r in part])
-
-    def similar(batch, matrix):
-        lists = batch.column("terms")
-        row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-        out = sparse_products(row, np.asarray(lists.flatten()), np.asarray(batch.column("weights").flatten()), batch.num_rows, matrix)
-        out[out <= 0] = -np.inf
-        return out
 
-    return _search(rows, matrices(), ident, k, similar)
+    def similar(matrix):
+        known, place, middle, matrices = matrix
+        find = places(known)
+        positive = all(x.min(initial=1) > 1e-15 for *_, x, _ in matrices)
+
+        def ready(batch):
+            row, term, weight = weigh(batch)
+            ids, at = np.asarray(batch.column(ident)), find(term)
+            row, at, weight = row[at >= 0], at[at >= 0], weight[at >= 0]
+            group = np.argmax(_heads(row, place[at], weight, len(ids)) @ middle.T, axis=1)
+            ends = np.searchsorted(row, np.arange(len(ids) + 1))
+            kind = np.float32 if positive and weight.min(initial=1) > 1e-15 else np.float64
+            for g in range(len(middle)):
+                own = np.flatnonzero(group == g)
+                for a in range(0, len(own), ROWS):
+                    some = own[a : a + ROWS]
+                    size = ends[some + 1] - ends[some]
+                    to = _laid(ends[some], size)
+                    part = np.repeat(np.arange(len(some)), size), at[to], weight[to]
+                    for b, block in enumerate(matrices):
+                        yield ids[some], b, *_products(*part, len(some), (known, *block), kind)
+
+        return ready
+
+    return _search(vectors, _sparse_passes(queries, ident, weigh), ident, k, similar, 0.0)
+
+
+def _flat(batch, name: str) -> np.ndarray:
+    return np.asarray(batch.column(name).flatten())
+
 
+def sparse_top(weights: DataFrame, queries: DataFrame, ident: str, k: int) -> DataFrame:
+    """(query, ident, similarity, rank) of sparse vectors (ident, term, weight) with a similarity above zero."""
 
-def dense_top(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    def weigh(batch):
+        return np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("terms").value_lengths())), _flat(batch, "terms"), _flat(batch, "weights")
+
+    rows, of = (x.groupBy(ident).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights")) for x in (weights, queries))
+    return _sparse_search(cut(rows), of, ident, k, weigh)
+
+
+def tfidf_top(docs: DataFrame, ident: str, text: str, queries: Column, k: int) -> DataFrame:
+    """(query, ident, similarity, rank): the texts most like each of the texts that ``queries`` marks, by :func:`tfidf`."""
+    vectors, idf = term_counts(docs, ident, text)
+
+    def weigh(batch):
+        row, term = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("terms").value_lengths())), _flat(batch, "terms")
+        weight = _flat(batch, "counts") * idf[term]
+        return row, term, weight / np.sqrt(np.bincount(row, weight * weight, minlength=batch.num_rows))[row]
+
+    return _sparse_search(vectors, vectors.filter(queries), ident, k, weigh)
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
     """(query, ident, similarity, rank) by cosine, of a stated query set against all rows."""
 
-    def unit(m: np.ndarray) -> np.ndarray:
+    def unit(batch):
+        m = _flat(batch, vector).astype(np.float64).reshape(batch.num_rows, -1)
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-    def matrices():
-        for part in _blocks(queries.select(ident, vector), ident, block):
-            yield np.array([r[ident] for r in part]), unit(np.array([r[vector] for r in part], np.float64)).T
+    def passes():
+        of = queries.select(ident, vector)
+        for part in _passes(of, ident, -(-of.count() // QUERIES)):
+            blocks = [x for x in part.combine_chunks().to_batches(BLOCK) if x.num_rows]
+            if blocks:
+                yield [np.asarray(x.column(ident)) for x in blocks], [unit(x).T for x in blocks]
+
+    def similar(matrices):
+        def ready(batch):
+            own, ids = unit(batch), np.asarray(batch.column(ident))
+            for a in range(0, len(ids), ROWS):
+                for b, matrix in enumerate(matrices):
+                    yield ids[a : a + ROWS], b, own[a : a + ROWS] @ matrix
 
-    def similar(batch, matrix):
-        own = np.asarray(batch.column(vector).flatten()).astype(np.float64).reshape(batch.num_rows, -1)
-        return unit(own) @ matrix
+        return ready
 
-    return _search(vectors.select(ident, vector), matrices(), ident, k, similar)
+    return _search(vectors.select(ident, vector), passes(), ident, k, similar)
 
 
 def fuse(lists: list[DataFrame], ident: str, k: int, constant: int = 60) -> DataFrame:
