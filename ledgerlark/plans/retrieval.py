@@ -295,7 +295,7 @@ def term_counts(docs: DataFrame, ident: str, text: str, features: int = 50_000)
 #: Queries of a block, whose matrix meets rows at once; queries and terms of a pass over all rows, which are broadcast.
 BLOCK, QUERIES, TERMS = 2048, 1 << 14, 6 << 20
 #: Rows that meet a block at once, and rows that a task gathers for it.
-ROWS, GATHERED = 2048, 8192
+ROWS, GATHERED = 1024, 8192
 #: Groups of like queries; it makes their blocks share few terms with the rows of other groups.
 GROUPS, HEADS = 4, 512
 
@@ -418,11 +418,15 @@ def _products(row: np.ndarray, at: np.ndarray, weight: np.ndarray, rows: int, ma
     dense = often[np.bincount(at, minlength=len(count))[often] * count[often].astype(float) > MEET * rows * n]
     place[dense] = np.arange(len(dense))
     some, own = place[at] >= 0, (count[at] > 0) & (place[at] < 0)
-    left, right = np.zeros((rows, len(dense))), np.zeros((n, len(dense)))
-    left[row[some], place[at[some]]] = weight[some]
     to = _laid(start[dense], count[dense])
-    right[query[to], np.repeat(np.arange(len(dense)), count[dense])] = qweight[to]
-    out = left.astype(kind) @ right.astype(kind).T
+    sides = (row[some], place[at[some]], weight[some], rows), (query[to], np.repeat(np.arange(len(dense), dtype=np.int32), count[dense]), qweight[to], n)
+
+    def laid(line, term, x, lines, kind):
+        side = np.zeros((lines, len(dense)), kind)
+        side[line, term] = x
+        return side
+
+    out = laid(*sides[0], kind) @ laid(*sides[1], kind).T
     row, at, weight = row[own], at[own], weight[own]
     pairs = np.concatenate([[0], np.cumsum(count[at], dtype=np.int64)])
     rest, i = np.zeros((rows, n)), 0
@@ -436,13 +440,23 @@ def _products(row: np.ndarray, at: np.ndarray, weight: np.ndarray, rows: int, ma
         i = j
     out += rest
 
+    def lines(side, some):
+        # The wanted lines of a side in double precision, and where each is among them.
+        line, term, x, n = side
+        wanted = np.zeros(n, bool)
+        wanted[some] = True
+        at, own = np.cumsum(wanted) - 1, wanted[line]
+        return laid(at[line[own]], term[own], x[own], int(wanted.sum()), np.float64), at[some]
+
     def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        step = max(1, (1 << 20) // max(1, len(dense)))
-        return np.concatenate([np.empty(0), *[np.einsum("ij,ij->i", left[i[a : a + step]], right[j[a : a + step]]) for a in range(0, len(i), step)]]) + rest[i, j]
+        (left, a), (right, b) = lines(sides[0], i), lines(sides[1], j)
+        step = max(1, (1 << 18) // max(1, len(dense)))
+        sums = [np.einsum("ij,ij->i", left[a[x : x + step]], right[b[x : x + step]]) for x in range(0, len(i), step)]
+        return np.concatenate([np.empty(0), *sums]) + rest[i, j]
 
     # The error of a sum of products in that kind, by the lengths of both sides.
-    length = lambda m: np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0))
-    off = (len(dense) + 8) * np.finfo(kind).eps * (length(left) * length(right) + rest.max(initial=0))
+    length = lambda side: np.sqrt(np.bincount(side[0], side[2] * side[2]).max(initial=0))
+    off = (len(dense) + 8) * np.finfo(kind).eps * (length(sides[0]) * length(sides[1]) + rest.max(initial=0))
     return out, exact, off
 
 
