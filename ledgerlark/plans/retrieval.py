@@ -142,6 +142,16 @@ def _hashed_words(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, in
     return kept(each, "zstd"), ids
 
 
+def _reached(totals: DataFrame, features: int) -> tuple[int, int, int] | None:
+    """The total that ``features`` rows reach, the number of rows above it and of those that have it; none if there are fewer rows.  Only numbers of rows by total meet in one place."""
+    above = 0
+    for total, n in sorted(map(tuple, totals.groupBy("total").agg(F.count(F.lit(1))).collect()), reverse=True):
+        if above + n >= features:
+            return total, above, n
+        above += n
+    return None
+
+
 def _bounds(words: DataFrame, features: int) -> tuple[np.ndarray, int]:
     """(slots, least): the sum of the totals of the terms of each slot, and a total that ``features`` terms reach at least."""
     pieces = 64
@@ -189,9 +199,8 @@ def _bounds(words: DataFrame, features: int) -> tuple[np.ndarray, int]:
     for r in found.filter("piece is not null").select("piece", "slots").repartition(16, "piece").mapInArrow(added, "piece int, slots binary").collect():
         slots[r.piece] += np.frombuffer(r.slots, np.int64)
     # What tasks have told of a term is a part of its total.
-    most = found.filter("term is not null").groupBy("term").agg(F.sum("total").alias("total")).orderBy(F.desc("total")).limit(features)
-    n, least = most.agg(F.count(F.lit(1)), F.min("total")).first()
-    return slots.reshape(-1), least if n == features else 1
+    last = _reached(found.filter("term is not null").groupBy("term").agg(F.sum("total").alias("total")), features)
+    return slots.reshape(-1), last[0] if last else 1
 
 
 def _named(docs: DataFrame, ident: str, text: str, tied: DataFrame, some: int) -> DataFrame:
@@ -227,15 +236,15 @@ def _chosen(docs: DataFrame, ident: str, text: str, words: DataFrame, features:
     of = words.schema[ident].dataType.simpleString()
     counts = words.mapInArrow(run, f"term long, total long, df long, `{ident}` {of}").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"), F.min(ident).alias(ident))
     counts = kept(counts.filter(F.col("total") >= least))
-    last = counts.select("total").orderBy(F.desc("total")).limit(features).agg(F.min("total")).first()[0]
-    if last is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    sure, tied = counts.filter(F.col("total") > last), counts.filter(F.col("total") == last)
-    free, some = features - sure.count(), tied.count()
-    if some > free:
-        names = _named(docs, ident, text, tied, some).orderBy("name").limit(free)
-        tied = tied.join(F.broadcast(names.select("term")), "term", "left_semi")
-    found = sure.select("term", "df").unionByName(tied.select("term", "df")).toArrow()
+    found, last = counts, _reached(counts, features)
+    if last and last[1] + last[2] > features:
+        total, above, some = last
+        tied = counts.filter(F.col("total") == total)
+        names = _named(docs, ident, text, tied, some).orderBy("name").limit(features - above)
+        found = counts.filter(F.col("total") > total).unionByName(tied.join(F.broadcast(names.select("term")), "term", "left_semi").select(*counts.columns))
+    elif last:
+        found = counts.filter(F.col("total") >= last[0])
+    found = found.select("term", "df").toArrow()
     term, df = found.column("term").to_numpy(), found.column("df").to_numpy()
     order = np.lexsort((term, -df))
     return term[order], df[order]
